@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, mixing, sharding
+from lattica.llm import chat_format, mixing, sharding, simhash
 from lattica.llm.common import table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_query(table(spark, sf_dir, "conversations"))
 
@@ -20,6 +24,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_windows, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op4_simhash, op6_chat_windows, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
