@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, mixing, sharding, simhash
+from lattica.llm import chat_format, mixing, sharding, simhash, token_output
 from lattica.llm.common import table
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokens = token_output.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.positions(tokens)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +31,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op6_chat_windows, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_simhash, op6_chat_windows, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
