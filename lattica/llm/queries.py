@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, mixing, sharding, simhash, token_output
+from lattica.llm import chat_format, decontaminate, mixing, sharding, simhash, token_output
 from lattica.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_query(table(spark, sf_dir, "conversations"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_simhash, op6_chat_windows, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_simhash, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
