@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, decontaminate, mixing, sharding, simhash, token_output
+from lattica.llm import chat_format, decontaminate, mixing, sharding, simhash, token_output, toxicity
 from lattica.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +40,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_simhash, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_simhash, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
