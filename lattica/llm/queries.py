@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, decontaminate, mixing, sharding, simhash, token_output, toxicity
+from lattica.llm import chat_format, decontaminate, language_id, mixing, sharding, simhash, token_output, toxicity
 from lattica.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_query(table(spark, sf_dir, "conversations"))
 
@@ -40,6 +45,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_simhash, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_simhash, op5_language, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
