@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, decontaminate, language_id, mixing, sharding, simhash, token_output, toxicity
+from lattica.llm import chat_format, decontaminate, fingerprint, language_id, mixing, sharding, simhash, token_output, toxicity
 from lattica.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.positions(tokens)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_simhash, op5_language, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_simhash, op5_language, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
