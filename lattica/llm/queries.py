@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat_format, decontaminate, fingerprint, language_id, mixing, sharding, simhash, token_output, toxicity
+from lattica.llm import chat_format, decontaminate, fingerprint, language_id, mixing, pii, sharding, simhash, token_output, toxicity
 from lattica.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_query(table(spark, sf_dir, "conversations"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.learn(docs))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +54,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_simhash, op5_language, op6_chat_windows, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_simhash, op5_language, op6_chat_windows, op7_pii, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
 
 ORACLE = {"op9_mix_sources": mixing.ORACLE}
