@@ -54,3 +54,20 @@ def doc_hash(column) -> object:
 def word_count(text) -> object:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+
+
+FEW = 1_000_000
+
+
+def small(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df``, which must be cheap to count, marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids`` (a written table with a column doc_id).
+
+    Few ids are broadcast, so that the texts aren't shuffled; more than that are joined by key.
+    """
+    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import without, written
 from lattica.llm.textvec import Table, Words, chunks, text_bytes
 
 GRAM = 3
@@ -196,4 +197,4 @@ def _block(docs: DataFrame, items: _Items, least: float) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a contaminated pair, with their columns."""
-    return docs.join(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, written(contaminated(docs, benchmark, **options).select("doc_id"), "contaminated"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash, written
+from lattica.llm.common import doc_hash, small, written
 
 RANGE_BITS = 12
 VALUE_BITS, TIE_BITS = 20, 40
@@ -126,28 +126,47 @@ def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.01, slack: float =
     return root
 
 
+def _prepared(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return written(
+        docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), doc_hash(F.col("doc_id")).alias("id_key"), *[c.alias(k) for k, c in _keys(text).items()]),
+        "shard-keys",
+    )
+
+
+def _placed(rows: DataFrame, sized: DataFrame, root: _Node, rows_per_task: int) -> DataFrame:
+    """``rows`` (id_key, dimensions, doc_id, text_crc32 and more) with shard and slot.
+
+    Slots number a shard's rows from 0 by hash range of the id, then id: ranges are counted
+    first, so no shard is ordered in one task.
+    """
+    ranges = max(1, sized.count() // max(1, root.leaves) // rows_per_task + 1)
+    place = lambda df: df.withColumn("shard", _label(root, lambda n: F.lit(n.first))).withColumn("_range", (F.shiftright("id_key", 28) * ranges / F.lit(float(1 << 32))).cast("int"))
+    counts = place(sized).groupBy("shard", "_range").agg(F.count("*").alias("_n"))
+    starts = counts.select("shard", "_range", (F.sum("_n").over(W.partitionBy("shard").orderBy("_range")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("shard", "_range").orderBy("id_key", "doc_id", "text_crc32")) - 1
+    rows = place(rows).withColumn("_place", inside).join(small(written(starts, "shard-starts")), ["shard", "_range"])
+    return rows.withColumn("slot", (F.col("_start") + F.col("_place")).cast("bigint"))
+
+
 def shard(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Null text counts as empty (size 8, crc32 0); repeated rows are rows of their own; with
     fewer documents than shards some shards are empty; an empty table gives no rows; other
-    columns are not read. The law is ``bytes``; slots number a shard's rows from 0 by hash range
-    of the id, then id: ranges are counted first, so no shard is ordered in one task.
+    columns are not read. The law is ``bytes``.
     """
-    text = F.coalesce("text", F.lit(""))
-    id_key = doc_hash(F.col("doc_id"))
-    sized = written(
-        docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), id_key.alias("id_key"), *[c.alias(k) for k, c in _keys(text).items()]),
-        "shard-keys",
+    sized = _prepared(docs)
+    return _placed(sized, sized, kd_tree(sized, shards), rows_per_task).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-    root = kd_tree(sized, shards)
-    ranges = max(1, sized.count() // shards // rows_per_task + 1)
-    placed = sized.withColumn("shard", _label(root, lambda n: F.lit(n.first))).withColumn("range", (F.shiftright("id_key", 28) * ranges / F.lit(float(1 << 32))).cast("int"))
-    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("range")) - F.col("n")
-    starts = counts.select("shard", "range", before.alias("start"))
-    place = F.row_number().over(W.partitionBy("shard", "range").orderBy("id_key", "doc_id", "text_crc32")) - 1
-    return placed.withColumn("place", place).join(starts, ["shard", "range"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.col("place")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+
+
+def sharded_rows(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 10_000) -> DataFrame:
+    """The rows of ``docs`` with shard and slot; columns of these names are replaced."""
+    sized = _prepared(docs)
+    text = F.coalesce("text", F.lit(""))
+    keys = {f"_{k}": v for k, v in {**_keys(text), "id_key": doc_hash(F.col("doc_id")), "text_crc32": F.crc32(text.cast("binary"))}.items()}
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select("doc_id", F.struct(*own).alias("_row"), *[v.alias(k[1:]) for k, v in keys.items()])
+    return _placed(rows, sized, kd_tree(sized, shards), rows_per_task).select("_row.*", "shard", "slot")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import without, written
 from lattica.llm.components import components
 from lattica.llm.textvec import chunks
 
@@ -195,3 +195,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(found, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one of the least id, with its columns; repeated ids once."""
+    found = written(near_duplicates(docs).select("doc_id", "component_id"), "simhash-components")
+    kept = without(docs, found.where("component_id != doc_id"))
+    ids = found.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    return kept if ids["n"] == ids["ids"] else kept.dropDuplicates(["doc_id"])
