@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RING = "array<struct<x:double,y:double>>"
+POINT_XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+RING = T.ArrayType(POINT_XY)
 POINT, POLYGON, MULTIPOINT, MULTIPOLYGON, COLLECTION = 1, 3, 4, 6, 7
 
 
@@ -80,7 +81,7 @@ def exterior_ring(wkb: pd.Series) -> pd.Series:
     return wkb.map(exterior)
 
 
-@F.pandas_udf("x double, y double")
+@F.pandas_udf(POINT_XY)
 def point_xy(wkb: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([first_point(b) or {"x": None, "y": None} for b in wkb], columns=["x", "y"])
 
@@ -93,6 +94,6 @@ def encode_point(x: float, y: float) -> bytes:
     return struct.pack("<BI2d", 1, POINT, x, y)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def polygon_wkb(ring: pd.Series) -> pd.Series:
     return ring.map(lambda r: None if r is None else encode_polygon([(p["x"], p["y"]) for p in r]))
