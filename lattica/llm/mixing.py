@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash, word_count, written
+from lattica.llm.common import doc_hash, small, word_count, written
 
 BITS = 12
 HASH_BITS = 60
@@ -56,19 +56,11 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
     return left.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def mix(docs: DataFrame, *, weights=(3, 1, 2), leaf_rows: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``.
+def cuts(sized: DataFrame, *, weights=(3, 1, 2), leaf_rows: int = 4096) -> DataFrame:
+    """source, source_size, target, times, cut: whole copies, and the hash up to which one more is taken.
 
-    A null or empty text has size 0 and takes 0; a null source is a source of its own, last in
-    order; rows of one id stand or fall together; an empty table gives no rows; other columns
-    are not read. ``taken`` is a multiple of ``size``, at most twice it. The document at the
-    threshold is taken if that comes nearer to the target, so a source misses its target by
-    half its boundary document at most.
+    ``sized``: a written table of source, size, h.
     """
-    sized = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")),
-        "mix-sizes",
-    )
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint")
     plan = written(plan.withColumn("times", times).withColumn("need", F.col("target") - F.col("times") * F.col("source_size")), "mix-targets")
@@ -82,17 +74,17 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), leaf_rows: int = 4096) -> DataFra
         running = W.partitionBy("source").orderBy("bucket")
         hist = within.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         hist = _by_source(hist.withColumn("upto", F.sum("words").over(running)), before)
-        cross = hist.where((F.col("base") + F.col("upto") > F.col("need")) & (F.col("base") + F.col("upto") - F.col("words") <= F.col("need")))
-        cross = written(cross.select("source", "need", "bucket", "n", (F.col("base") + F.col("upto") - F.col("words")).alias("base")), "mix-bucket")
+        upto = F.col("base") + F.col("upto")
+        cross = hist.where((upto > F.col("need")) & (upto - F.col("words") <= F.col("need")))
+        cross = written(cross.select("source", "need", "bucket", "n", (upto - F.col("words")).alias("base")), "mix-bucket")
         before = cross.select("source", "need", "base")
         edge = cross.select("source", "bucket")
-        within = _by_source(sized, edge).where(bucket == F.col("bucket")).select("source", "size", "h")
+        within = _by_source(sized, small(edge)).where(bucket == F.col("bucket")).select("source", "size", "h")
         if (cross.agg(F.max("n")).first()[0] or 0) <= leaf_rows:
             break
 
     by_hash = within.groupBy("source", "h").agg(F.sum("size").alias("words"))
-    step = by_hash.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("h")))
-    step = _by_source(step, before)
+    step = _by_source(by_hash.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("h"))), before)
     upto = F.col("base") + F.col("upto")
     nearer = upto - F.col("need") < F.col("need") - (upto - F.col("words"))
     level = step.where((upto <= F.col("need")) | nearer).groupBy("source").agg(F.max("h").alias("top"))
@@ -100,17 +92,42 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), leaf_rows: int = 4096) -> DataFra
     low = edge.select("source", (F.shiftleft("bucket", shift) - 1).alias("low"))
     cut = _by_source(_by_source(plan, low, "left"), level, "left")
     cut = cut.select("source", "source_size", "target", "times", F.when(F.col("need") > 0, F.coalesce("top", "low")).alias("cut"))
-    once = F.coalesce((F.col("h") <= F.col("cut")).cast("int"), F.lit(0))
-    return _by_source(sized, cut).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + once)).alias("taken")
+    return written(cut, "mix-cuts")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+
+
+_ONCE_MORE = "coalesce(cast({h} <= cut as int), 0)"
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs``.
+
+    A null or empty text has size 0 and takes 0; a null source is a source of its own, last in
+    order; rows of one id stand or fall together; an empty table gives no rows; other columns
+    are not read. ``taken`` is a multiple of ``size``, at most twice it. The document at the
+    threshold is taken if that comes nearer to the target, so a source misses its target by
+    half its boundary document at most.
+    """
+    sized = _sized(docs)
+    return _by_source(sized, small(cuts(sized, **options))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.expr(_ONCE_MORE.format(h="h")))).alias("taken")
     )
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (same columns)."""
-    decided = mix(docs, **options).select("doc_id", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias("_times")).distinct()
-    rows = docs.join(decided, docs["doc_id"].eqNullSafe(decided["doc_id"])).drop(decided["doc_id"])
-    return rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_copy")
+    """The rows of ``docs``, each as often as the mix takes it (same columns).
+
+    A document without words takes no words however often it stands; it stands once. The texts
+    meet only the table of sources, so they aren't shuffled.
+    """
+    cut = small(cuts(_sized(docs), **options)).select(F.col("source").alias("_source"), F.col("times").alias("_times"), "cut")
+    rows = docs.withColumn("_h", doc_hash(F.col("doc_id"))).join(cut, F.col("source").eqNullSafe(F.col("_source")))
+    times = F.when(word_count(F.col("text")) == 0, F.lit(1)).otherwise((F.col("_times") + F.expr(_ONCE_MORE.format(h="_h"))).cast("int"))
+    rows = rows.withColumn("_n", times).where("_n > 0")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""
