@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = "path string, kind string, attrs string, dtype string, shape array<bigint>, chunks array<bigint>, meta string"
-_META = "{zarr.json,.zattrs,.zgroup,.zarray,.zmetadata,zmetadata}"
 #: Fixed names of element types by format-2 type code.
 V2_TYPES = {"b1": "bool", "i1": "int8", "i2": "int16", "i4": "int32", "i8": "int64", "u1": "uint8", "u2": "uint16", "u4": "uint32", "u8": "uint64", "f2": "float16", "f4": "float32", "f8": "float64"}
 NUMBERS = frozenset(V2_TYPES.values())
+WHOLE = NUMBERS - {"bool", "uint64", "float16", "float32", "float64"}
 
 
 class UnsupportedCodecError(ValueError):
@@ -65,29 +65,41 @@ def _node(path: str, meta: dict, attrs: dict) -> dict:
 def nodes(spark: SparkSession, root: str) -> dict[str, dict]:
     """Every node by path, parents first; consolidated metadata is taken where there is any.
 
-    A hierarchy's metadata is read by the driver: it plans with it, and it holds no data.
+    A hierarchy's metadata is read by the driver: it plans with it, and it holds no data. Spark's
+    file listings leave out names that begin with a dot, as format 2 has them, so the documents
+    are read through the file system client; folders of arrays aren't descended into.
     """
-    root = root.rstrip("/")
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", _META)
-    top = {r["path"].rsplit("/", 1)[-1]: json.loads(bytes(r["content"])) for r in listing.load(root).collect()}
-    found: dict[str, dict] = {}
-    if entries := (top.get("zarr.json", {}).get("consolidated_metadata") or {}).get("metadata"):
-        found[""] = _node("", top["zarr.json"], top["zarr.json"].get("attributes", {}))
-        found |= {p: _node(p, m, m.get("attributes", {})) for p, m in entries.items()}
-    elif flat := (top.get(".zmetadata") or top.get("zmetadata") or {}).get("metadata"):
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def read(folder, name: str) -> dict | None:
+        at = jvm.org.apache.hadoop.fs.Path(folder, name)
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    top = read(place, "zarr.json")
+    if entries := ((top or {}).get("consolidated_metadata") or {}).get("metadata"):
+        found = {"": _node("", top, top.get("attributes", {}))} | {p: _node(p, m, m.get("attributes", {})) for p, m in entries.items()}
+    elif flat := (read(place, ".zmetadata") or read(place, "zmetadata") or {}).get("metadata"):
         found = _from_v2(flat)
     else:
-        files = listing.option("recursiveFileLookup", True).load(root).select("path", "content").collect()
-        flat, v3 = {}, {}
-        for r in files:
-            where = r["path"].split(root, 1)[-1].lstrip("/")
-            folder, _, name = where.rpartition("/")
-            doc = json.loads(bytes(r["content"]))
-            if name == "zarr.json":
-                v3[folder] = _node(folder, doc, doc.get("attributes", {}))
-            else:
-                flat[where] = doc
-        found = v3 or _from_v2(flat)
+        found, flat, todo = {}, {}, [("", place)]
+        while todo:
+            where, folder = todo.pop()
+            if doc := read(folder, "zarr.json"):
+                found[where] = _node(where, doc, doc.get("attributes", {}))
+            for name in (".zgroup", ".zarray", ".zattrs"):
+                if (doc := read(folder, name)) is not None:
+                    flat[f"{where}/{name}".lstrip("/")] = doc
+            is_array = f"{where}/.zarray".lstrip("/") in flat or found.get(where, {}).get("kind") == "array"
+            todo += [] if is_array else [(f"{where}/{f.getPath().getName()}".lstrip("/"), f.getPath()) for f in fs.listStatus(folder) if f.isDirectory()]
+        found = found or _from_v2(flat)
     return dict(sorted(found.items(), key=lambda x: (len(x[0].split("/")) if x[0] else 0, x[0])))
 
 
@@ -168,19 +180,20 @@ def decode(data: bytes, codec: _Codec) -> np.ndarray:
 
 
 def cells(spark: SparkSession, root: str, node: dict) -> DataFrame:
-    """One row an element: its index on each axis (i0, i1, ...) and value (double or string).
+    """One row an element: its index on each axis (i0, i1, ...) and value (bigint, double or string).
 
     Chunks that aren't there hold the fill value; padding beyond the shape is cut.
     """
     meta, shape, chunk = node["meta"], node["shape"], node["chunks"]
     codec, n = _codec(meta), len(shape)
     text = codec.text
+    whole = not text and node["dtype"] in WHOLE
     sep = meta.get("dimension_separator", ".") if "codecs" not in meta else meta.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
     prefix = "c/" if "codecs" in meta else ""
     fill = meta.get("fill_value")
     base = f"{root.rstrip('/')}/{node['path']}"
     grid = [range(-(-s // c)) for s, c in zip(shape, chunk, strict=True)]
-    schema = ", ".join([*(f"i{k} bigint" for k in range(n)), f"value {'string' if text else 'double'}"])
+    schema = ", ".join([*(f"i{k} bigint" for k in range(n)), f"value {'string' if text else 'bigint' if whole else 'double'}"])
     keys = spark.range(int(np.prod([len(g) for g in grid]))) if n else spark.range(0)
     part = []
     for k in reversed(range(n)):
@@ -197,10 +210,10 @@ def cells(spark: SparkSession, root: str, node: dict) -> DataFrame:
                 for g in reversed(grid):
                     i, r = divmod(i, len(g))
                     at.insert(0, r)
-                block = np.full(chunk, fill, object if text else float) if data is None else decode(data, codec).reshape(chunk, order=codec.order)
+                block = np.full(chunk, fill, object if text else np.int64 if whole else float) if data is None else decode(data, codec).reshape(chunk, order=codec.order)
                 block = block[tuple(slice(0, min(c, s - a * c)) for a, c, s in zip(at, chunk, shape, strict=True))]
                 index = np.indices(block.shape).reshape(n, -1) + np.array([a * c for a, c in zip(at, chunk, strict=True)])[:, None]
-                v = pa.array(block.ravel().tolist(), pa.string()) if text else pa.array(block.ravel().astype(float))
+                v = pa.array(block.ravel().tolist(), pa.string()) if text else pa.array(block.ravel().astype(np.int64 if whole else float))
                 yield pa.record_batch([*(pa.array(x.astype(np.int64)) for x in index), v], names=[*(f"i{k}" for k in range(n)), "value"])
 
     return keys.join(files, "key", "left").select("id", "content").mapInArrow(run, schema)
@@ -236,7 +249,7 @@ def column(spark: SparkSession, root: str, found: dict[str, dict], path: str) ->
 
 
 def _decoded(spark, root, found, codes: DataFrame, categories: str) -> DataFrame:
-    cats = cells(spark, root, found[categories]).select(F.col("i0").cast("double").alias("code"), F.col("value").alias("category"))
+    cats = cells(spark, root, found[categories]).select(F.col("i0").alias("code"), F.col("value").alias("category"))
     return codes.join(cats, F.col("value") == F.col("code"), "left").select("row_index", F.col("category").alias("value"))
 
 
