@@ -30,6 +30,7 @@ from lattica.llm.textvec import chunks, mix64
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 KEPT = 1 << 20
+STEP = 4096
 OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -96,7 +97,7 @@ _BASE = np.uint64(0x2545F4914F6CDD1D)
 
 
 class Encoder:
-    """Texts to ids, with the encoded pre-tokens kept by their 64-bit hash and checked length."""
+    """Texts to ids, with the encoded pre-tokens kept by their 64-bit hash."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,27 +107,37 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.ends = np.zeros(1 << 18, np.int64)
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where their ids are
+        self.ids = np.zeros(1 << 18, np.int32)
+        self.ends = np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
 
-    def _add(self, keys: list[int], tokens: list[str]) -> None:
-        for key, enc in zip(keys, self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False), strict=True):
-            ids = enc.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-            if self.n + 1 >= len(self.ends):
-                self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[key] = self.n
-            self.n += 1
-            self.ends[self.n] = self.used
+    def _add(self, keys: np.ndarray, tokens: list[str]) -> None:
+        for a in range(0, len(tokens), STEP):
+            for enc in self.tokenizer.encode_batch_fast(tokens[a : a + STEP], add_special_tokens=False):
+                ids = enc.ids
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+                if self.n + 1 >= len(self.ends):
+                    self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+                self.n += 1
+                self.ends[self.n] = self.used
+        every = np.r_[self.keys, keys]
+        place = np.r_[self.place, np.arange(self.n - len(keys), self.n, dtype=np.int32)]
+        order = np.argsort(every, kind="stable")
+        self.keys, self.place = every[order], place[order]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by end_id; offsets)."""
-        if len(self.place) > KEPT:
+        if self.n > KEPT:
             self.clear()
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -136,13 +147,12 @@ class Encoder:
             length = np.diff(np.r_[start, len(points)])
             keys = _hashes(points, start, length)
             uniq, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            known = [self.place.get(k, -1) for k in uniq.tolist()]
-            new = [i for i, k in enumerate(known) if k < 0]
-            if new:
-                self._add([int(uniq[i]) for i in new], [joined[start[at[i]] : start[at[i]] + length[at[i]]] for i in new])
-                for i in new:
-                    known[i] = self.place[int(uniq[i])]
-            where = np.array(known)[inverse]
+            known = self._find(uniq)
+            new = np.flatnonzero(known < 0)
+            if len(new):
+                self._add(uniq[new], [joined[start[i] : start[i] + length[i]] for i in at[new]])
+                known[new] = self._find(uniq[new])
+            where = known[inverse]
             low, size = self.ends[where], self.ends[where + 1] - self.ends[where]
         else:
             low = size = np.zeros(0, np.int64)
