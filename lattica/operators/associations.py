@@ -46,11 +46,12 @@ def by_position(features: DataFrame, rows: DataFrame, order: str, row_order: str
     return number(features, order, "position").join(number(rows, row_order, "position"), "position")
 
 
-def numbered(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str, ranges: int | None = None) -> DataFrame:
     """Rows numbered from 0 in order, in two steps: range counts, then rows of a range.
 
     The ranges are those of range partitioning, so no task orders the whole table.
     """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
     dealt = dealt.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("bigint"), 33))
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
