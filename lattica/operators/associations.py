@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.session import checkpointed
+
 
 def accepted_regions(kind: str, key: str, regions: Sequence[str] = (), strict: bool = False) -> list[str]:
     """The element's key and kind/key, and every region that the table declares, both ways."""
@@ -49,11 +51,13 @@ def by_position(features: DataFrame, rows: DataFrame, order: str, row_order: str
 def numbered(df: DataFrame, order: str, name: str, ranges: int | None = None) -> DataFrame:
     """Rows numbered from 0 in order, in two steps: range counts, then rows of a range.
 
-    The ranges are those of range partitioning, so no task orders the whole table.
+    The ranges are those of range partitioning, so no task orders the whole table. Their limits
+    are sampled, so the dealt rows are written before they are counted: a second evaluation
+    could draw others.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
-    dealt = dealt.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("bigint"), 33))
+    dealt = checkpointed(dealt.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("bigint"), 33)))
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
     start = F.sum("_rows").over(W.orderBy("_range")) - F.col("_rows")
     starts = counts.select("_range", start.alias("_start"))

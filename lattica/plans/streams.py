@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from lattica.plans.registry import query
+from lattica.session import shared_folder
 from lattica.sources import parquet
 from lattica.streaming import progressive
 
 
 def folder(t) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, local only on a local master."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not t.spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(t):
