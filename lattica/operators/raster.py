@@ -41,14 +41,17 @@ def tile(df: DataFrame, tx: int, ty: int, size: int, width: int, height: int) ->
     return df.where(F.col("x").between(tx * size, min((tx + 1) * size, width) - 1) & F.col("y").between(ty * size, min((ty + 1) * size, height) - 1))
 
 
-def stats(df: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.005, high: float = 0.995) -> DataFrame:
+def stats(df: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.005, high: float = 0.995, accuracy: int | None = None) -> DataFrame:
     """Domain (min, max) and contrast limits of each selection.
 
-    Limits are exact quantiles of the positive values (of all where none is positive); equal
-    limits give way to the domain.
+    Limits are quantiles of the positive values (the domain where none is positive, or where
+    they are equal). They are exact, which keeps a count of every distinct value of a selection:
+    right for integer pixels. With ``accuracy`` they come from a sketch of bounded size.
     """
     v = F.col(value).cast("double")
-    q = F.percentile(F.when(v > 0, v), F.array(F.lit(low), F.lit(high)))
+    ends = F.array(F.lit(low), F.lit(high))
+    positive = F.when(v > 0, v)
+    q = F.percentile(positive, ends) if accuracy is None else F.percentile_approx(positive, ends, accuracy)
     g = df.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), q.alias("q"))
     usable = F.col("q").isNotNull() & (F.col("q")[0] < F.col("q")[1])
     return g.select(*by, "lo", "hi", F.when(usable, F.col("q")[0]).otherwise(F.col("lo")).alias("limit_lo"), F.when(usable, F.col("q")[1]).otherwise(F.col("hi")).alias("limit_hi"))
@@ -157,3 +160,36 @@ def csc(df: DataFrame, row: str, col: str, value: str) -> tuple[DataFrame, DataF
     counts = df.where(F.col(value) != 0).groupBy(col).agg(F.count("*").alias("nnz"))
     pointer = counts.withColumn("indptr", F.coalesce(F.sum("nnz").over(W.orderBy(col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return entries, pointer
+
+
+def clamp_selection_value(value: float, size: int) -> int:
+    return min(max(math.floor(value), 0), size - 1)
+
+
+def pyramid(df: DataFrame, by: Sequence[str], factors: Sequence[int], how: str = "mean") -> list[DataFrame]:
+    """The full level and those below; each is made from the one above, so keep or write them in order."""
+    levels = [df]
+    for f in factors:
+        levels.append(downsample(levels[-1], by, f, how))
+    return levels
+
+
+def synthetic(spark, height: int, width: int, channels: int = 1, planes: int = 1) -> DataFrame:
+    """Indexed planes for tests: c, z, y, x, value; dealt by Spark's range."""
+    n = height * width
+    ids = spark.range(channels * planes * n)
+    at = F.col("id") % n
+    return ids.select(
+        F.floor(F.col("id") / (n * planes)).alias("c"), (F.floor(F.col("id") / n) % planes).alias("z"), F.floor(at / width).alias("y"), (at % width).alias("x"),
+        (F.col("id") % 251).cast("double").alias("value"),
+    )
+
+
+def to_tczyx(df: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Pixels on all five axes; those that are missing have index 0."""
+    return df.select(*[(F.col(a) if a in axes else F.lit(0)).cast("bigint").alias(a) for a in "tczyx"], "value")
+
+
+def is_rgb(samples: int, channels: int, dtype: str) -> bool:
+    """Three interleaved or separate 8-bit channels."""
+    return dtype == "uint8" and (samples == 3 or channels == 3)
