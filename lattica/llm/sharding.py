@@ -3,7 +3,8 @@
 The tree starts with all documents and ``shards`` leaves. A node with ``k`` leaves is cut along
 its widest dimension at the key below which ``floor(k/2)/k`` of its bytes lie, until every node
 is one leaf, so leaves hold equal bytes. The cut key is found by histograms: bytes by node and
-4,096 key ranges, then the crossing range alone again, all nodes of a level together. A node is
+1,024 key ranges, then the crossing range alone again, all nodes of a level together; the driver
+sees these sums alone, whose number depends on the shards. A node is
 an expression over the keys, so no level writes or shuffles the documents; a round shuffles one
 row per node, range and task.
 
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import doc_hash, small, written
 
-RANGE_BITS = 12
+RANGE_BITS = 10
 VALUE_BITS, TIE_BITS = 20, 40
 KEY_BITS = VALUE_BITS + TIE_BITS
 DIMENSIONS = ("length", "script", "content")
@@ -67,60 +69,65 @@ def _open(node: _Node) -> list[_Node]:
     return [x for s in node.sides for x in _open(s)] if node.sides else [node] * (node.leaves > 1)
 
 
-def _cross(rows: DataFrame, key: Column, shift: int, low: dict[int, int], base: dict[int, int], goal: dict[int, float]) -> dict:
-    """For each node, the range of 2^shift keys in which its running bytes cross the goal."""
-    nodes = sorted(goal)
-    pick = lambda d, kind: F.create_map(*[x for n in nodes for x in (F.lit(n), F.lit(d[n]).cast(kind))])[F.col("node")]
-    span = F.shiftright(key, shift)
-    if any(low.values()) or shift + RANGE_BITS < KEY_BITS:
-        rows = rows.where(F.shiftright(key, shift + RANGE_BITS) == pick(low, "bigint"))
-    hist = rows.groupBy("node", span.alias("span")).agg(F.sum("size").alias("bytes"))
-    upto = F.sum("bytes").over(W.partitionBy("node").orderBy("span")) + pick(base, "bigint")
-    found = hist.withColumn("upto", upto).where(F.col("upto") >= pick(goal, "double"))
-    first = found.groupBy("node").agg(F.min(F.struct("span", "bytes", "upto")).alias("at"))
-    return {r["node"]: r["at"] for r in first.collect()}  # a row for each node: at most the number of shards
+def _of_node(values: dict[int, int]) -> Column:
+    return F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v).cast("bigint"))])[F.col("node")]
 
 
-def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.01, slack: float = 0.001) -> _Node:
+def _histogram(rows: DataFrame, spans: list[Column]) -> dict[tuple[int, int], np.ndarray]:
+    """Bytes and rows by (node, place in ``spans``) and span: at most nodes x spans x 1,024 rows come back."""
+    each = rows.select("node", "size", F.posexplode(F.array(*spans)).alias("which", "span"))
+    sums = each.groupBy("node", "which", "span").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toArrow()
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for n, w, s, b, c in zip(*(sums[c].to_pylist() for c in ("node", "which", "span", "bytes", "n")), strict=True):
+        out.setdefault((n, w), np.zeros((2, 1 << RANGE_BITS), np.int64))[:, s & ((1 << RANGE_BITS) - 1)] = b, c
+    return out
+
+
+def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.01, slack: float = 0.002) -> _Node:
     """``rows``: size, id_key and the dimensions. A cut may miss its goal by ``slack`` of a leaf."""
     root = _Node(0, shards)
     while level := _open(root):
         by_id = {n.first: n for n in level}
         live = rows.withColumn("node", _label(root, lambda n: F.lit(n.first if n.leaves > 1 else None).cast("int"))).where("node is not null")
-        ends = [f(F.shiftright(d, TIE_BITS)).alias(f"{d}_{f.__name__}") for d in DIMENSIONS for f in (F.min, F.max)]
-        stats = {r["node"]: r for r in live.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()}
-        goal, axis, leaf = {}, {}, {}
+        hist = _histogram(live, [F.shiftright(d, KEY_BITS - RANGE_BITS) for d in DIMENSIONS])
+        goal, leaf, axis, first = {}, {}, {}, {}
         for i, n in by_id.items():
             half = n.leaves // 2
-            n.sides = [_Node(i, half), _Node(i + half, n.leaves - half)]
-            n.split = (DIMENSIONS[0], 0, None)
-            if r := stats.get(i):
-                axis[i] = max(DIMENSIONS, key=lambda d: r[f"{d}_max"] - r[f"{d}_min"])
-                goal[i], leaf[i] = r["bytes"] * half / n.leaves, r["bytes"] / n.leaves
+            n.sides, n.split = [_Node(i, half), _Node(i + half, n.leaves - half)], (DIMENSIONS[0], 0, None)
+            if (i, 0) in hist:
+                width = [np.ptp(np.flatnonzero(hist[i, k][1])) for k in range(len(DIMENSIONS))]
+                at = int(np.argmax(width))
+                axis[i], first[i], total = DIMENSIONS[at], hist[i, at], int(hist[i, at][0].sum())
+                goal[i], leaf[i] = total * half / n.leaves, total / n.leaves
         if not goal:
             continue
-        axes = F.create_map(*[x for i, d in axis.items() for x in (F.lit(i), F.lit(DIMENSIONS.index(d)))])[F.col("node")]
+        axes = _of_node({i: DIMENSIONS.index(d) for i, d in axis.items()}).cast("int")
         key = F.element_at(F.array(*DIMENSIONS), axes + 1)
-        for name, allowed in (("key", keep), ("id_key", slack)):
-            of = key if name == "key" else F.col("id_key")
-            low, base, todo, shift = dict.fromkeys(goal, 0), {i: start for i, start in (base.items() if name == "id_key" else dict.fromkeys(goal, 0).items()) if i in goal}, dict(goal), KEY_BITS
-            part = live if name == "key" else live.where(key == F.create_map(*[x for i in goal for x in (F.lit(i), F.lit(by_id[i].split[1]).cast("bigint"))])[F.col("node")])
-            rest: dict[int, float] = {}
+        for name, base in (("key", dict.fromkeys(goal, 0)), ("id_key", {})):
+            if name == "id_key":  # equal texts at a cut, too many bytes to stay whole
+                base = {i: whole[i] for i in goal}
+                live = live.where(key == _of_node({i: by_id[i].split[1] for i in goal}))
+                key, first = F.col("id_key"), {}
+            todo, low, shift, whole = dict(goal), dict.fromkeys(goal, 0), KEY_BITS, {}
             while todo and shift > 0:
                 shift -= RANGE_BITS
-                at = _cross(part.where(F.col("node").isin(list(todo))), of, shift, low, base, todo)
+                if shift + RANGE_BITS < KEY_BITS or not first:
+                    part = live.where(F.shiftright(key, shift + RANGE_BITS) == _of_node({i: low[i] for i in todo}))
+                    first = {i: h for (i, _), h in _histogram(part, [F.shiftright(key, shift)]).items()}
                 for i in list(todo):
-                    span, size, upto = at[i]
-                    low[i], base[i] = span, upto - size
-                    n = by_id[i]
-                    if size <= leaf[i] * slack or shift == 0 and size <= leaf[i] * allowed or shift == 0 and name == "id_key":
-                        cut = span + (upto - goal[i] <= goal[i] - base[i])
-                        n.split = (axis[i], cut << shift, None) if name == "key" else (axis[i], n.split[1], cut << shift)
+                    upto = base[i] + np.cumsum(first[i][0])
+                    s = int(np.searchsorted(upto, goal[i]))
+                    (size, rows_in), n = first[i][:, s].tolist(), by_id[i]
+                    low[i], base[i] = (low[i] << RANGE_BITS) + s, int(upto[s]) - size
+                    stays = shift == 0 and (name == "id_key" or size <= leaf[i] * keep)
+                    if size <= leaf[i] * slack or rows_in == 1 or stays:
+                        cut = (low[i] + (base[i] + size - goal[i] <= goal[i] - base[i])) << shift
+                        n.split = (axis[i], cut, None) if name == "key" else (axis[i], n.split[1], cut)
                         del todo[i]
                     elif shift == 0:
-                        n.split = (axis[i], span, None)
-                        rest[i] = goal[i]
-            goal = rest
+                        n.split = (axis[i], low[i], None)
+                        whole[i] = base[i]
+            goal = {i: goal[i] for i in whole}
             if not goal:
                 break
     return root
