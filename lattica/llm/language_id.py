@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash
+from lattica.llm.common import by_hash, doc_hash
 from lattica.llm.textvec import chunks
 from lattica.llm.toxicity import fold
 
@@ -134,9 +134,7 @@ def learn(docs: DataFrame, *, landmarks: int = 64, training: int = 192, longest_
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     rows = []
     for lang, count in sorted(counts.items()):
-        share = min(1.0, 2.0 * n / count)
-        some = known.where((F.col("lang") == lang) & (F.col("h") <= int(share * ((1 << 60) - 1))))
-        rows += some.orderBy("h", "text").limit(n).collect()
+        rows += by_hash(known.where(F.col("lang") == lang), "h", n, count).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 

@@ -99,7 +99,7 @@ def _sized(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix-sizes")
 
 
-_ONCE_MORE = "coalesce(cast({h} <= cut as int), 0)"
+_ONCE_MORE = "coalesce(cast({h} <= {cut} as int), 0)"
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     sized = _sized(docs)
     return _by_source(sized, small(cuts(sized, **options))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.expr(_ONCE_MORE.format(h="h")))).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.expr(_ONCE_MORE.format(h="h", cut="cut")))).alias("taken")
     )
 
 
@@ -123,9 +123,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     A document without words takes no words however often it stands; it stands once. The texts
     meet only the table of sources, so they aren't shuffled.
     """
-    cut = small(cuts(_sized(docs), **options)).select(F.col("source").alias("_source"), F.col("times").alias("_times"), "cut")
+    cut = small(cuts(_sized(docs), **options)).select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("cut").alias("_cut"))
     rows = docs.withColumn("_h", doc_hash(F.col("doc_id"))).join(cut, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.when(word_count(F.col("text")) == 0, F.lit(1)).otherwise((F.col("_times") + F.expr(_ONCE_MORE.format(h="_h"))).cast("int"))
+    times = F.when(word_count(F.col("text")) == 0, F.lit(1)).otherwise((F.col("_times") + F.expr(_ONCE_MORE.format(h="_h", cut="_cut"))).cast("int"))
     rows = rows.withColumn("_n", times).where("_n > 0")
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
 
