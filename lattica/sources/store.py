@@ -16,6 +16,9 @@ from lattica.operators import associations, catalog
 from lattica.sources import wkb, zarr
 
 KINDS = ("images", "points", "labels", "shapes", "tables")
+#: Fixed values of the store format: keys of attributes, and the type of annotation tables.
+EXTRA_KEY = "spatialdata_attrs"
+ENCODING_KEY = "spatialdata-encoding-type"
 TABLE_TYPE = "ngff:regions_table"
 _log = logging.getLogger(__name__)
 
@@ -93,7 +96,7 @@ class Store:
         elif kind == "points":
             if not attrs.get("axes"):
                 raise BadElementError("points need axes")
-        elif kind == "tables" and attrs.get("spatialdata-encoding-type", TABLE_TYPE) != TABLE_TYPE:
+        elif kind == "tables" and attrs.get(ENCODING_KEY, TABLE_TYPE) != TABLE_TYPE:
             raise BadElementError("a table must be a regions table")
         if kind != "tables" and kind not in ("images", "labels"):
             transforms.by_output(attrs.get("coordinateTransformations", []))
@@ -113,7 +116,7 @@ class Store:
         df = self.spark.read.parquet(f"{e.path}/points.parquet")
         df = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("row_id"))
         axes = [a["name"] if isinstance(a, dict) else a for a in e.attrs["axes"]]
-        extra = e.attrs.get("spatialdata_attrs", e.attrs)
+        extra = e.attrs.get(EXTRA_KEY, e.attrs)
         name = extra.get("feature_key")
         code = catalog.code_column(df.columns, name) if name else None
         return df, PointColumns(axes[0], axes[1], "row_id", axes[2] if len(axes) > 2 else None, name, code, extra.get("instance_key"))

@@ -16,7 +16,7 @@ from lattica.functions import colours, morton, numbers, transforms
 from lattica.model import Bounds, PointColumns, resolve_cap, resolve_render_cap
 from lattica.operators import associations, catalog, index, points, raster, shapes
 from lattica.sources import parquet, wkb, write, zarr
-from lattica.sources.store import Store
+from lattica.sources.store import ENCODING_KEY, EXTRA_KEY, TABLE_TYPE, Store
 from lattica.streaming.slots import Planner, Held, Resolution, Slot, adequate, classify
 
 POINTS = PointColumns("x", "y", "row_id", name="name")
@@ -265,10 +265,10 @@ def store(spark, tmp_path):
     _group(root)
     for k in ("points", "shapes", "tables"):
         _group(f"{root}/{k}")
-    _group(f"{root}/points/tx", {"axes": ["x", "y"], "spatialdata_attrs": {"feature_key": "gene", "instance_key": "cell"}, "coordinateTransformations": [{"type": "scale", "scale": [2.0, 2.0], "output": {"name": "aligned"}}]})
+    _group(f"{root}/points/tx", {"axes": ["x", "y"], EXTRA_KEY: {"feature_key": "gene", "instance_key": "cell"}, "coordinateTransformations": [{"type": "scale", "scale": [2.0, 2.0], "output": {"name": "aligned"}}]})
     _group(f"{root}/points/broken", {})
     pq.write_table(pa.table({"x": [0.0, 1.0], "y": [0.0, 1.0], "gene": ["a", "b"], "gene_codes": [0, 1]}), f"{root}/points/tx/points.parquet")
-    _group(f"{root}/tables/t", {"region": "cells", "region_key": "region", "instance_key": "cell", "spatialdata-encoding-type": "ngff:regions_table"})
+    _group(f"{root}/tables/t", {"region": "cells", "region_key": "region", "instance_key": "cell", ENCODING_KEY: TABLE_TYPE})
     _group(f"{root}/tables/t/obs", {"_index": "cell", "column-order": ["region", "kind"]})
     _v2(f"{root}/tables/t/obs", "cell", [10, 11, 12])
     _v2(f"{root}/tables/t/obs", "region", ["cells", "cells", "other"], text=True)
