@@ -2,7 +2,7 @@
 
 Examples are a bounded sample of labelled rows (``examples`` of each label, by hash of the id).
 Terms are the words that toxic examples hold more often than chance allows: a Chernoff bound on
-their count, corrected for the number of words tried; examples that share their smallest
+their count, with the false-discovery rate held at 1 % over the words tried; examples that share their smallest
 three-word hash count once, so copies lend no weight. Document frequencies are counted over all
 documents. The examples' vectors stand in an inverted index whose blocks of examples keep the
 largest weight of each term: blocks are opened in the order of their bound until no bound can
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash
+from lattica.llm.common import by_hash, doc_hash
 from lattica.llm.textvec import Table, Words, chunks, text_bytes
 
 FOLDS = 5
@@ -28,7 +28,8 @@ BLOCK = 64
 
 
 def fold(doc_id) -> object:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
+    """crc32 of the id as text (null: the empty text), modulo FOLDS."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
 def _term_counts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def _isotonic(vote: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x, np.maximum.accumulate(y)
 
 
-def informative(toxic: np.ndarray, signature: np.ndarray, words: list[np.ndarray], most: int, chance: float = 0.05) -> np.ndarray:
+def informative(toxic: np.ndarray, signature: np.ndarray, words: list[np.ndarray], most: int, chance: float = 0.01) -> np.ndarray:
     """Hashes of the words over-represented among toxic examples, the surest first."""
     if not len(words):
         return np.zeros(0, np.uint64)
@@ -153,14 +154,18 @@ def informative(toxic: np.ndarray, signature: np.ndarray, words: list[np.ndarray
     p = np.clip(np.bincount(inverse, label, len(keys)) / n, 1e-12, 1 - 1e-12)
     surprise = n * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
     tried = max(1, int((n >= 3).sum()))
-    good = np.flatnonzero((p > rate) & (n >= 3) & (surprise >= np.log(tried / chance)))
-    return keys[good[np.lexsort((keys[good], -surprise[good]))][:most]]
+    good = np.flatnonzero((p > rate) & (n >= 3))
+    good = good[np.lexsort((keys[good], -surprise[good]))]
+    # step-up rule: of the surest k, at most the share ``chance`` may be there by chance
+    passes = np.flatnonzero(surprise[good] >= np.log(tried / (chance * np.arange(1, len(good) + 1))))
+    return keys[good[: passes[-1] + 1 if len(passes) else 0][:most]]
 
 
 def _sample(labels: DataFrame, examples: int) -> DataFrame:
     known = labels.where((fold(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("h", doc_hash(F.col("doc_id")))
-    part = lambda y: known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(examples)
+    known = known.select("doc_id", "toxic", doc_hash(F.col("doc_id")).alias("h"))
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    part = lambda y: by_hash(known.where(F.col("toxic") == y), "h", examples, total.get(y, 0))
     return part(1).unionByName(part(0)).select("doc_id", "toxic")
 
 
