@@ -56,4 +56,4 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_simhash, op5_language, op6_chat_windows, op7_pii, op8_decontaminate, op9_mix_sources, op10_kd_shards)}
 
-ORACLE = {"op9_mix_sources": mixing.ORACLE}
+ORACLE = {"op6_chat_windows": chat_format.ORACLE, "op9_mix_sources": mixing.ORACLE}
