@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_hash, doc_hash
+from lattica.llm.common import doc_hash
 from lattica.llm.textvec import chunks
 from lattica.llm.toxicity import fold
 
@@ -126,16 +126,23 @@ def learn(docs: DataFrame, *, landmarks: int = 64, training: int = 192, longest_
     """A model from at most ``landmarks + training`` documents of each language outside fold 0.
 
     The sample goes by hash of the id; of texts over ``longest_text`` code points there are
-    enough shorter ones, so those are not sampled (scoring has no such bound).
+    enough shorter ones, so those are not sampled (scoring has no such bound). Languages are
+    counted without reading texts; then one scan fetches the rows of every language under its
+    own threshold, which keeps six standard deviations more than are wanted.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).where(F.length("text") <= longest_text)
-    known = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", doc_hash(F.col("doc_id")).alias("h"))
+    known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("lang", "text", doc_hash(F.col("doc_id")).alias("h"))
     n = landmarks + training
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    rows = []
-    for lang, count in sorted(counts.items()):
-        rows += by_hash(known.where(F.col("lang") == lang), "h", n, count).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
+    if not counts:
+        return fit([], [], landmarks, ridge)
+    top = {lang: int(min(1.0, (n + 6 * n**0.5) / c) * ((1 << 60) - 1)) for lang, c in counts.items()}
+    limit = F.create_map(*[x for lang, t in top.items() for x in (F.lit(lang), F.lit(t))])[F.col("lang")]
+    some = known.where(F.col("h") <= limit).where(F.col("text").isNotNull() & (F.length("text") <= longest_text) & F.col("text").rlike(r"\p{L}"))
+    rows: dict[str, list] = {}
+    for r in sorted(some.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        if len(mine := rows.setdefault(r["lang"], [])) < n:
+            mine.append(r["text"])
+    return fit([t for mine in rows.values() for t in mine], [lang for lang, mine in rows.items() for _ in mine], landmarks, ridge)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
