@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash
+from lattica.llm.common import by_hash, doc_hash
 from lattica.llm.textvec import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -241,7 +241,7 @@ def fit(contexts: list[str], *, examples: int = 6000, precision: float = 0.98, s
 def learn(docs: DataFrame, *, contexts: int = 1000, longest: int = 20_000) -> Model:
     """Trees fitted with contexts from at most ``contexts`` documents, by hash of the id."""
     some = docs.where((F.length("text") <= longest) & F.col("text").isNotNull()).select("text", doc_hash(F.col("doc_id")).alias("h"))
-    return fit([r["text"] for r in some.orderBy("h", "text").limit(contexts).collect()])
+    return fit([r["text"] for r in by_hash(some, "h", contexts, some.count()).collect()])
 
 
 def _joined(spans: list[Span]) -> str:
