@@ -11,6 +11,11 @@ Copies are one fingerprint from the start. A cell gives links that join what is
 not all its pairs: each found point absorbs what is near it. Cells that a sixteenth of the
 fingerprints shows to be large are first cut by exact 16-bit blocks (of four, one must agree),
 so no task gets a large cell; the sample steers only where rows go.
+
+That setting is op4's. The pipeline keeps one of what is alike by five-word shingles, Jaccard 0.8
+or more, which for 64 bits lies up to 17 bits apart, beyond any grid. ``alike`` therefore finds
+candidates by bands of MinHash values (a pair at 0.8 is missed by all of them once in 40,000) and
+checks each on the exact sets of shingles.
 """
 
 from __future__ import annotations
@@ -24,14 +29,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import without, written
+from lattica.llm.common import small, without, written
 from lattica.llm.components import components
-from lattica.llm.textvec import chunks
+from lattica.llm.textvec import BLACK, Words, chunks, mix64, text_bytes
 
 REACH = 3
 BLOCKS = 6
 LARGE = 4096
 SAMPLE = 16
+SHINGLE = 5
+LIKE = 0.8
+BANDS = 20
+ROWS = 4
+ALL_PAIRS = 24
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -197,9 +207,121 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each run of ``words`` words; a shorter text is one run of all its words."""
+    w = Words(*text_bytes(column), BLACK)
+    count = np.bincount(w.row, minlength=w.rows)
+    rows, hashes = [], []
+    for n in range(1, words + 1):
+        at, h = w.grams(n)
+        row = w.row[at]
+        keep = slice(None) if n == words else count[row] == n
+        rows.append(row[keep])
+        hashes.append(h[keep])
+    row, h = np.concatenate(rows), np.concatenate(hashes)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(row) else np.zeros(0, bool)
+    return row[first], h[first]
+
+
+def _same(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """A digest of each text's set of shingles; zero without any."""
+    out = np.zeros(rows, np.uint64)
+    np.add.at(out, row, mix64(h + np.uint64(0x632BE59BD9B4E019)))
+    return out.view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id, same (digest of the set of shingles), n (its size), bands (keys of the MinHash bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(5)
+        salt, odd = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+        odd |= np.uint64(1)
+        for batch in chunks(batches):
+            row, h = _shingles(batch.column("text"), words)
+            n = np.bincount(row, minlength=batch.num_rows)
+            full = np.flatnonzero(n)
+            keys = np.zeros((len(full), BANDS), np.uint64)
+            if len(full):
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                for b in range(BANDS):
+                    key = np.full(len(full), b + 1, np.uint64)
+                    for k in range(b * ROWS, (b + 1) * ROWS):
+                        key = mix64(key ^ np.minimum.reduceat((h ^ salt[k]) * odd[k], first))
+                    keys[:, b] = key
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(_same(row, h, batch.num_rows)), pa.array(n.astype(np.int32)), bands], names=["doc_id", "same", "n", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, same bigint, n int, bands array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """same, set (the hashes of the distinct shingles) of every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            row, h = _shingles(batch.column("text"), words)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.record_batch([pa.array(_same(row, h, batch.num_rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["same", "set"])
+
+    return docs.select("text").mapInArrow(run, "same bigint, set array<bigint>")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> pairs of a run whose sizes allow the likeness.
+
+    Runs of up to ALL_PAIRS give all pairs. In a longer one each row meets as many that follow it
+    in the order, which is another one in each band.
+    """
+    names = ("key", "same", "n")
+    held = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        cols = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, names, strict=True)]
+        fresh = len(held[0])
+        key, same, n = cols
+        for d in range(1, min(ALL_PAIRS, len(key))):
+            at = np.flatnonzero((key[d:] == key[:-d]) & (np.minimum(n[d:], n[:-d]) >= LIKE * np.maximum(n[d:], n[:-d])))
+            at = at[at + d >= fresh]
+            a, b = same[at], same[at + d]
+            if len(at):
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        held = [x[max(0, len(key) - ALL_PAIRS + 1) :] for x in cols]
+
+
+def alike(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id, same, component_id for every row: components of texts with Jaccard LIKE or more.
+
+    Texts with one set of shingles (those without words too) are one component.
+    """
+    rows = written(sketches(docs, words), "near-docs")
+    groups = written(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")), "near-groups")
+    cells = groups.select("same", "n", F.explode("bands").alias("key")).withColumn("turn", F.xxhash64("key", "same"))
+    # a key with many rows is dealt in parts, other parts in each band
+    hot = cells.where(F.pmod(F.xxhash64("same"), F.lit(SAMPLE)) == 0).groupBy("key").count().where(F.col("count") * SAMPLE >= LARGE)
+    hot = written(hot.select("key", F.ceil(F.col("count") * SAMPLE / (LARGE // 2)).alias("parts")), "near-hot")
+    if hot.count():
+        cells = cells.join(small(hot), "key", "left").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod("turn", "parts"))))
+    cells = cells.select("key", "same", "n", "turn").repartition("key").sortWithinPartitions("key", "turn")
+    pairs = written(cells.mapInArrow(_neighbours, "a bigint, b bigint").distinct(), "near-pairs")
+    nodes = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+    wanted = written(groups.join(small(nodes), "same", "left_semi").select(F.col("first").alias("_first")).distinct(), "near-wanted")
+    some = docs.join(small(wanted), docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+    sets = written(shingle_sets(some, words).dropDuplicates(["same"]), "near-sets")
+    both = pairs.join(sets.select(F.col("same").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("same").alias("b"), F.col("set").alias("sb")), "b")
+    shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("m"))
+    roots = written(components(shared.where(F.col("m") >= LIKE * (F.col("n") - F.col("m"))).select("a", "b")), "near-roots")
+    whole = groups.join(roots, groups["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root"), F.col("root").isNotNull().alias("linked"))
+    least = whole.where("linked").groupBy("root").agg(F.min("first").alias("least"))
+    whole = whole.join(least, "root", "left").select("same", F.coalesce("least", "first").alias("component_id"))
+    return rows.select("doc_id", "same").join(whole, "same")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the least id, with its columns; repeated ids once."""
-    found = written(near_duplicates(docs).select("doc_id", "component_id"), "simhash-components")
+    """One document of each component of ``alike``, the one of the least id, with its columns; repeated ids once."""
+    found = written(alike(docs).select("doc_id", "component_id"), "simhash-components")
     kept = without(docs, found.where("component_id != doc_id"))
     ids = found.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     return kept if ids["n"] == ids["ids"] else kept.dropDuplicates(["doc_id"])

@@ -202,6 +202,44 @@ def test_links_connect_dense_and_sparse_cells(spark, monkeypatch, large):
     assert all((find(order[i]) == find(order[j])) == (want[i] == want[j]) for i in range(0, len(order), 7) for j in range(len(order)))
 
 
+def brute_alike(rows):
+    """doc -> smallest doc reachable over five-word Jaccard of 0.8 or more."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while True:
+        before = dict(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+
+
+def test_one_of_each_drops_near_copies(spark, docs):
+    """Five words and 0.8 in the pipeline, also where 64 bits are far apart."""
+    want = brute_alike([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike(docs).collect()} == want
+    assert ids(simhash.one_of_each(docs)) == sorted(set(want.values()))
+    assert len(set(want.values())) < len({r["component_id"] for r in simhash.near_duplicates(docs).collect()})
+
+
+def test_a_large_group_of_near_copies_is_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 64)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike(df).collect()} == brute_alike(rows)
+
+
 # 8 decontamination
 
 
