@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows (``examples`` of each label, by hash of the id).
-Terms are the words that toxic examples hold more often than chance allows: a Chernoff bound on
-their count, with the false-discovery rate held at 1 % over the words tried; examples that share their smallest
-three-word hash count once, so copies lend no weight. Document frequencies are counted over all
-documents. The examples' vectors stand in an inverted index whose blocks of examples keep the
-largest weight of each term: blocks are opened in the order of their bound until no bound can
-beat the k-th neighbour, so the neighbours are exact. The k nearest vote by similarity, and an
-isotonic fit of leave-one-out votes turns a vote into a probability; the neighbours' ids and
-similarities are the evidence. The index is bounded by the sample and goes to every task.
+Terms are all words of the examples, with document frequencies counted over all documents. Two
+votes of the k nearest are mixed: over all terms, by an inverted index read whole (its neighbours
+and similarities are the evidence), and over the words that toxic examples hold more often than
+chance allows, which long texts would drown: a Chernoff bound on their count, with the
+false-discovery rate held at 1 % over the words tried; examples that share their smallest
+three-word hash count once, so copies lend no weight. There the inverted index's blocks of
+examples keep the largest weight of each term: blocks are opened in the order of their bound until
+no bound can beat the k-th neighbour. Both are exact. A text that equals examples has their label.
+An isotonic fit of leave-one-out votes turns a vote into a probability. The indexes are bounded by
+the sample and go to every task.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from lattica.llm.textvec import Table, Words, chunks, text_bytes
 
 FOLDS = 5
 BLOCK = 64
+#: Share of the vote over all terms, and the cosine from which texts are copies.
+WHOLE = 0.25
+COPY = 0.9999
 
 
 def fold(doc_id) -> object:
@@ -81,44 +86,83 @@ class Index:
         return float((sim * self.toxic[pos]).sum() / sim.sum())
 
 
+class Postings:
+    """Examples' unit vectors over all terms, inverted; every posting of a text's terms is read."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.n = len(rows)
+        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
+        order = np.argsort(term, kind="stable")
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in rows])[order]
+        self.x = np.concatenate([x for _, x in rows])[order] if rows else np.zeros(0, np.float32)
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, similarities) of the k nearest with similarity over 0; ties by position."""
+        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sim = np.bincount(self.row[at], self.x[at] * np.repeat(weights, n), self.n)
+        if leave >= 0:
+            sim[leave] = 0
+        pos = np.flatnonzero(sim >= np.partition(sim, -k)[-k]) if self.n > k else np.arange(self.n)
+        pos = pos[np.lexsort((pos, -sim[pos]))][:k]
+        pos = pos[sim[pos] > 0]
+        return pos, sim[pos]
+
+
 class Model:
-    """terms (word hashes), idf, index, the calibration of votes, and the rate without terms."""
+    """terms (word hashes), idf, both indexes, the calibration of votes, and the rate without terms."""
 
-    def __init__(self, ids, toxic, signature, vectors, corpus_df, n_docs: int, terms: np.ndarray, k: int):
-        self.terms = terms
+    def __init__(self, ids, toxic, vectors, corpus_df, n_docs: int, terms: np.ndarray, telling: np.ndarray, k: int):
+        self.terms, self.ids, self.toxic, self.k = terms, ids, toxic.astype(float), k
         self.idf = np.log((n_docs + 1) / (corpus_df + 1)) + 1
-        rows = [self.vector(t, c) for t, c in vectors]
-        has = np.array([len(t) > 0 for t, _ in rows], bool)
-        at = np.flatnonzero(has)
-        self.index = Index(ids[at], toxic[at], [rows[i] for i in at], len(terms), k)
-        rest = toxic[~has]
+        self.tell = np.full(len(terms), -1)
+        self.tell[telling] = np.arange(len(telling))
+        self.tell_idf = self.idf[telling]
+        every = [self.vector(t, c) for t, c in vectors]
+        told = [self.told(t, c) for t, c in vectors]
+        self.every = Postings(every, len(terms))
+        at = np.flatnonzero([len(t) > 0 for t, _ in told])
+        self.index = Index(at, toxic[at], [told[i] for i in at], len(telling), k)
+        place = {int(i): j for j, i in enumerate(self.index.ids)}
+        rest = toxic[[len(t) == 0 for t, _ in every]]
         self.none = float((rest.sum() + 0.5) / (len(rest) + 1)) if len(rest) else 0.5
         votes, seen = [], []
-        for i, (t, x) in enumerate(self.index.rows):
-            pos, sim = self.index.nearest(t, x, leave=i)
+        for i, (x, y) in enumerate(zip(every, told, strict=True)):
+            vote, pos, _ = self.vote(x, y, i, place.get(i, -1))
             if len(pos):
-                votes.append(self.index.vote(pos, sim))
-                seen.append(self.index.toxic[i])
+                votes.append(vote)
+                seen.append(self.toxic[i])
         self.steps = _isotonic(np.array(votes), np.array(seen))
-        self.cache: dict[bytes, tuple] = {}
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = (1 + np.log(counts)) * self.idf[terms]
+    def vector(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(counts)) * (self.idf if idf is None else idf)[terms]
         return terms, (x / np.sqrt((x * x).sum())).astype(np.float32) if len(x) else x.astype(np.float32)
 
+    def told(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector over the telling words alone."""
+        t = self.tell[terms]
+        return self.vector(t[t >= 0], counts[t >= 0], self.tell_idf)
+
+    def vote(self, every: tuple, told: tuple, leave: int = -1, leave_told: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """(vote, positions and similarities of the nearest over all terms)."""
+        pos, sim = self.every.nearest(*every, self.k, leave)
+        if not len(pos):
+            return 0.0, pos, sim
+        copies = sim >= COPY
+        if copies.any():
+            return float(self.toxic[pos[copies]].mean()), pos, sim
+        whole, part = float((sim * sim * self.toxic[pos]).sum() / (sim * sim).sum()), 0.0
+        if len(told[0]):
+            p, s = self.index.nearest(*told, leave=leave_told)
+            part = self.index.vote(p, s) if len(p) else 0.0
+        return WHOLE * whole + (1 - WHOLE) * part, pos, sim
+
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list, list]:
         """(probability, neighbours' ids, similarities)."""
-        key = terms.tobytes() + counts.tobytes()
-        if key not in self.cache:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            pos, sim = self.index.nearest(*self.vector(terms, counts))
-            p = float(np.interp(self.index.vote(pos, sim), *self.steps)) if len(pos) else self.none
-            self.cache[key] = (p, self.index.ids[pos[:3]].tolist(), [round(float(s), 6) for s in sim[:3]])
-        return self.cache[key]
-
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        vote, pos, sim = self.vote(self.vector(terms, counts), self.told(terms, counts))
+        p = float(np.interp(vote, *self.steps)) if len(pos) else self.none
+        return p, self.ids[pos[:3]].tolist(), [round(float(s), 6) for s in sim[:3]]
 
 
 def _isotonic(vote: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +238,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, most_term
     sign = t["sign"].to_numpy().view(np.uint64)
     words = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in t["words"]]
     counts = [x.values.to_numpy(zero_copy_only=False) for x in t["counts"]]
-    terms = informative(toxic, sign, words, most_terms)
+    terms = np.unique(np.concatenate(words)) if len(words) else np.zeros(0, np.uint64)
     table = Table(terms)
+    telling = np.searchsorted(terms, informative(toxic, sign, words, most_terms))
     found = [table.find(h) for h in words]
     vectors_ = [(term, c[at]) for (at, term), c in zip(found, counts, strict=True)]
     df, n = _corpus_counts(docs, terms)
-    return Model(ids, toxic, sign, vectors_, df, n, terms, k)
+    return Model(ids, toxic, vectors_, df, n, terms, telling, k)
 
 
 def _corpus_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -219,21 +264,20 @@ def _corpus_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], names=["term", "n"])
 
-    out, total = np.zeros(len(terms)), 0
-    for r in docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            out[r["term"]] = r["n"]
+    t = docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    term, n = t["term"].to_numpy(), t["n"].to_numpy()
+    out = np.zeros(len(terms))
+    out[term[term >= 0]] = n[term >= 0]
+    total = int(n[term < 0].sum())
     return out, total
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours, similarities for every row of ``docs``.
 
-    Null, empty and term-free texts get the toxic rate of examples without terms; repeated rows
-    get equal scores; an empty table gives no rows; other columns are not read. Ties among
-    neighbours go to the example that comes first in the index.
+    Null and empty texts and those without a word of the examples get the toxic rate of examples
+    without words; repeated rows get equal scores; an empty table gives no rows; other columns are
+    not read. Ties among neighbours go to the example of the least id.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -356,6 +356,34 @@ def test_copies_lend_no_weight():
     assert len(toxicity.informative(toxic, sign, words_, 10)) == 0
 
 
+def test_a_copy_of_a_toxic_example_without_telling_words(spark):
+    """Neighbours are over all words: what equals a labelled example has its label, what is near it finds it."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(40))
+    rows = [(i, text()) for i in range(200)]
+    labels = spark.createDataFrame([(i, 0, int(i % 9 == 0)) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 0 and i % 9 == 0]
+    docs = spark.createDataFrame(rows + [(1000 + i, rows[i][1]) for i in held] + [(2000 + i, rows[i][1] + " more words") for i in held], "doc_id bigint, text string")
+    model = toxicity.learn(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[k + i]["neighbours"][0] == i for i in held for k in (1000, 2000))
+    plain = np.mean([got[i]["score"] for i in range(200) if i % 9])
+    assert all(got[1000 + i]["score"] > plain and got[1000 + i]["similarities"][0] > 0.999 for i in held)
+
+
+def test_postings_are_exact():
+    rng = np.random.default_rng(8)
+    dense = rng.random((90, 50)).astype(np.float32) * (rng.random((90, 50)) < 0.2)
+    rows = [(np.flatnonzero(x), x[x > 0]) for x in dense]
+    index = toxicity.Postings(rows, 50)
+    for i, (t, x) in enumerate(rows):
+        sims = dense @ dense[i]
+        sims[i] = 0
+        pos, sim = index.nearest(t, x, 9, i)
+        best = np.sort(sims)[::-1][:9]
+        assert np.allclose(sim, best[best > 0], atol=1e-5) and np.allclose(sims[pos], sim, atol=1e-5)
+
+
 # 5 language
 
 
