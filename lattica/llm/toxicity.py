@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns; decided in one pass."""
+    """The documents that are not predicted toxic, with their columns; all where there are no examples."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
             at, term = table.find(w.hash)
             pair, count = np.unique(w.row[at] * np.int64(width) + term, return_counts=True)
             ends = np.searchsorted(pair // width, np.arange(batch.num_rows + 1))
-            keep = [(model.score(pair[a:b] % width, count[a:b])[0] if b > a else model.none) < 0.5 for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            keep = [not len(model.ids) or (model.score(pair[a:b] % width, count[a:b])[0] if b > a else model.none) < 0.5 for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -371,6 +371,11 @@ def test_a_copy_of_a_toxic_example_without_telling_words(spark):
     assert all(got[1000 + i]["score"] > plain and got[1000 + i]["similarities"][0] > 0.999 for i in held)
 
 
+def test_without_labels_nothing_is_rejected(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert toxicity.reject(odd_docs, toxicity.learn(odd_docs, none)).count() == odd_docs.count()
+
+
 def test_postings_are_exact():
     rng = np.random.default_rng(8)
     dense = rng.random((90, 50)).astype(np.float32) * (rng.random((90, 50)) < 0.2)
