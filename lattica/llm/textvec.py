@@ -9,8 +9,9 @@ import pyarrow as pa
 
 CHUNK = 2 << 20
 PIECE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: A word is hashed in strides of this many bytes.
+STRIDE = 256
+_RANDOM = np.random.default_rng(41).integers(0, 1 << 63, STRIDE * 256, np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words: letters, digits and all bytes of non-ASCII characters.
@@ -55,17 +56,21 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: dict[str, np.ndarray] = {}
+def _beyond_ascii(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of Unicode punctuation, first bytes of characters that are words by themselves).
 
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        m = max(n, PIECE * 2)
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(m, b, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+    Scripts without spaces (kana and Han from U+3040, Thai and Lao) have a word for each
+    character, all of three bytes; the blocks of general, Han and full-width punctuation divide words.
+    """
+    lead = np.flatnonzero(data >= 0xE0)
+    lead = lead[lead + 2 < len(data)]
+    if not len(lead):
+        return lead, lead
+    a, b, c = data[lead], data[lead + 1], data[lead + 2]
+    mark = (a == 0xE2) & (b <= 0x81) | (a == 0xE3) & (b == 0x80) | (a == 0xEF) & (b == 0xBC) & (c < 0x90)
+    alone = (a == 0xE3) & (b > 0x80) | (a > 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+    at = lead[mark]
+    return np.concatenate([at, at + 1, at + 2]), lead[alone]
 
 
 class Words:
@@ -73,10 +78,14 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, lower: bool = True):
         is_word = kind[data]
+        alone = np.zeros(0, np.int64)
+        if kind is ALNUM:
+            marks, alone = _beyond_ascii(data)
+            is_word[marks] = False
         left = np.empty(len(data) + 1, bool)
         left[0] = left[-1] = False
         left[1:] = is_word
-        cut = offsets[:-1]
+        cut = np.r_[offsets[:-1], alone, alone + 3]
         cut = cut[cut < len(data)]
         left[cut] = False
         self.start = np.flatnonzero(is_word & ~left[:-1])
@@ -106,19 +115,29 @@ class Words:
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes by prefix sums, piece by piece; pieces begin at words."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
-        a, b = int(start[i]), int(end[j - 1])
-        up, down = _power(b - a + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * down[s]
+    """64 bits of each word: random numbers by place and byte are summed in each stride, and the
+    strides, mixed with their number, in each word. Unlike a polynomial modulo 2^64 this has no
+    texts of regular form that collide. Memory is bounded by PIECE, however long a word is."""
+    length = end - start
+    strides = np.maximum(1, -(-length // STRIDE))
+    first = np.cumsum(strides) - strides
+    number = np.arange(strides.sum()) - np.repeat(first, strides)
+    at = np.repeat(start, strides) + number * STRIDE
+    size = np.minimum(STRIDE, np.repeat(end, strides) - at)
+    upto, sums, i = np.cumsum(size), np.empty(len(at), np.uint64), 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + PIECE, "right")))
+        n = size[i:j]
+        begin = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(begin, n)
+        byte = data[place + np.repeat(at[i:j], n)]
+        sums[i:j] = np.add.reduceat(_RANDOM[(place << 8) | byte], begin)
         i = j
-    return mix64(out)
+    if len(at) > len(start):
+        sums = np.add.reduceat(mix64(sums + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) if len(start) else sums
+    else:
+        sums = mix64(sums)
+    return mix64(sums + length.astype(np.uint64))
 
 
 def hash_words(words: list[str]) -> np.ndarray:

@@ -8,7 +8,8 @@ Files go through Spark's committer: a lost task leaves nothing and is run again.
 
 Encoding: pre-tokens are cut by array operations with the rule of the byte-level tokenizer;
 each new pre-token is encoded by the tokenizers library and kept in a table of bounded size, as
-byte-pair merges never cross pre-tokens. Texts are gathered from that table.
+byte-pair merges never cross pre-tokens. Texts are gathered from that table, found by hash and
+compared point by point: another pre-token with the same hash is encoded by the library.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from lattica.llm.common import written
 from lattica.llm.textvec import chunks, mix64
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
-KEPT = 1 << 20
+#: Pre-tokens, and code points of them, that a worker keeps.
+KEPT, KEPT_POINTS = 1 << 20, 1 << 24
 STEP = 4096
 OPTIONS = {
     "compression": "zstd",
@@ -93,11 +95,9 @@ def pre_tokens(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-_BASE = np.uint64(0x2545F4914F6CDD1D)
-
 
 class Encoder:
-    """Texts to ids, with the encoded pre-tokens kept by their 64-bit hash."""
+    """Texts to ids, with the encoded pre-tokens kept by a 64-bit hash and compared point by point."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -108,24 +108,24 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where their ids are
-        self.ids = np.zeros(1 << 18, np.int32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
+        self.ids, self.ends = _Growing(np.int32), _Growing(np.int64)  # ids of pre-tokens, and where they end
+        self.points, self.stops = _Growing(np.uint32), _Growing(np.int64)  # their code points, and where these end
+        self.ends.add([0])
+        self.stops.add([0])
 
-    def _add(self, keys: np.ndarray, tokens: list[str]) -> None:
+    def _ids_of(self, tokens: list[str]) -> Iterator[list[int]]:
         for a in range(0, len(tokens), STEP):
-            for enc in self.tokenizer.encode_batch_fast(tokens[a : a + STEP], add_special_tokens=False):
-                ids = enc.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-                if self.n + 1 >= len(self.ends):
-                    self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.n += 1
-                self.ends[self.n] = self.used
-        every = np.r_[self.keys, keys]
-        place = np.r_[self.place, np.arange(self.n - len(keys), self.n, dtype=np.int32)]
+            yield from (enc.ids for enc in self.tokenizer.encode_batch_fast(tokens[a : a + STEP], add_special_tokens=False))
+
+    def _add(self, keys: np.ndarray, tokens: list[str]) -> None:
+        for ids in self._ids_of(tokens):
+            self.ids.add(ids)
+            self.ends.add([self.ids.n])
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.stops.add(self.points.n + np.cumsum(size))
+        self.points.add(np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32))
+        place = np.arange(self.ends.n - 1 - len(keys), self.ends.n - 1, dtype=np.int32)
+        every, place = np.r_[self.keys, keys], np.r_[self.place, place]
         order = np.argsort(every, kind="stable")
         self.keys, self.place = every[order], place[order]
 
@@ -135,14 +135,32 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.place[at], -1)
 
+    def _others(self, points: np.ndarray, start: np.ndarray, length: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The pre-tokens whose code points aren't those kept at ``where``: another text with the same hash."""
+        low, stop = self.stops.x[where], self.stops.x[where + 1]
+        other = stop - low != length
+        i = 0
+        while i < len(start):  # pre-tokens cover the texts, so a run of them is a slice of the points
+            j = max(i + 1, int(np.searchsorted(start, start[i] + (1 << 19), "left")))
+            ok = i + np.flatnonzero(~other[i:j])
+            n = length[ok]
+            begin = np.cumsum(n) - n
+            inside = np.arange(n.sum()) - np.repeat(begin, n)
+            differ = points[inside + np.repeat(start[ok], n)] != self.points.x[inside + np.repeat(low[ok], n)]
+            if differ.any():
+                other[ok[np.add.reduceat(differ, begin) > 0]] = True
+            i = j
+        return np.flatnonzero(other)
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by end_id; offsets)."""
-        if self.n > KEPT:
+        if self.ends.n > KEPT or self.points.n > KEPT_POINTS:
             self.clear()
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.cumsum([0, *map(len, texts)])
         start = pre_tokens(points, begins[:-1])
+        kept = self.ids.x
         if len(start):
             length = np.diff(np.r_[start, len(points)])
             keys = _hashes(points, start, length)
@@ -153,13 +171,18 @@ class Encoder:
                 self._add(uniq[new], [joined[start[i] : start[i] + length[i]] for i in at[new]])
                 known[new] = self._find(uniq[new])
             where = known[inverse]
-            low, size = self.ends[where], self.ends[where + 1] - self.ends[where]
+            low, size = self.ends.x[where], self.ends.x[where + 1] - self.ends.x[where]
+            kept = self.ids.x[: self.ids.n]
+            if len(rest := self._others(points, start, length, where)):
+                for i, ids in zip(rest, self._ids_of([joined[start[i] : start[i] + length[i]] for i in rest]), strict=True):
+                    low[i], size[i] = len(kept), len(ids)
+                    kept = np.r_[kept, np.array(ids, np.int32)]
         else:
             low = size = np.zeros(0, np.int64)
         sums = np.r_[0, np.cumsum(size)]
         mine = np.diff(sums[np.searchsorted(start, begins)]) + 1
         offsets = np.r_[0, np.cumsum(mine)]
-        body = self.ids[np.repeat(low - sums[:-1], size) + np.arange(sums[-1])]
+        body = kept[np.repeat(low - sums[:-1], size) + np.arange(sums[-1])]
         out = np.full(offsets[-1], end_id, np.int32)
         keep = np.ones(offsets[-1], bool)
         keep[offsets[1:] - 1] = False
@@ -167,22 +190,38 @@ class Encoder:
         return out, offsets
 
 
+class _Growing:
+    """An array that doubles as it is added to."""
+
+    def __init__(self, kind):
+        self.x, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, more) -> None:
+        if self.n + len(more) > len(self.x):
+            self.x = np.r_[self.x, np.zeros(max(len(self.x), len(more)), self.x.dtype)]
+        self.x[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+_UP = np.random.default_rng(43).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _hashes(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64 bits of each pre-token, by prefix sums of weighted code points in pieces."""
-    from lattica.llm.textvec import PIECE, _power
+    """64 bits of each pre-token: its length, and its mixed code points weighted by their place modulo 64.
 
-    out = np.empty(len(start), np.uint64)
-    end, i = start + length, 0
+    Places 64 apart have one weight, so long pre-tokens can share a key; what a key finds is compared."""
+    out, i = np.empty(len(start), np.uint64), 0
     while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
-        a, b = int(start[i]), int(end[j - 1])
-        up, down = _power(b - a + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((points[a:b].astype(np.uint64) + _BASE) * up[: b - a], out=sums[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * down[s]
+        j = max(i + 1, int(np.searchsorted(start, start[i] + (1 << 19), "left")))
+        n, a = length[i:j], int(start[i])
+        begin = start[i:j] - a
+        place = np.arange(n.sum()) - np.repeat(begin, n)
+        x = points[a : a + len(place)].astype(np.uint64) + np.uint64(0x632BE59B)
+        x *= _UP[place & 63]
+        x ^= x >> np.uint64(32)
+        out[i:j] = np.add.reduceat(x * _UP[(place + 7) & 63], begin)
         i = j
-    return mix64(out)
+    return mix64(out + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @cache
