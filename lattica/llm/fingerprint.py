@@ -1,7 +1,8 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text's weighted terms are its runs of five words, by count; a text of under ``SHORT`` words
-weighs its single words too, and a text without words is one term. For each of ``SAMPLES``
+A text's weighted terms are its runs of five words, by count, of which the first four may begin
+before the text (so its first one to four words are terms, and a short text has terms as well); a
+text without words is one term. For each of ``SAMPLES``
 samples a term has two Gamma(2, 1) variates r and c and a uniform b, drawn by hash from a table
 of 2^18 triples; with weight w it has level t = floor(ln w / r + b) and value
 ln c - r (t - b) - r. The term and level of the least value are the sample, so two texts agree in
@@ -26,7 +27,6 @@ from lattica.llm.textvec import Words, chunks, mix64, text_bytes
 
 SAMPLES = 128
 WORDS = 5
-SHORT = 20
 TABLE_BITS = 18
 FEATURE_BITS = 44
 
@@ -51,12 +51,18 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(pa.array(texts, pa.large_string()))
     w = Words(data, offsets)
     at, h = w.grams(WORDS)
-    n = np.diff(w.bounds())
-    short = n[w.row] < SHORT
+    b = w.bounds()
+    n, hashes, rows = np.diff(b), [h], [w.row[at]]
+    opening = np.full(len(texts), 0x5851F42D4C957F2D, np.uint64)
+    for k in range(WORDS - 1):
+        long = np.flatnonzero(n > k)
+        opening[long] = mix64(opening[long] * np.uint64(0xD6E8FEB86659FD93) + w.hash[b[long] + k])
+        hashes.append(opening[long])
+        rows.append(long)
     bare = np.flatnonzero(n == 0)
-    whole = np.array([xxhash.xxh64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes()) for i in bare], np.uint64)
-    row = np.concatenate([w.row[at], w.row[short], bare]).astype(np.uint64)
-    key = (row << np.uint64(FEATURE_BITS)) | (np.concatenate([h, w.hash[short], whole]) >> np.uint64(64 - FEATURE_BITS))
+    hashes.append(np.array([xxhash.xxh64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes()) for i in bare], np.uint64))
+    row = np.concatenate([*rows, bare]).astype(np.uint64)
+    key = (row << np.uint64(FEATURE_BITS)) | (np.concatenate(hashes) >> np.uint64(64 - FEATURE_BITS))
     key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
     count = np.diff(np.r_[first, len(key)])
@@ -110,6 +116,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+#: Stands for a null id: the least bigint, so it is the last by descending id.
+NO_ID = -(1 << 63)
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -123,7 +131,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 62))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     limits = np.unique(np.array(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts), np.int64))
     bucket_of = F.pandas_udf(lambda x: pd.Series(np.searchsorted(limits, x.to_numpy(), "right").astype(np.int32)), "int")
     firsts = docs.select("doc_id", bucket_of("doc_id").alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()  # a row for each range
@@ -149,7 +157,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited text has the first half of the document (the longer half) and as many code points
     from the next document, by descending id, as are replaced. Null text is empty; rows of one id
     follow each other by text; a single document is next to itself; a null id comes last, as the
-    least id there is; an empty table gives no rows; other columns are not read.
+    least bigint (which a real id can't be); an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +182,4 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             )
 
     found = with_next(docs).select("bucket", "guest", "doc_id", "text").mapInArrow(run, OUT)
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 62))))
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
