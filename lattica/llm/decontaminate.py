@@ -1,12 +1,20 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The test items are the query set, taken in blocks of at most ``block_bytes`` of text, so what a
-task holds is bounded; the documents are read twice for a block. The first reading counts in
-how many documents each n-gram of the items occurs, over all documents. Seeds are, in every
-stretch of an item, its rarest n-grams, however common they are, so a passage that a third of
-the documents share has seeds as well. The second reading finds seeds in whole texts and aligns
-the item with the passage around each diagonal that has one, in the same task: a document's
-hits are never shuffled. Alignment scores matches 2, mismatches and gaps -1, over words.
+Alignment is over words, matches 2, mismatches and gaps -1; a pair is reported from a score of
+``least`` of the whole item's with itself. Seeds are the pairs of neighbouring words of an item,
+found in a document side by side or with one word between. No pair is lost to them: let an
+alignment match m of an item's n words, with p breaks between matches that skip item words, q that
+skip two or more words of the document alone, and u and v that skip none and one. Then
+``score <= 2m - p - 2q - v`` with ``p + q + u + v = m - 1`` and ``m + p <= n``, so a score of S
+needs ``2u + v >= S - 2 - p`` and ``p <= (2n - S) / 3``: of the weight ``need = (4S - 2n) / 3 - 2``.
+An item's most common pairs, of less weight than ``need`` together, can therefore be left out, and
+what is left, its rarest, has a hit still. Where there is one, all pairs of the item are counted in
+the passage around it, and from ``need`` on it is aligned. A passage is 4n words and the next
+begins 2n later, so the words of an alignment (2n at most) lie in one of them whole.
+
+The test items are the query set, in blocks of at most ``block_bytes`` of text, so what a task holds
+is bounded. A first reading of the documents counts in how many each pair occurs, over all
+documents; the second finds and aligns in the same task: a document's hits are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,44 +26,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import without, written
-from lattica.llm.textvec import Table, Words, chunks, text_bytes
+from lattica.llm.textvec import Table, Words, chunks, mix64, text_bytes
 
-GRAM = 3
-STRETCH, RAREST = 8, 4
 MATCH, MISS, GAP = 2, 1, 1
-SCHEMA = "doc_id bigint, item_id bigint, score double, matched int, first_word int, last_word int"
+#: Items of fewer words must stand in a document word for word.
+SHORT = 5
+_ITEM, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _pairs(h: np.ndarray, distance: int) -> np.ndarray:
+    """The hash of each word and the one ``distance`` after it."""
+    return mix64(h[: max(0, len(h) - distance)] * _PAIR + h[distance:])
 
 
 @dataclass
 class _Items:
     ids: list
-    words: list[np.ndarray]
-    keys: np.ndarray  # every distinct n-gram
-    gram: np.ndarray  # per occurrence: index in keys
+    words: np.ndarray  # of all items
+    bounds: np.ndarray  # where each item's begin
+    need: np.ndarray  # weight of pairs that an alignment has at least
+    key: np.ndarray  # per place: the pair, or the whole of a short item
     item: np.ndarray
-    place: np.ndarray
 
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(self.bounds)
 
-def _items(rows) -> _Items:
-    w = Words(*text_bytes(pa.array([r["text"] for r in rows], pa.string())))
-    b = w.bounds()
-    words = [w.hash[x:y] for x, y in zip(b[:-1], b[1:], strict=True)]
-    # an item of fewer words than a gram has, is one gram of its own words: shorter texts can't be told from chance
-    at, h = w.grams(GRAM)
-    keys, gram = np.unique(h, return_inverse=True)
-    item = w.row[at]
-    return _Items([r["item_id"] for r in rows], words, keys, gram, item, at - b[item])
+
+def _items(rows, least: float) -> _Items:
+    w = Words(*text_bytes(pa.array([r["text"] for r in rows], pa.large_string())))
+    bounds = w.bounds()
+    n = np.diff(bounds)
+    pair = _pairs(w.hash, 1)
+    at = np.flatnonzero((w.row[:-1] == w.row[1:]) & (n[w.row[:-1]] >= SHORT)) if len(w.row) else np.zeros(0, np.int64)
+    keys, item = [pair[at]], [w.row[at]]
+    for k in range(1, SHORT):
+        i = np.flatnonzero(n == k)
+        if len(i):
+            first, gram = w.grams(k)
+            keys.append(gram[np.isin(first, bounds[i])])
+            item.append(i)
+    need = np.maximum(1, np.ceil((4 * least * MATCH * n - 2 * n) / 3 - 2 - 1e-9)).astype(np.int64)
+    return _Items([r["item_id"] for r in rows], w.hash, bounds, np.where(n < SHORT, 1, need), np.concatenate(keys), np.concatenate(item))
 
 
 def _seeds(items: _Items, df: np.ndarray) -> np.ndarray:
-    """Occurrences that are seeds: in each stretch of an item its rarest."""
-    stretch = items.place // STRETCH
-    order = np.lexsort((items.place, df[items.gram], stretch, items.item))
-    group = np.flatnonzero(np.r_[True, (np.diff(items.item[order]) != 0) | (np.diff(stretch[order]) != 0)]) if len(order) else order
-    rank = np.arange(len(order)) - np.repeat(group, np.diff(np.r_[group, len(order)]))
-    return order[rank < RAREST]
+    """Places that are seeds: an item's pairs but the most common, which weigh less than it needs."""
+    order = np.lexsort((items.key, -df, items.item))
+    item = items.item[order]
+    rank = np.arange(len(order)) - np.searchsorted(item, item)  # 0: the most common of the item
+    return order[(2 * (rank + 1) >= items.need[item]) | (items.size[item] < SHORT)]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,124 +99,184 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
-def _pad(rows: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.uint64)
+def _pad(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(1, *map(len, rows)) if len(rows) > 1 else max(1, len(rows[0]))), np.uint64)
     for r, x in zip(out, rows, strict=True):
         r[: len(x)] = x
     return out
 
 
-def _hits(w: Words, table: Table, first: np.ndarray, seeds: np.ndarray, items: _Items) -> dict:
-    """(document, item, first word of the passage): each stretch of diagonals that has a seed, once."""
-    at, h = w.grams(GRAM)
-    found, key = table.find(h)
-    if not len(found):
-        return {}
-    count = first[key + 1] - first[key]
-    hit = np.repeat(at[found], count)
-    occ = seeds[np.repeat(first[key] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
-    item = items.item[occ]
-    long = np.array([len(x) for x in items.words])[item]
-    base = w.bounds()[w.row[hit]]
-    step = np.maximum(8, long // 2)
-    diagonal = (hit - items.place[occ] - base) // step
-    return np.unique(np.stack([w.row[hit], item, diagonal * step]), axis=1)
-
-
-def _score(w: Words, windows, items: _Items, least: float) -> Iterator[tuple]:
-    bounds = w.bounds()
-    row, item, begin = windows
-    long = np.array([len(x) for x in items.words])[item]
-    order = np.argsort(long, kind="stable")
-    step = max(1, 200_000 // max(1, int(long.max())) // 3)
+@dataclass
+class _Seeds:
+    """What the second reading looks up."""
+
+    items: _Items
+    seeds: Table
+    first: np.ndarray  # per seed key: where its items begin in ``owner``
+    owner: np.ndarray
+    every: Table  # all pairs, by item
+
+    def passages(self, w: Words) -> np.ndarray:
+        """(row, item, number of the passage) of those that have a seed and pairs enough."""
+        n, b = self.items.size, w.bounds()
+        found = []
+        for d in (1, 2):
+            pair = _pairs(w.hash, d)
+            pair_at, key = self.seeds.find(pair)
+            keep = w.row[pair_at] == w.row[pair_at + d] if len(pair_at) else np.zeros(0, bool)
+            found.append((pair_at[keep], key[keep]))
+        for k in range(1, SHORT):  # whole short items
+            if (n == k).any():
+                first, gram = w.grams(k)
+                at, key = self.seeds.find(gram)
+                found.append((first[at], key))
+        at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        count = self.first[key + 1] - self.first[key]
+        item = self.owner[np.repeat(self.first[key] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        at = np.repeat(at, count)
+        if not len(at):
+            return np.zeros((3, 0), np.int64)
+        row = w.row[at]
+        k = (at - b[row]) // (2 * n[item])
+        some = np.stack([np.r_[row, row], np.r_[item, item], np.r_[k, np.maximum(0, k - 1)]])
+        some = np.unique(some, axis=1)
+        keep = np.zeros(some.shape[1], bool)
+        for a in range(0, some.shape[1], 4096):
+            keep[a : a + 4096] = self._enough(w, b, *some[:, a : a + 4096])
+        return some[:, keep]
+
+    def _enough(self, w: Words, b: np.ndarray, row: np.ndarray, item: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether the passages hold pairs of the item with the weight it needs."""
+        low, high = _span(self.items.size[item], b, row, k)
+        size = high - low
+        who = np.repeat(np.arange(len(row)), size)
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        weight = np.zeros(len(row), np.int64)
+        for d, worth in ((1, 2), (2, 1)):
+            ok = at + d < high[who]
+            pair = mix64(w.hash[at[ok]] * _PAIR + w.hash[at[ok] + d])
+            hit, _ = self.every.find(mix64(pair + item[who[ok]].astype(np.uint64) * _ITEM))
+            weight += worth * np.bincount(who[ok][hit], minlength=len(row))
+        return (weight >= self.items.need[item]) | (self.items.size[item] < SHORT)
+
+
+def _span(n: np.ndarray, b: np.ndarray, row: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = b[row] + 2 * n * k
+    return low, np.minimum(b[row + 1], low + 4 * n)
+
+
+def _score(w: Words, passages: np.ndarray, items: _Items, least: float) -> list[tuple]:
+    """(row, item, score, matched, first and last word) of the best alignment of each pair."""
+    b, size = w.bounds(), items.size
     best: dict[tuple[int, int], tuple] = {}
-    for k in range(0, len(order), step):
-        part = order[k : k + step]
-        width = int(long[part].max())
-        low = np.maximum(bounds[row[part]], bounds[row[part]] + begin[part] - width // 2)
-        high = np.minimum(bounds[row[part] + 1], bounds[row[part]] + begin[part] + 2 * width + 8)
-        passages = [w.hash[a:b] for a, b in zip(low, high, strict=True)]
-        mine = [items.words[i] for i in item[part]]
-        score, end = align(_pad(mine, width), _pad(passages, max(map(len, passages))))
-        share = score / (MATCH * long[part])
-        good = np.flatnonzero(share >= least)
-        if not len(good):
-            continue
-        # the same backwards gives where the alignment begins
-        back = [passages[g][: end[g] + 1][::-1] for g in good]
-        _, start = align(_pad([mine[g][::-1] for g in good], width), _pad(back, max(map(len, back))))
-        for g, s in zip(good, start, strict=True):
-            r, i = int(row[part[g]]), int(item[part[g]])
-            a, b = int(low[g] + end[g] - s), int(low[g] + end[g])
-            matched = int(np.isin(mine[g], w.hash[a : b + 1]).sum())
-            found = (float(share[g]), matched, a - int(bounds[r]), b - int(bounds[r]))
-            best[r, i] = max(best.get((r, i), found), found, key=lambda x: (x[0], -x[2]))
-    yield from ((r, i, *x) for (r, i), x in best.items())
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, item_id, score, matched, first_word, last_word: the pairs that score ``least`` or more.
+    order = passages[:, np.argsort(size[passages[1]], kind="stable")]
+    lengths, begin = np.unique(size[order[1]], return_index=True)
+    for n, i, j in zip(lengths, begin, np.r_[begin[1:], order.shape[1]], strict=True):
+        step = max(1, (1 << 18) // int(4 * n))  # items of one length at a time, 2 MB of passages
+        for a in range(i, j, step):
+            row, item, k = order[:, a : min(j, a + step)]
+            low, high = _span(n, b, row, k)
+            rows = [w.hash[x:y] for x, y in zip(low, high, strict=True)]
+            mine = items.words[items.bounds[item][:, None] + np.arange(n)]
+            score, end = align(mine, _pad(rows))
+            share = score / (MATCH * n)
+            good = np.flatnonzero(share >= (1.0 if n < SHORT else least))
+            if not len(good):
+                continue
+            # the same backwards gives where the alignment begins
+            _, start = align(mine[good][:, ::-1], _pad([rows[g][: end[g] + 1][::-1] for g in good]))
+            for g, s in zip(good, start, strict=True):
+                r, x, y = int(row[g]), int(low[g] + end[g] - s), int(low[g] + end[g])
+                matched = int(np.isin(mine[g], w.hash[x : y + 1]).sum())
+                found = (float(share[g]), matched, x - int(b[r]), y - int(b[r]))
+                best[r, int(item[g])] = max(best.get((r, int(item[g])), found), found, key=lambda f: (f[0], -f[2]))
+    return sorted((r, i, *x) for (r, i), x in best.items())
 
-    ``score`` is the best local alignment over that of the whole item with itself (0 to 1); the
-    words count from 0 in the document. Null and empty texts have no words and no pairs; items
-    under three words have no n-gram and no pairs; a passage that a document repeats gives its
-    best alignment, the first among equals; repeated rows give a row each; with no item or no
-    document there are no pairs; other columns are not read.
-    """
-    spark = docs.sparkSession
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, least: float, block_bytes: int) -> Iterator:
+    """A broadcast of what the second reading looks up, for each block of items."""
+    if least < 0.5:
+        raise ValueError("pairs under half of an item's score have no seed for sure")
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    out = spark.createDataFrame([], SCHEMA)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        if rows:
-            out = out.unionByName(_block(docs, _items(rows), least))
-    return out
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # at most about block_bytes
+        found = _items(rows, least)
+        if len(found.key):
+            yield docs.sparkSession.sparkContext.broadcast(_prepared(docs, found))
 
 
-def _block(docs: DataFrame, items: _Items, least: float) -> DataFrame:
-    spark = docs.sparkSession
-    keys = spark.sparkContext.broadcast(items.keys)
+def _prepared(docs: DataFrame, items: _Items) -> _Seeds:
+    keys, place = np.unique(items.key, return_inverse=True)
+    held = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, df = Table(keys.value), np.zeros(len(keys.value), np.int64)
+        table, df = Table(held.value), np.zeros(len(held.value), np.int64)
         for batch in chunks(batches):
             w = Words(*text_bytes(batch.column("text")))
-            at, h = w.grams(GRAM)
-            found, key = table.find(h)
-            pairs = np.unique(w.row[at[found]] * np.int64(len(df)) + key)
-            np.add.at(df, pairs % len(df), 1)
+            at, key = table.find(_pairs(w.hash, 1))
+            keep = w.row[at] == w.row[at + 1] if len(at) else np.zeros(0, bool)
+            seen = np.unique(w.row[at[keep]] * np.int64(len(df)) + key[keep])
+            df += np.bincount(seen % len(df), minlength=len(df))
         some = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(some), pa.array(df[some])], names=["gram", "n"])
-
-    df = np.zeros(len(items.keys), np.int64)
-    if len(items.keys):
-        for r in docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # one row for each n-gram of a block
-            df[r["gram"]] = r["n"]
-    seeds = _seeds(items, df)
-    seeds = seeds[np.argsort(items.gram[seeds], kind="stable")]
-    grams, first = np.unique(items.gram[seeds], return_index=True)
-    held = spark.sparkContext.broadcast((items, items.keys[grams], np.r_[first, len(seeds)], seeds))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, wanted, first, seeds = held.value
-        table = Table(wanted)
-        for batch in chunks(batches):
-            w = Words(*text_bytes(batch.column("text")))
-            windows = _hits(w, table, first, seeds, items)
-            found = sorted(_score(w, windows, items, least)) if len(windows) else []
-            if found:
-                row, item, score, matched, a, b = zip(*found, strict=True)
-                yield pa.record_batch(
-                    [batch.column("doc_id").take(pa.array(row)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(score), pa.array(matched, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
-                    names=["doc_id", "item_id", "score", "matched", "first_word", "last_word"],
-                )
+        yield pa.record_batch([pa.array(some), pa.array(df[some])], names=["pair", "n"])
+
+    df = np.zeros(len(keys), np.int64)
+    t = docs.select("text").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # one row for each pair of a block
+    df[t["pair"].to_numpy()] = t["n"].to_numpy()
+    seeds = _seeds(items, df[place])
+    seeds = seeds[np.lexsort((items.item[seeds], place[seeds]))]
+    used, first = np.unique(place[seeds], return_index=True)
+    every = np.unique(mix64(items.key + items.item.astype(np.uint64) * _ITEM))
+    return _Seeds(items, Table(keys[used]), np.r_[first, len(seeds)], items.item[seeds], Table(every))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, item_id, score, matched, first_word, last_word: the pairs that score ``least`` or more.
+
+    ``score`` is the best local alignment over that of the whole item with itself (0 to 1); the
+    words count from 0 in the document. Null and empty texts have no words and no pairs; an item
+    of under five words is found only word for word; a passage that a document repeats gives its
+    best alignment, the first among equals; repeated rows give a row each; with no item or no
+    document there are no pairs; other columns are not read.
+    """
+    ids, item_type = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    schema = f"doc_id {ids.simpleString()}, item_id {item_type.simpleString()}, score double, matched int, first_word int, last_word int"
+    item_type = to_arrow_type(item_type)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for held in _blocks(docs, benchmark, least, block_bytes):
+
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch, found in _found(batches, held.value, least):
+                if found:
+                    row, item, score, matched, a, b = zip(*found, strict=True)
+                    yield pa.record_batch(
+                        [batch.column("doc_id").take(pa.array(row)), pa.array([held.value.items.ids[i] for i in item], item_type), pa.array(score), pa.array(matched, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
+                        names=["doc_id", "item_id", "score", "matched", "first_word", "last_word"],
+                    )
+
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
+    return out
+
+
+def _found(batches: Iterator[pa.RecordBatch], seeds: _Seeds, least: float) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    for batch in chunks(batches):
+        w = Words(*text_bytes(batch.column(batch.schema.get_field_index("text"))))
+        passages = seeds.passages(w)
+        yield batch, _score(w, passages, seeds.items, least) if passages.shape[1] else []
+
 
-    return docs.mapInArrow(find, SCHEMA)
+def clean(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows without a contaminated pair, with their columns; a row is judged by its own text, whatever its id."""
+    kept = docs
+    for held in _blocks(docs, benchmark, least, block_bytes):
 
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch, found in _found(batches, held.value, least):
+                good = np.ones(batch.num_rows, bool)
+                good[[f[0] for f in found]] = False
+                yield batch.filter(pa.array(good))
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a contaminated pair, with their columns."""
-    return without(docs, written(contaminated(docs, benchmark, **options).select("doc_id"), "contaminated"))
+        kept = kept.mapInArrow(keep, docs.schema)
+    return kept
