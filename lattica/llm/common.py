@@ -29,16 +29,39 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a folder in any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage by a table that survives a lost executor, and keeps wide or
-    costly inputs from being computed twice.
+    costly inputs from being computed twice. The table goes when the application ends, or by
+    ``discard`` before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, path)
+    return out
+
+
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that no plan reads any more."""
+    for t in tables:
+        _, path = _tables.pop(id(t), (None, None))
+        if path:
+            fs, p = _path(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +96,26 @@ def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``ids`` (a written table with a column doc_id).
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text) -> object:
+    """64 bits of a text; a null one is told from an empty one."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id and text aren't in ``gone`` (a written table: doc_id, tie), or are (``keep``).
 
-    Few ids are broadcast, so that the texts aren't shuffled; more than that are joined by key.
+    ``tie`` is ``text_key`` of the text, so rows that share an id or have none stand by themselves.
+    Few keys are broadcast, so that the texts aren't shuffled; more than that are joined by key.
     """
-    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    id_name, tie_name = free_name(docs, "gone_id"), free_name(docs, "gone_tie")
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("tie").alias(tie_name)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(id_name)) & (text_key(docs["text"]) == F.col(tie_name))
+    return docs.join(small(gone), same, "left_semi" if keep else "left_anti")

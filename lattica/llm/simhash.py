@@ -2,15 +2,18 @@
 
 A 64-bit fingerprint is mapped to a point: the bit counts of its 32 two-bit segments. Flipping
 a bit moves one coordinate by at most one, so the Manhattan distance of two points is a lower
-bound of the Hamming distance of their fingerprints. The range join "distance at most 3" is a
-grid join: with the axes in six blocks, points within 3 agree wholly on three blocks at least,
-so a cell is a choice of three blocks with the point's coordinates there, and a fingerprint has
-20 cells. Pairs in a cell are verified on the bits.
+bound of the Hamming distance of their fingerprints. The range join "Manhattan distance at most
+``reach``" is a grid join: with the axes in blocks, points that near differ in ``reach`` blocks at
+most, so a cell is a choice of the other blocks with the point's coordinates there. Pairs in a
+cell are held against the Manhattan bound, and what is left is verified on the bits. More blocks
+make more and finer cells; their number follows the number of fingerprints, and any gives the
+same links.
 
 Copies are one fingerprint from the start. A cell gives links that join what is linked in it,
 not all its pairs: each found point absorbs what is near it. Cells that a sixteenth of the
-fingerprints shows to be large are first cut by exact 16-bit blocks (of four, one must agree),
-so no task gets a large cell; the sample steers only where rows go.
+fingerprints shows to be large are first cut by exact runs of bits: of ``reach + 1`` runs, the
+differing bits of a pair can touch ``reach``, so one agrees and the pair meets there: nothing is
+lost by a cut, and the sample steers only where rows go.
 
 That setting is op4's. The pipeline keeps one of what is alike by five-word shingles, Jaccard 0.8
 or more, which for 64 bits lies up to 17 bits apart, beyond any grid. ``alike`` therefore finds
@@ -29,12 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small, without, written
+from lattica.llm.common import free_name, small, text_key, without, written
 from lattica.llm.components import components
 from lattica.llm.textvec import BLACK, Words, chunks, mix64, text_bytes
 
 REACH = 3
-BLOCKS = 6
+#: Blocks of axes, and up to how many distinct fingerprints.
+BLOCKS = ((6, 1 << 26), (7, 1 << 30), (8, 1 << 64))
 LARGE = 4096
 SAMPLE = 16
 SHINGLE = 5
@@ -84,36 +88,52 @@ def _majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cells(fp: Column) -> Column:
-    """The 20 grid cells of a fingerprint's point, each as a hash of choice and coordinates."""
-    high, every = F.shiftrightunsigned(fp, 1), F.lit(0x5555555555555555)
+_EVERY = 0x5555555555555555
+
+
+def _cells(fp: Column, blocks: int, reach: int) -> Column:
+    """The grid cells of a fingerprint's point, each as a hash of choice and coordinates."""
+    high, every = F.shiftrightunsigned(fp, 1), F.lit(_EVERY)
     two, one = fp.bitwiseAND(high).bitwiseAND(every), fp.bitwiseXOR(high).bitwiseAND(every)
     point = F.shiftleft(two, 1).bitwiseOR(one)  # 32 fields of two bits, each a count of 0 to 2
-    cuts = [round(i * 32 / BLOCKS) for i in range(BLOCKS + 1)]
+    cuts = [round(i * 32 / blocks) for i in range(blocks + 1)]
     masks = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
     keys = []
-    for i, chosen in enumerate(combinations(masks, BLOCKS - REACH)):
+    for i, chosen in enumerate(combinations(masks, blocks - reach)):
         m = sum(chosen)
         keys.append(F.xxhash64(F.lit(i), point.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))))
     return F.array(*keys)
 
 
-def _near(p: np.ndarray, q) -> np.ndarray:
-    return np.bitwise_count(p ^ q) <= REACH
+def embed(fps: np.ndarray) -> np.ndarray:
+    """Points as thermometers: a segment with none, one or two bits is 00, 01 or 11.
+
+    The differing bits of two thermometers are the Manhattan distance of the points."""
+    high, every = fps >> np.uint64(1), np.uint64(_EVERY)
+    two = fps & high & every
+    return (two << np.uint64(1)) | two | ((fps ^ high) & every)
+
 
+def _near(p: np.ndarray, q, point_p: np.ndarray, point_q, reach: int) -> np.ndarray:
+    """Where p and q are within reach: the lower bound first, the bits of what it leaves then."""
+    near = np.flatnonzero(np.bitwise_count(point_p ^ point_q) <= reach)
+    return near[np.bitwise_count(p[near] ^ (q[near] if np.ndim(q) else q)) <= reach]
 
-def _absorb(rest: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    links = []
+
+def _absorb(rest: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    links, points = [], embed(rest)
     while len(rest) > 1:
-        todo, rest = [rest[0]], rest[1:]
+        todo, rest, points = [(rest[0], points[0])], rest[1:], points[1:]
         while todo and len(rest):
-            q = todo.pop()
-            near = _near(rest, q)
-            if near.any():
+            q, at = todo.pop()
+            near = _near(rest, q, points, at, reach)
+            if len(near):
                 hit = rest[near]
                 links.append((np.full(len(hit), q), hit))
-                todo.extend(hit)
-                rest = rest[~near]
+                todo.extend(zip(hit, points[near], strict=True))
+                left = np.ones(len(rest), bool)
+                left[near] = False
+                rest, points = rest[left], points[left]
     return links
 
 
@@ -122,7 +142,13 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(keys)])
 
 
-def _links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bits(reach: int) -> list[tuple[int, int]]:
+    """(shift, mask) of ``reach + 1`` runs of bits: two fingerprints within reach agree in one."""
+    cuts = [round(i * 64 / (reach + 1)) for i in range(reach + 2)]
+    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _links(keys: np.ndarray, fps: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links in the runs of equal keys that connect all that is within reach in a run."""
     if len(keys) < 2:
         return []
@@ -131,73 +157,79 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     for at, n in zip(first[size > 24], size[size > 24], strict=True):
         p = np.unique(fps[at : at + n])
         if len(p) <= LARGE:
-            out += _absorb(p)
+            out += _absorb(p, reach)
             continue
-        for block in range(4):
-            part = (p >> np.uint64(16 * block)) & np.uint64(0xFFFF)
+        for shift, mask in _bits(reach):
+            part = (p >> np.uint64(shift)) & np.uint64(mask)
             order = np.argsort(part, kind="stable")
             q = p[order]
             for a, m in zip(*_runs(part[order]), strict=True):
-                out += _absorb(q[a : a + m]) if m > 1 else []
-    small = np.repeat((size > 1) & (size <= 24), size)
-    k, f = keys[small], fps[small]
+                out += _absorb(q[a : a + m], reach) if m > 1 else []
+    small_runs = np.repeat((size > 1) & (size <= 24), size)
+    k, f = keys[small_runs], fps[small_runs]
+    points = embed(f)
     for d in range(1, 24):
         if len(k) <= d:
             break
-        at = np.flatnonzero((k[d:] == k[:-d]) & _near(f[d:], f[:-d]))
+        at = np.flatnonzero(k[d:] == k[:-d])
+        at = at[_near(f[at + d], f[at], points[at + d], points[at], reach)]
         out.append((f[at], f[at + d]))
     return out
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> links, a run at a time even across batches."""
-
-    def give(found):
-        if found:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        k, f = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-        if not len(k):
-            continue
-        if held and held[-1][0][-1] == k[-1]:
-            held.append((k, f))
-            continue
-        last = int(np.searchsorted(k, k[-1]))
-        if last or held:
-            yield from give(_links(np.concatenate([x[0] for x in held] + [k[:last]]), np.concatenate([x[1] for x in held] + [f[:last]])))
-        held = [(k[last:], f[last:])]
-    if held:
-        yield from give(_links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` -> links (a, b) at most 3 bits apart that connect what is connected."""
-    cells = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("key"))
+def links(fps: DataFrame, reach: int = REACH) -> DataFrame:
+    """Distinct ``fp`` -> links (a, b) at most ``reach`` bits apart that connect what is connected."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key -> links, a run at a time even across batches."""
+
+        def give(rows):
+            found = _links(np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows]), reach)
+            if found:
+                a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            k, f = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if not len(k):
+                continue
+            if held and held[-1][0][-1] == k[-1]:
+                held.append((k, f))
+                continue
+            last = int(np.searchsorted(k, k[-1]))
+            if last or held:
+                yield from give([*held, (k[:last], f[:last])])
+            held = [(k[last:], f[last:])]
+        if held:
+            yield from give(held)
+
+    n = fps.count()
+    blocks = next(b for b, most in BLOCKS if n <= most)
+    cells = fps.select("fp", F.explode(_cells(F.col("fp"), blocks, reach)).alias("key"))
     hot = cells.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").count().where(F.col("count") * SAMPLE >= LARGE).select("key")
     hot = written(hot, "simhash-hot")
     n = hot.count()
     if n:
         hot = hot.withColumn("hot", F.lit(True))
         cells = cells.join(F.broadcast(hot) if n <= 100_000 else hot, "key", "left")
-        blocks = F.array(*[F.xxhash64("key", F.lit(b), F.shiftright("fp", 16 * b).bitwiseAND(F.lit(0xFFFF))) for b in range(4)])
-        cells = cells.select("fp", F.explode(F.when(F.col("hot"), blocks).otherwise(F.array("key"))).alias("key"))
-    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(_join, "a bigint, b bigint")
+        runs = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask))) for i, (shift, mask) in enumerate(_bits(reach))])
+        cells = cells.select("fp", F.explode(F.when(F.col("hot"), runs).otherwise(F.array("key"))).alias("key"))
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 3, reach: int = REACH) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; texts of
-    one or two words are one shingle; repeated rows are rows of their own in one component; an
-    empty table gives no rows; other columns are not read.
+    fewer words than a shingle are one shingle; repeated rows are rows of their own in one
+    component; a null id is none of the ids a component is named by; an empty table gives no rows;
+    other columns are not read.
     """
-    fps = written(fingerprints(docs), "simhash-docs")
+    fps = written(fingerprints(docs, words), "simhash-docs")
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     groups = written(groups, "simhash-groups")
-    roots = written(components(links(groups.select("fp"))), "simhash-roots")
+    roots = written(components(links(groups.select("fp"), reach)), "simhash-roots")
     whole = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = whole.where("linked").groupBy("root").agg(F.min("first").alias("least"))
     # only what is not alone needs to be joined to the documents
@@ -233,7 +265,7 @@ def _same(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, same (digest of the set of shingles), n (its size), bands (keys of the MinHash bands)."""
+    """doc_id, tie (of the text), same (digest of the set of shingles), n (its size), bands (keys of the MinHash bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(5)
@@ -252,10 +284,10 @@ def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                         key = mix64(key ^ np.minimum.reduceat((h ^ salt[k]) * odd[k], first))
                     keys[:, b] = key
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(_same(row, h, batch.num_rows)), pa.array(n.astype(np.int32)), bands], names=["doc_id", "same", "n", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), pa.array(_same(row, h, batch.num_rows)), pa.array(n.astype(np.int32)), bands], names=["doc_id", "tie", "same", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, same bigint, n int, bands array<bigint>")
+    return docs.select("doc_id", text_key(F.col("text")).alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie bigint, same bigint, n int, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -292,12 +324,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alike(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, same, component_id for every row: components of texts with Jaccard LIKE or more.
+    """doc_id, tie, same, component_id, keep for every row: components of texts with Jaccard LIKE or more.
 
-    Texts with one set of shingles (those without words too) are one component.
+    Texts with one set of shingles (those without words too) are one component. ``keep`` says whether
+    the row has the least id of its component (a null one is the greatest), and of those the least
+    ``tie``; copies with one id are all kept.
     """
     rows = written(sketches(docs, words), "near-docs")
-    groups = written(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")), "near-groups")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    groups = written(rows.groupBy("same").agg(F.min(key).alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")), "near-groups")
     cells = groups.select("same", "n", F.explode("bands").alias("key")).withColumn("turn", F.xxhash64("key", "same"))
     # a key with many rows is dealt in parts, other parts in each band
     hot = cells.where(F.pmod(F.xxhash64("same"), F.lit(SAMPLE)) == 0).groupBy("key").count().where(F.col("count") * SAMPLE >= LARGE)
@@ -307,21 +342,29 @@ def alike(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     cells = cells.select("key", "same", "n", "turn").repartition("key").sortWithinPartitions("key", "turn")
     pairs = written(cells.mapInArrow(_neighbours, "a bigint, b bigint").distinct(), "near-pairs")
     nodes = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-    wanted = written(groups.join(small(nodes), "same", "left_semi").select(F.col("first").alias("_first")).distinct(), "near-wanted")
-    some = docs.join(small(wanted), docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
-    sets = written(shingle_sets(some, words).dropDuplicates(["same"]), "near-sets")
+    wanted = written(groups.join(small(nodes), "same", "left_semi").select("first.doc_id", "first.tie"), "near-wanted")
+    sets = written(shingle_sets(without(docs, wanted, keep=True), words).dropDuplicates(["same"]), "near-sets")
     both = pairs.join(sets.select(F.col("same").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("same").alias("b"), F.col("set").alias("sb")), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("m"))
     roots = written(components(shared.where(F.col("m") >= LIKE * (F.col("n") - F.col("m"))).select("a", "b")), "near-roots")
     whole = groups.join(roots, groups["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = whole.where("linked").groupBy("root").agg(F.min("first").alias("least"))
-    whole = whole.join(least, "root", "left").select("same", F.coalesce("least", "first").alias("component_id"))
-    return rows.select("doc_id", "same").join(whole, "same")
+    whole = whole.join(least, "root", "left").select("same", F.coalesce("least", "first").alias("chosen"))
+    return rows.select("doc_id", "tie", "same").join(whole, "same").select("doc_id", "tie", "same", F.col("chosen.doc_id").alias("component_id"), (key == F.col("chosen")).alias("keep"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``alike``, the one of the least id, with its columns; repeated ids once."""
-    found = written(alike(docs).select("doc_id", "component_id"), "simhash-components")
-    kept = without(docs, found.where("component_id != doc_id"))
-    ids = found.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    return kept if ids["n"] == ids["ids"] else kept.dropDuplicates(["doc_id"])
+    """One document of each component of ``alike``, with its columns: of the rows with its id and text one.
+
+    Different texts that share an id, or have none, are documents of their own. Of rows that are
+    equal in id and text and differ in other columns the least row stays.
+    """
+    found = written(alike(docs).select("doc_id", "tie", "keep"), "near-rows")
+    kept = without(docs, found.where("not keep"))
+    twice = found.where("keep").groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tie")
+    twice = written(twice, "near-twice")
+    if not twice.count():
+        return kept
+    row, tie = free_name(docs, "row"), free_name(docs, "tie")
+    repeated = without(kept, twice, keep=True).select(F.struct("*").alias(row)).groupBy(F.col(row)["doc_id"], text_key(F.col(row)["text"]).alias(tie)).agg(F.min(row).alias(row))
+    return without(kept, twice).unionByName(repeated.select(f"{row}.*"))
