@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets 60 hash bits of its id. A source that needs ``r`` times its size takes
+Every document gets 60 hash bits of its id and text, and of its number among rows that are equal
+in id, text and source, so rows without an id or with one id are taken apart. A source that needs ``r`` times its size takes
 each document ``floor(r)`` times, and once more those whose hash is at or under a threshold.
 The threshold comes from histograms of words by source and hash bucket: the bucket in which
 the running sum crosses the budget is refined alone, 12 bits at a time, until it holds few
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash, small, word_count, written
+from lattica.llm.common import discard, doc_hash, small, word_count, written
 
 BITS = 12
 HASH_BITS = 60
@@ -95,25 +96,59 @@ def cuts(sized: DataFrame, *, weights=(3, 1, 2), leaf_rows: int = 4096) -> DataF
     return written(cut, "mix-cuts")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+def _keyed(row) -> tuple:
+    """(key of rows equal in id, text and source; what the hash is made of) of columns by name."""
+    name = F.concat(F.coalesce(row("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(row("text"), F.lit("")).cast("binary")))
+    return F.xxhash64(row("doc_id"), name, row("source")), name
 
 
-_ONCE_MORE = "coalesce(cast({h} <= {cut} as int), 0)"
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column rank: their number from 0 among rows of one ``key``.
+
+    Rows are numbered where they lie, then the parts of a key; no key is brought into one task.
+    """
+    rows = written(rows.withColumn("part", F.spark_partition_id()), "mix-equal")
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    starts = parts.select("key", "part", (F.sum("n").over(W.partitionBy("key").orderBy("part")) - F.col("n")).alias("start"))
+    inside = F.row_number().over(W.partitionBy("key", "part").orderBy("key")) - 1
+    return rows.withColumn("place", inside).join(starts, ["key", "part"]).withColumn("rank", F.col("start") + F.col("place")).drop("start", "place", "part")
+
+
+def _hashed(rows: DataFrame, equal: DataFrame | None) -> DataFrame:
+    """``rows`` (key, name and more) with h; ``equal`` has the keys of more than one row."""
+    if equal is None:
+        return rows.withColumn("h", doc_hash(F.concat("name", F.lit(":0"))))
+    several = _ranked(rows.join(equal, "key", "left_semi"))
+    rows = rows.join(equal, "key", "left_anti").withColumn("rank", F.lit(0).cast("bigint")).unionByName(several)
+    return rows.withColumn("h", doc_hash(F.concat("name", F.lit(":"), F.col("rank").cast("string")))).drop("rank")
+
+
+def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(written table of doc_id, source, size, h; keys of more than one row, if there are any)."""
+    key, name = _keyed(F.col)
+    rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), name.alias("name")), "mix-rows")
+    equal = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mix-keys")
+    several = small(equal) if equal.count() else None
+    sized = written(_hashed(rows, several).select("doc_id", "source", "size", "h"), "mix-sizes")
+    discard(rows)
+    return sized, several
+
+
+_ONCE_MORE = "coalesce(cast(h <= cut as int), 0)"
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``.
 
     A null or empty text has size 0 and takes 0; a null source is a source of its own, last in
-    order; rows of one id stand or fall together; an empty table gives no rows; other columns
-    are not read. ``taken`` is a multiple of ``size``, at most twice it. The document at the
-    threshold is taken if that comes nearer to the target, so a source misses its target by
-    half its boundary document at most.
+    order; repeated rows, rows of one id and rows without an id are taken one by one; an empty
+    table gives no rows; other columns are not read. ``taken`` is a multiple of ``size``, at most
+    twice it. The document at the threshold is taken if that comes nearer to the target, so a
+    source misses its target by half its boundary document at most.
     """
-    sized = _sized(docs)
+    sized, _ = _sized(docs)
     return _by_source(sized, small(cuts(sized, **options))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.expr(_ONCE_MORE.format(h="h", cut="cut")))).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.expr(_ONCE_MORE))).alias("taken")
     )
 
 
@@ -121,19 +156,24 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (same columns).
 
     A document without words takes no words however often it stands; it stands once. The texts
-    meet only the table of sources, so they aren't shuffled.
+    meet only the table of sources, so they aren't shuffled; those of rows that are equal in id,
+    text and source are, once.
     """
-    cut = small(cuts(_sized(docs), **options)).select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("cut").alias("_cut"))
-    rows = docs.withColumn("_h", doc_hash(F.col("doc_id"))).join(cut, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.when(word_count(F.col("text")) == 0, F.lit(1)).otherwise((F.col("_times") + F.expr(_ONCE_MORE.format(h="_h", cut="_cut"))).cast("int"))
-    rows = rows.withColumn("_n", times).where("_n > 0")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    sized, several = _sized(docs)
+    cut = small(cuts(sized, **options)).select("source", "times", "cut")
+    row = F.struct("*").alias("row")
+    key, name = _keyed(lambda c: F.col("row")[c])
+    rows = docs.select(row).select("row", key.alias("key"), name.alias("name"), F.col("row")["source"].alias("source"), word_count(F.col("row")["text"]).alias("size"))
+    rows = _by_source(_hashed(rows, several), cut)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.col("times") + F.expr(_ONCE_MORE)).cast("int"))
+    return rows.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':'
+                             || (row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')), source) - 1)), 1, 15))::BIGINT AS h
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk
