@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -88,6 +89,41 @@ def by_hash(df: DataFrame, h: str, n: int, total: int) -> DataFrame:
     return df.where(F.col(h) <= int(share * ((1 << 60) - 1))).orderBy(*dict.fromkeys([h, *df.columns])).limit(n)
 
 
+def keyed(column, *more: str) -> tuple:
+    """(key of rows that are equal in id, text and ``more``; what ``hashed`` makes the hash of).
+
+    ``column`` gives a column by name."""
+    name = F.concat(F.coalesce(column("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(column("text"), F.lit("")).cast("binary")))
+    return F.xxhash64(column("doc_id"), name, *map(column, more)), name
+
+
+def equal_keys(rows: DataFrame) -> DataFrame | None:
+    """The keys that more than one of ``rows`` (a written table) has, if there are any."""
+    equal = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "equal-keys")
+    return small(equal) if equal.count() else None
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column rank: their number from 0 among rows of one ``key``.
+
+    Rows are numbered where they lie, then the parts of a key; no key is brought into one task.
+    """
+    rows = written(rows.withColumn("part", F.spark_partition_id()), "equal-rows")
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    starts = parts.select("key", "part", (F.sum("n").over(W.partitionBy("key").orderBy("part")) - F.col("n")).alias("start"))
+    inside = F.row_number().over(W.partitionBy("key", "part").orderBy("key")) - 1
+    return rows.withColumn("place", inside).join(starts, ["key", "part"]).withColumn("rank", F.col("start") + F.col("place")).drop("start", "place", "part")
+
+
+def hashed(rows: DataFrame, equal: DataFrame | None) -> DataFrame:
+    """``rows`` (key, name and more) with h: 60 bits for each row, also for equal ones (``equal_keys``)."""
+    if equal is None:
+        return rows.withColumn("h", doc_hash(F.concat("name", F.lit(":0"))))
+    several = _ranked(rows.join(equal, "key", "left_semi"))
+    rows = rows.join(equal, "key", "left_anti").withColumn("rank", F.lit(0).cast("bigint")).unionByName(several)
+    return rows.withColumn("h", doc_hash(F.concat("name", F.lit(":"), F.col("rank").cast("string")))).drop("rank")
+
+
 FEW = 1_000_000
 
 

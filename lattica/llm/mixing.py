@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, doc_hash, small, word_count, written
+from lattica.llm.common import discard, equal_keys, hashed, keyed, small, word_count, written
 
 BITS = 12
 HASH_BITS = 60
@@ -96,40 +96,12 @@ def cuts(sized: DataFrame, *, weights=(3, 1, 2), leaf_rows: int = 4096) -> DataF
     return written(cut, "mix-cuts")
 
 
-def _keyed(row) -> tuple:
-    """(key of rows equal in id, text and source; what the hash is made of) of columns by name."""
-    name = F.concat(F.coalesce(row("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(row("text"), F.lit("")).cast("binary")))
-    return F.xxhash64(row("doc_id"), name, row("source")), name
-
-
-def _ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with a column rank: their number from 0 among rows of one ``key``.
-
-    Rows are numbered where they lie, then the parts of a key; no key is brought into one task.
-    """
-    rows = written(rows.withColumn("part", F.spark_partition_id()), "mix-equal")
-    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
-    starts = parts.select("key", "part", (F.sum("n").over(W.partitionBy("key").orderBy("part")) - F.col("n")).alias("start"))
-    inside = F.row_number().over(W.partitionBy("key", "part").orderBy("key")) - 1
-    return rows.withColumn("place", inside).join(starts, ["key", "part"]).withColumn("rank", F.col("start") + F.col("place")).drop("start", "place", "part")
-
-
-def _hashed(rows: DataFrame, equal: DataFrame | None) -> DataFrame:
-    """``rows`` (key, name and more) with h; ``equal`` has the keys of more than one row."""
-    if equal is None:
-        return rows.withColumn("h", doc_hash(F.concat("name", F.lit(":0"))))
-    several = _ranked(rows.join(equal, "key", "left_semi"))
-    rows = rows.join(equal, "key", "left_anti").withColumn("rank", F.lit(0).cast("bigint")).unionByName(several)
-    return rows.withColumn("h", doc_hash(F.concat("name", F.lit(":"), F.col("rank").cast("string")))).drop("rank")
-
-
 def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(written table of doc_id, source, size, h; keys of more than one row, if there are any)."""
-    key, name = _keyed(F.col)
+    key, name = keyed(F.col, "source")
     rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), name.alias("name")), "mix-rows")
-    equal = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mix-keys")
-    several = small(equal) if equal.count() else None
-    sized = written(_hashed(rows, several).select("doc_id", "source", "size", "h"), "mix-sizes")
+    several = equal_keys(rows)
+    sized = written(hashed(rows, several).select("doc_id", "source", "size", "h"), "mix-sizes")
     discard(rows)
     return sized, several
 
@@ -162,9 +134,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     sized, several = _sized(docs)
     cut = small(cuts(sized, **options)).select("source", "times", "cut")
     row = F.struct("*").alias("row")
-    key, name = _keyed(lambda c: F.col("row")[c])
+    key, name = keyed(lambda c: F.col("row")[c], "source")
     rows = docs.select(row).select("row", key.alias("key"), name.alias("name"), F.col("row")["source"].alias("source"), word_count(F.col("row")["text"]).alias("size"))
-    rows = _by_source(_hashed(rows, several), cut)
+    rows = _by_source(hashed(rows, several), cut)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.col("times") + F.expr(_ONCE_MORE)).cast("int"))
     return rows.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 

@@ -8,9 +8,11 @@ sees these sums alone, whose number depends on the shards. A node is
 an expression over the keys, so no level writes or shuffles the documents; a round shuffles one
 row per node, range and task.
 
-Keys are functions of the text alone, with the text's hash as their low bits: equal texts lie
-side by side. A group of equal texts at a cut stays whole if it has at most ``keep`` of a leaf's
-bytes, else it is cut inside by document id, so a group of any size is spread evenly.
+Dimensions are metadata of the text: its length, its bytes a character and its bytes a space. Their
+keys have the text's hash as low bits, so equal texts lie side by side whatever their other columns.
+A group of equal texts at a cut stays whole if it has at most ``keep`` of a leaf's bytes, as bytes
+are to be near equal; else it is cut inside by a hash of the row, so a group of any size is spread
+evenly, also where its rows share an id.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import doc_hash, small, written
+from lattica.llm.common import equal_keys, hashed, keyed, small, written
 
 RANGE_BITS = 10
 VALUE_BITS, TIE_BITS = 20, 40
 KEY_BITS = VALUE_BITS + TIE_BITS
-DIMENSIONS = ("length", "script", "content")
+DIMENSIONS = ("length", "script", "words")
 
 
 @dataclass
@@ -39,16 +41,17 @@ class _Node:
 
 
 def _keys(text: Column) -> dict[str, Column]:
-    """The dimensions as integers of VALUE_BITS: log size, bytes a code point, and the hash."""
+    """The dimensions as integers of VALUE_BITS (log size, bytes a code point, log bytes a space), and the text's hash below."""
     full = (1 << VALUE_BITS) - 1
     size, chars = F.octet_length(text), F.length(text)
     log = F.least(F.log2(size + F.lit(1.0)) / 40, F.lit(1.0))
     wide = F.when(chars == 0, F.lit(0.0)).otherwise((size / chars - 1) / 3)
+    spaces = size - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
     tie = F.shiftrightunsigned(F.xxhash64(text), 64 - TIE_BITS)
     value = {
         "length": F.floor(log * full),
         "script": F.floor(wide * full),
-        "content": F.shiftrightunsigned(F.xxhash64(F.xxhash64(text)), 64 - VALUE_BITS),
+        "words": F.floor(F.least(F.log2((size + 1) / spaces) / 40, F.lit(1.0)) * full),
     }
     return {k: F.shiftleft(v.cast("bigint"), TIE_BITS).bitwiseOR(tie) for k, v in value.items()}
 
@@ -83,7 +86,7 @@ def _histogram(rows: DataFrame, spans: list[Column]) -> dict[tuple[int, int], np
     return out
 
 
-def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.01, slack: float = 0.002) -> _Node:
+def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.05, slack: float = 0.002) -> _Node:
     """``rows``: size, id_key and the dimensions. A cut may miss its goal by ``slack`` of a leaf."""
     root = _Node(0, shards)
     while level := _open(root):
@@ -133,16 +136,20 @@ def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.01, slack: float =
     return root
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(written table of doc_id, size, text_crc32, id_key and the dimensions; keys of more than one row)."""
     text = F.coalesce("text", F.lit(""))
-    return written(
-        docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), doc_hash(F.col("doc_id")).alias("id_key"), *[c.alias(k) for k, c in _keys(text).items()]),
-        "shard-keys",
+    key, name = keyed(F.col)
+    rows = docs.select(
+        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"), name.alias("name"), *[c.alias(k) for k, c in _keys(text).items()]
     )
+    rows = written(rows, "shard-rows")
+    several = equal_keys(rows)
+    return written(hashed(rows, several).withColumnRenamed("h", "id_key").drop("key", "name"), "shard-keys"), several
 
 
 def _placed(rows: DataFrame, sized: DataFrame, root: _Node, rows_per_task: int) -> DataFrame:
-    """``rows`` (id_key, dimensions, doc_id, text_crc32 and more) with shard and slot.
+    """``rows`` (id_key, dimensions, doc_id and more) with shard and slot.
 
     Slots number a shard's rows from 0 by hash range of the id, then id: ranges are counted
     first, so no shard is ordered in one task.
@@ -151,7 +158,7 @@ def _placed(rows: DataFrame, sized: DataFrame, root: _Node, rows_per_task: int)
     place = lambda df: df.withColumn("shard", _label(root, lambda n: F.lit(n.first))).withColumn("_range", (F.shiftright("id_key", 28) * ranges / F.lit(float(1 << 32))).cast("int"))
     counts = place(sized).groupBy("shard", "_range").agg(F.count("*").alias("_n"))
     starts = counts.select("shard", "_range", (F.sum("_n").over(W.partitionBy("shard").orderBy("_range")) - F.col("_n")).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("shard", "_range").orderBy("id_key", "doc_id", "text_crc32")) - 1
+    inside = F.row_number().over(W.partitionBy("shard", "_range").orderBy("id_key", "doc_id")) - 1
     rows = place(rows).withColumn("_place", inside).join(small(written(starts, "shard-starts")), ["shard", "_range"])
     return rows.withColumn("slot", (F.col("_start") + F.col("_place")).cast("bigint"))
 
@@ -163,7 +170,7 @@ def shard(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 50_000) ->
     fewer documents than shards some shards are empty; an empty table gives no rows; other
     columns are not read. The law is ``bytes``.
     """
-    sized = _prepared(docs)
+    sized, _ = _prepared(docs)
     return _placed(sized, sized, kd_tree(sized, shards), rows_per_task).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -171,9 +178,10 @@ def shard(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 50_000) ->
 
 def sharded_rows(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 10_000) -> DataFrame:
     """The rows of ``docs`` with shard and slot; columns of these names are replaced."""
-    sized = _prepared(docs)
-    text = F.coalesce("text", F.lit(""))
-    keys = {f"_{k}": v for k, v in {**_keys(text), "id_key": doc_hash(F.col("doc_id")), "text_crc32": F.crc32(text.cast("binary"))}.items()}
-    own = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select("doc_id", F.struct(*own).alias("_row"), *[v.alias(k[1:]) for k, v in keys.items()])
-    return _placed(rows, sized, kd_tree(sized, shards), rows_per_task).select("_row.*", "shard", "slot")
+    sized, several = _prepared(docs)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("shard", "slot")])
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
+    key, name = keyed(lambda c: F.col("row")[c])
+    rows = docs.select(row.alias("row")).select("row", F.col("row")["doc_id"].alias("doc_id"), key.alias("key"), name.alias("name"), *[v.alias(k) for k, v in _keys(text).items()])
+    rows = hashed(rows, several).withColumnRenamed("h", "id_key")
+    return _placed(rows, sized, kd_tree(sized, shards), rows_per_task).select("row.*", "shard", "slot")
