@@ -1,14 +1,19 @@
 """Chat formatting in budgeted windows, by DataFrame functions alone.
 
-A conversation's turns get prefix sums of their tokens; a window holds the turns whose running
-sum ends in one stride, so windows are aligned to turns and a turn is a target in exactly one
-window. In front of its targets a window repeats the conversation's system turn and the turns
-of at most ``history`` tokens before it; repeated turns are masked, and so is everything but
-assistant text.
+A window holds a span of whole turns as targets; each turn is a target in exactly one. In front of
+them a window retains the conversation's system turn and repeats turns of at most ``history`` tokens
+that come before; what is repeated is masked, and so is everything but assistant text.
 
-The prefix sums are made in two steps (blocks of turn numbers, then turns of a block), so a
-conversation of any length is spread over its blocks; a window is bounded by the stride, the
-history, the system turn and one long turn.
+Spans come from prefix sums of the turns' tokens. With ``room`` tokens for targets (the budget
+without the system turn and the history), a turn of more than half of it is a span by itself; other
+turns go by the stride in which their running sum ends, of ``room`` less the longest such turn, so
+the turns of a span have at most ``room`` tokens. No window exceeds the budget, by these rules:
+a system turn of over half the budget isn't repeated; history takes what the targets leave; where a
+turn and the system turn exceed the budget, the system turn is left out, and where the turn
+alone does, it makes a window by itself, the only case of a longer one.
+
+A conversation of any length is spread over blocks of turn numbers; spans end with a block, and the
+last turns of one are dealt to the next as its history. Texts are shuffled once, by block.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles every ``<``,
 backslashes, ``|`` gets one backslash more, so no control string can appear, and taking one
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 START, END = "<|im_start|>", "<|im_end|>"
-BLOCK = 256
+#: Turn numbers of a block, and how many of the last ones the next block sees.
+BLOCK, SEEN = 256, 64
 
 
 def escape(text: Column) -> Column:
@@ -43,57 +49,59 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
-def windows(turns: DataFrame, *, stride: int = 1024, history: int = 256) -> DataFrame:
-    """conv_id, window, formatted, loss (array of start, length in code points), repeated, targets.
+def windows(turns: DataFrame, *, budget: int = 1024, history: int = 256, stride: int | None = None, tokens: str | None = None) -> DataFrame:
+    """conv_id, window, formatted, loss (array of start, length in code points), repeated, targets, tokens.
 
-    ``turns``: conv_id, turn, role, text; other columns are not read. Null text or role is
-    empty; a null conv_id is a conversation, a null turn comes before turn 0; rows of one turn are
-    turns of their own, ordered by role and a hash of the text; a turn over the stride is a window by itself;
-    an empty table gives no windows. A turn costs a token for each four code points begun and
-    four for its template. The first turn of a conversation, if its role is system, is the one
-    that every window retains.
+    ``turns``: conv_id, turn, role, text, and a count of tokens if ``tokens`` names it; other columns
+    are not read. Without it a turn costs a token for each four code points begun and four for its
+    template. ``stride`` sets the room for targets itself, beside system turn and history. Null text or
+    role is empty, a null count 0; a null conv_id is a conversation, a null turn comes before turn 0;
+    rows of one turn are turns of their own, ordered by role and text; an empty table gives no windows.
+    The first turn of a conversation, if its role is system, is the one that windows retain. Windows
+    are numbered in order, with gaps.
     """
+    cost = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)) if tokens else F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4) + 4
     t = turns.select(
-        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"), F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), cost.cast("bigint").alias("tokens"),
+    ).withColumn("b", F.floor(F.col("turn") / BLOCK))
+    plan = written(_plan(t, budget, history, stride), "chat-plan")
+
+    late = F.col("turn") - F.col("b") * BLOCK >= BLOCK - SEEN
+    seen = t.where(late).withColumn("b", F.col("b") + 1).withColumn("seen", F.lit(True))
+    rows = t.withColumn("seen", F.lit(False)).unionByName(seen).join(plan, ["c", "b"])
+    order = W.partitionBy("c", "b").orderBy("turn", "role", "text")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    own = ~F.col("seen") & (F.col("tokens") * 2 > F.col("room"))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("own", own).withColumn("end", F.sum("tokens").over(upto))
+    rows = rows.withColumn("mine", F.sum(F.when(F.col("seen"), 0).otherwise(F.col("tokens"))).over(upto)).withColumn("owns", F.sum(F.col("own").cast("int")).over(upto))
+    rows = rows.select(
+        "conv_id", "c", "b", "own", "room", "history", "most", "head", "head_tokens", "role", "text", "place", "end", (F.col("end") - F.col("tokens")).alias("begin"),
+        F.when(F.col("seen"), -1).otherwise(F.col("owns") - F.col("own").cast("int")).alias("after"),
+        F.when(F.col("seen") | F.col("own"), 0).otherwise(F.floor((F.col("mine") - 1) / F.col("stride"))).alias("span"),
+        ((F.col("b") == F.col("first_block")) & (F.col("place") == 1) & (F.col("role") == "system")).alias("is_head"),
     )
-    t = t.withColumn("b", F.floor(F.col("turn") / BLOCK)).withColumn("tokens", F.ceil(F.length("text") / 4) + 4).withColumn("tie", F.xxhash64("text"))
-    inside = W.partitionBy("c", "b").orderBy("turn", "role", "tie")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("upto", F.sum("tokens").over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(inside))
-
-    # without texts: where blocks begin, and the window of each stride of each block
-    light = placed(t.select("c", "b", "turn", "role", "tie", "tokens"))
-    blocks = light.groupBy("c", "b").agg(F.sum("tokens").alias("all"), F.count("*").alias("n"))
-    earlier = W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "c", "b", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("offset"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.sum("all").over(W.partitionBy("c")).alias("total"),
+    turn = F.struct("place", "begin", "role", "text", "is_head")
+    fixed = ("history", "most", "head", "head_tokens")
+    w = rows.groupBy("conv_id", "c", "b", "after", "own", "span").agg(
+        F.min("place").alias("at"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_list(turn)).alias("rows"), F.max("is_head").alias("has_head"), *[F.first(x).alias(x) for x in fixed]
+    )
+    size = F.col("end") - F.col("begin")
+    fits = F.col("head_tokens") + size <= F.col("most")
+    left = F.least("history", F.col("most") - size - F.when(fits, F.col("head_tokens")).otherwise(0))
+    before = F.lag("rows").over(W.partitionBy("c", "b").orderBy("at"))
+    w = w.withColumn("before", before).where("after >= 0").withColumn("from", F.col("begin") - left)
+
+    part = lambda role, text, mine: F.struct(F.concat(F.lit(START), _escape_role(role), F.lit("\n")).alias("lead"), escape(text).alias("body"), ((role == "assistant") & mine).alias("learn"))
+    none = F.array().cast("array<struct<lead:string,body:string,learn:boolean>>")
+    head = F.when(F.col("head").isNotNull() & ~F.col("has_head") & fits, F.array(part(F.lit("system"), F.col("head"), F.lit(False)))).otherwise(none)
+    near = F.filter("before", lambda x: (x["begin"] >= F.col("from")) & ~x["is_head"])
+    again = F.coalesce(F.transform(near, lambda x: part(x["role"], x["text"], F.lit(False))), none)
+    w = w.select(
+        "conv_id", (F.col("b") * (1 << 40) + F.col("at")).alias("window"), F.concat(head, again).alias("again"), F.transform("rows", lambda x: part(x["role"], x["text"], F.lit(True))).alias("own"),
+        (size + F.when(F.size(head) > 0, F.col("head_tokens")).otherwise(0) + F.coalesce(F.col("begin") - F.array_min(F.transform(near, lambda x: x["begin"])), F.lit(0))).alias("tokens"),
     )
-    light = light.join(blocks, ["c", "b"]).withColumn("end", F.col("offset") + F.col("upto")).withColumn("span", F.floor((F.col("end") - 1) / stride))
-    pieces = light.groupBy("c", "b", "span").agg(F.min(F.col("end") - F.col("tokens")).alias("begin"), F.max("end").alias("end"), F.first("offset").alias("offset"), F.first("before").alias("before"), F.first("total").alias("total"))
-    whole = W.partitionBy("c", "span")
-    pieces = pieces.withColumn("window", F.min("begin").over(whole)).withColumn("next", F.max("end").over(whole))
-    spans = F.map_from_entries(F.collect_list(F.struct("span", F.struct("window", "next"))))
-    blocks = pieces.groupBy("c", "b").agg(spans.alias("spans"), F.first("offset").alias("offset"), F.first("before").alias("before"), F.first("total").alias("total"))
-    blocks, pieces = (written(x, f"chat-{n}") for n, x in (("blocks", blocks), ("pieces", pieces.select("c", "window").distinct())))
-
-    # texts are dealt by block, and by window
-    t = placed(t).join(blocks, ["c", "b"]).withColumn("end", F.col("offset") + F.col("upto")).withColumn("begin", F.col("offset") + F.col("upto") - F.col("tokens"))
-    at = F.col("spans")[F.floor((F.col("end") - 1) / stride)]
-    t = t.withColumn("head", (F.col("before") + F.col("place") == 1) & (F.col("role") == "system")).withColumn("window", at["window"]).withColumn("next", at["next"])
-    old = (F.col("next") < F.col("total")) & (F.col("next") - F.col("begin") <= history) & ~F.col("head")
-    copies = F.array(F.struct("window", F.lit(False).alias("again")), F.struct(F.col("next").alias("window"), F.lit(True).alias("again")))
-    target = t.select("conv_id", "c", "begin", "role", "text", F.inline(F.slice(copies, 1, F.when(old, 2).otherwise(1))))
-    heads = t.where("head").select("conv_id", "c", "begin", "role", "text", F.lit(True).alias("again"))
-    head = heads.join(pieces.where("window > 0"), "c").select(target.columns)
-
-    rows = F.array_sort(F.collect_list(F.struct(F.expr("not again").alias("own"), "begin", "role", "text")))
-    w = target.unionByName(head).groupBy("conv_id", "window").agg(rows.alias("turns"))
-    lead = lambda x: F.concat(F.lit(START), _escape_role(x["role"]), F.lit("\n"))
-    parts = F.transform("turns", lambda x: F.struct(lead(x).alias("lead"), escape(x["text"]).alias("body"), (x["own"] & (x["role"] == "assistant")).alias("learn"), x["own"].alias("own")))
-    w = w.select("conv_id", "window", parts.alias("parts"))
+    w = w.withColumn("parts", F.concat("again", "own"))
     tail = F.lit(f"{END}\n")
     ends = F.aggregate(
         "parts",
@@ -107,12 +115,28 @@ def windows(turns: DataFrame, *, stride: int = 1024, history: int = 256) -> Data
     return w.select(
         "conv_id", "window",
         F.array_join(F.transform("parts", lambda x: F.concat(x["lead"], x["body"], tail)), "").alias("formatted"),
-        ends.alias("loss"),
-        F.size(F.filter("parts", lambda x: ~x["own"])).alias("repeated"),
-        F.size(F.filter("parts", lambda x: x["own"])).alias("targets"),
+        ends.alias("loss"), F.size("again").alias("repeated"), F.size("own").alias("targets"), "tokens",
     )
 
 
+def _plan(t: DataFrame, budget: int, history: int, stride: int | None) -> DataFrame:
+    """For each block of each conversation: its system turn if that is repeated, and the room for targets."""
+    convs = t.groupBy("c").agg(F.min(F.struct("turn", "role")).alias("first"), F.max("tokens").alias("longest"))
+    heads = t.where("role = 'system'").join(convs.where("first.role = 'system'").select("c", "first"), "c").where("turn = first.turn")
+    heads = heads.groupBy("c").agg(F.min(F.struct("text", "tokens")).alias("system"))
+    p = convs.join(heads, "c", "left").withColumn("system", F.when(F.col("system.tokens") * 2 <= budget, F.col("system")))
+    p = p.withColumn("head_tokens", F.coalesce("system.tokens", F.lit(0).cast("bigint"))).withColumn("free", F.lit(budget) - F.col("head_tokens"))
+    if stride is None:
+        p = p.withColumn("history", F.least(F.lit(history), F.floor(F.col("free") / 2))).withColumn("room", F.greatest(F.lit(1), F.col("free") - F.col("history"))).withColumn("most", F.lit(budget).cast("bigint"))
+    else:
+        p = p.withColumn("history", F.lit(history).cast("bigint")).withColumn("room", F.lit(stride).cast("bigint")).withColumn("most", F.col("head_tokens") + history + stride)
+    p = p.select(
+        "c", F.floor(F.col("first.turn") / BLOCK).alias("first_block"), F.col("system.text").alias("head"), "head_tokens", "history", "room", "most",
+        (F.col("room") - F.least("longest", F.floor(F.col("room") / 2))).alias("stride"),
+    )
+    return t.select("c", "b").distinct().join(p, "c")
+
+
 def turns_of(formatted: Column, repeated: Column, targets: Column) -> Column:
     """The target turns of a window, read from its text: array of role, text."""
     pieces = F.slice(F.split(formatted, r"<\|im_end\|>\n"), repeated + 1, targets)
@@ -159,21 +183,42 @@ def format_query(conversations: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id::BIGINT AS conv_id, coalesce(turn, -1)::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e AS (SELECT *, ceil(length(text) / 4.0)::BIGINT + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM t),
-s AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto, sum(tokens) OVER (PARTITION BY conv_id) AS total, place = 1 AND role = 'system' AS head,
+e AS (
+  SELECT *, ceil(length(text) / 4.0)::BIGINT + 4 AS tokens, floor(turn / 256.0)::BIGINT AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
          23 + 1 + length(regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars
-  FROM e),
+  FROM t),
+c AS (
+  SELECT conv_id, max(tokens) AS longest, coalesce(max(tokens) FILTER (place = 1 AND role = 'system' AND tokens <= 512), 0) AS head,
+         max(chars) FILTER (place = 1) AS head_chars FROM e GROUP BY conv_id),
+p AS (SELECT *, least(256, (1024 - head) // 2) AS history, 1024 - head - least(256, (1024 - head) // 2) AS room FROM c),
+u AS (SELECT *, false AS seen FROM e UNION ALL SELECT * REPLACE (b + 1 AS b), true FROM e WHERE turn - b * 256 >= 192),
+r AS (
+  SELECT u.*, head, head_chars, history, room, room - least(longest, room // 2) AS stride, NOT seen AND 2 * tokens > room AS own,
+         u.place = 1 AND role = 'system' AND NOT seen AS is_head
+  FROM u JOIN p ON u.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (
+  SELECT *, sum(tokens) OVER o AS upto, sum(CASE WHEN seen THEN 0 ELSE tokens END) OVER o AS mine, sum(own::INT) OVER o AS owns
+  FROM r WINDOW o AS (PARTITION BY conv_id, b ORDER BY place ROWS UNBOUNDED PRECEDING)),
+k AS (
+  SELECT *, CASE WHEN seen THEN -1 ELSE owns - own::INT END AS after_, CASE WHEN seen OR own THEN 0 ELSE (mine - 1) // stride END AS span FROM s),
 w AS (
-  SELECT *, upto - tokens AS begin_, min(upto - tokens) OVER (PARTITION BY conv_id, (upto - 1) // 1024) AS win, max(upto) OVER (PARTITION BY conv_id, (upto - 1) // 1024) AS nxt
-  FROM s)
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
-       length(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       (sum(chars) + coalesce(sum(chars) FILTER (nxt < total AND nxt - begin_ <= 256 AND NOT head), 0)
-        + coalesce(max(chars) FILTER (head), 0) * (count(DISTINCT win) - 1))::BIGINT AS formatted_chars,
-       count(DISTINCT win)::BIGINT AS windows
-FROM w GROUP BY conv_id
+  SELECT conv_id, b, after_, own, span, min(upto - tokens) AS begin_, max(upto) AS end_, any_value(history) AS history, any_value(head) AS head
+  FROM k GROUP BY conv_id, b, after_, own, span),
+n AS (
+  SELECT *, head > 0 AND head + end_ - begin_ <= 1024 AS fits,
+         least(history, 1024 - (end_ - begin_) - CASE WHEN head + end_ - begin_ <= 1024 THEN head ELSE 0 END) AS left_ FROM w),
+f AS (SELECT *, lead(begin_) OVER x AS next_begin, lead(left_) OVER x AS next_left FROM n WINDOW x AS (PARTITION BY conv_id, b ORDER BY begin_, end_)),
+j AS (
+  SELECT k.*, f.fits, f.next_begin - (k.upto - k.tokens) <= f.next_left AND NOT is_head AS again,
+         max(is_head) OVER (PARTITION BY k.conv_id, k.b, k.after_, k.own, k.span) AS has_head,
+         row_number() OVER (PARTITION BY k.conv_id, k.b, k.after_, k.own, k.span ORDER BY k.place) = 1 AND f.after_ >= 0 AS one
+  FROM k JOIN f ON k.conv_id IS NOT DISTINCT FROM f.conv_id AND k.b = f.b AND k.after_ = f.after_ AND k.own = f.own AND k.span = f.span)
+SELECT conv_id, (count(*) FILTER (NOT seen))::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) FILTER (NOT seen)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant' AND NOT seen), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant' AND NOT seen), '')) AS loss_sha256,
+       (sum(chars) FILTER (NOT seen) + coalesce(sum(chars) FILTER (again), 0) + coalesce(sum(head_chars) FILTER (one AND fits AND NOT has_head), 0))::BIGINT AS formatted_chars,
+       (count(*) FILTER (one))::BIGINT AS windows
+FROM j GROUP BY conv_id
 """
