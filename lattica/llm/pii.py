@@ -5,8 +5,12 @@ always reported. High-recall generators propose further, overlapping spans (addr
 with "at" and "dot", defanged IP addresses, digit groups with other separators, numbers without
 a country code). Boosted trees score a candidate by its format and context; the threshold of
 each kind is the lowest at which a calibration set keeps ``precision``; of overlapping accepted
-candidates the likeliest stays. The trees are fitted here on written examples set into contexts
-from a bounded sample of ``contexts`` documents.
+candidates the likeliest stays.
+
+The trees learn from a bounded sample of documents. What the rules find there is known to be
+personal data: it counts as it stands, and again in a disguise, in its own context. Other candidates
+of the sample are unlabelled and count as wrong with a small weight only, since real disguised data
+is among them. Written examples, right and wrong, in words of the sample fill up what it lacks.
 
 Patterns start only where a run starts, so the time is linear in the text.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +37,9 @@ _LOCAL_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|\b(?:dot|at)\b")
+_ANY = re.compile(r"[0-9@]|\b(?:dot|at)\b", re.I)
+#: Weight of a candidate of which nothing is known.
+UNLABELLED = 0.2
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -48,6 +55,11 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """What the rules find, leftmost and without overlap in a kind, by start and kind."""
     found, last = [], 0
@@ -59,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
             if a < m.start():
                 found.append((a, 0, m.end()))
                 last = m.end()
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return sorted(found)
@@ -122,18 +134,19 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, rate: float = 0.2, ridge: float = 1.0) -> Trees:
     """Logistic boosting with second-order gains over at most 32 limits a feature."""
     limits = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
     width = max(map(len, limits)) + 1
     bins = np.stack([np.searchsorted(c, v, "left") for c, v in zip(limits, x.T, strict=True)], axis=1)
     shape = (x.shape[1], width)
     flat = bins + np.arange(x.shape[1]) * width
-    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    good = (y * weight).sum()
+    start = float(np.log((good + 1) / (weight.sum() - good + 1)))
     margin, trees = np.full(len(y), start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         node, feature, limit = np.zeros(len(y), int), np.zeros(7, int), np.full(7, np.inf)
         for n in range(7):
             at = np.flatnonzero(node == n)
@@ -159,25 +172,41 @@ class Model:
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """The base spans, and accepted candidates that overlap none of them nor each other."""
-        taken, found = sorted((a, b) for a, _, b in base), []
-        free = []
-        i = 0
-        for s in candidates(text):
-            while i < len(taken) and taken[i][1] <= s[0]:
-                i += 1
-            if not any(a < s[2] and s[0] < b for a, b in taken[i : i + 8]):
-                free.append(s)
+        taken = _Taken((a, b) for a, _, b in base)
+        free = [s for s in candidates(text) if taken.free(s)]
+        found = []
         if free:
             m = self.trees.margin(np.array([features(text, s) for s in free], float))
             good = [(-v, s) for v, s in zip(m, free, strict=True) if v >= self.thresholds[s[1]]]
-            held: list[tuple[int, int]] = []
             for _, s in sorted(good):
-                if not any(a < s[2] and s[0] < b for a, b in held):
-                    held.append((s[0], s[2]))
+                if taken.free(s):
+                    taken.add(s[0], s[2])
                     found.append(s)
         return sorted(base + found)
 
 
+class _Taken:
+    """Intervals that are apart, by start."""
+
+    def __init__(self, spans):
+        self.low, self.high = [], []
+        for a, b in sorted(spans):
+            if self.high and a < self.high[-1]:
+                self.high[-1] = max(self.high[-1], b)
+            else:
+                self.low.append(a)
+                self.high.append(b)
+
+    def free(self, s: Span) -> bool:
+        i = bisect_right(self.high, s[0])
+        return i == len(self.low) or self.low[i] >= s[2]
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.low, a)
+        self.low.insert(i, a)
+        self.high.insert(i, b)
+
+
 def _written(rng: np.random.Generator, kind: int, good: bool) -> str:
     """One example of a kind, or something that its generator proposes wrongly."""
     pick = lambda *x: x[rng.integers(len(x))]
@@ -203,45 +232,98 @@ def _written(rng: np.random.Generator, kind: int, good: bool) -> str:
     return pick(f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}.{num(2)}.19{num(2)}", f"{num(1)}.{num(2)}", f"{num(2)} {num(2)}", f"{num(3)} {num(3)}", f"{num(4)}-{num(4)}", f"{num(2)}:{num(2)} {num(2)}", f"{num(5)} {num(5)} {num(5)}")
 
 
-def fit(contexts: list[str], *, examples: int = 6000, precision: float = 0.98, seed: int = 7) -> Model:
+def disguise(rng: np.random.Generator, kind: int, body: str) -> str:
+    """Personal data that a rule found, written so that the rule doesn't find it."""
+    pick = lambda *x: x[rng.integers(len(x))]
+    digits = _digits(body)
+    if kind == 0:
+        at, dot = pick((" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" @ ", "."))
+        local, _, domain = body.partition("@")
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return body.replace(".", pick("[.]", "(.)", " . "))
+    if kind == 2:
+        sep = pick(".", "_", "/")
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return pick(f"00{digits[:2]} {digits[2:5]} {digits[5:8]} {digits[8:]}", f"({digits[:3]}) {digits[3:6]}-{digits[6:10]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:10]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:10]}")
+
+
+Example = tuple[list[float], bool, float]  # features, personal data, weight
+
+
+def _around(text: str, lead: int, body: str, kind: int, good: bool) -> Iterator[Example]:
+    """What the generators propose at ``body``, which stands at ``lead``: right if it is the whole of it."""
+    for s in candidates(text):
+        if s[0] < lead + len(body) and s[2] > lead:
+            yield features(text, s), good and s == (lead, kind, lead + len(body)), 1.0
+
+
+def examples_of(text: str, rng: np.random.Generator, most: int) -> list[Example]:
+    """A document's examples; of other candidates than the rules' at most ``most``, from anywhere in it."""
+    out, base = [], base_spans(text)
+    for a, kind, b in base:
+        body, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 40]
+        for x in (body, disguise(rng, kind, body)):
+            out += (e for e in _around(before + x + after, len(before), x, kind, True) if e[1] or x != body)
+    taken = _Taken((a, b) for a, _, b in base)
+    other = [s for s in candidates(text) if taken.free(s)]
+    if len(other) > most:
+        other = [other[i] for i in np.sort(rng.choice(len(other), most, replace=False))]
+    return out + [(features(text, s), False, UNLABELLED) for s in other]
+
+
+def fit(rows: list[Example], words: list[str], *, written: int = 6000, precision: float = 0.98, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    words = [w for t in contexts for w in t.split()[:200]] or ["text"]
-    x, y = [], []
-    for i in range(examples):
+    words, rows = words or ["text"], list(rows)
+    for i in range(written):
         kind, good = i % 4, bool(i // 4 % 2)
         body = _written(rng, kind, good)
         lead = " ".join(words[j] for j in rng.integers(0, len(words), 4))
         cue = rng.integers(3)
         lead += " " + (str(rng.choice(_NEAR if good else _FAR)) + str(rng.choice([" ", ": ", " = "])) if cue == 0 else "")
-        text = lead + body + str(rng.choice([" ", ". ", ", ", "\n"])) + words[rng.integers(len(words))]
-        for s in candidates(text):
-            if s[0] < len(lead) + len(body) and s[2] > len(lead):
-                x.append(features(text, s))
-                y.append(good and s == (len(lead), kind, len(lead) + len(body)))
-    for t in contexts:  # real text: what the rules leave is taken to be no personal data
-        base = base_spans(t)
-        for s in candidates(t)[:50]:
-            if not any(a < s[2] and s[0] < b for a, _, b in base):
-                x.append(features(t, s))
-                y.append(False)
-    x, y = np.array(x, float), np.array(y, float)
+        rows += _around(lead + body + str(rng.choice([" ", ". ", ", ", "\n"])) + words[rng.integers(len(words))], len(lead), body, kind, good)
+    x, y, weight = (np.array(v, float) for v in zip(*rows, strict=True))
     held = rng.random(len(y)) < 0.3
-    trees = boost(x[~held], y[~held])
+    trees = boost(x[~held], y[~held], weight[~held])
     margin, limits = trees.margin(x[held]), np.full(4, np.inf)
     for k in range(4):
         mine = x[held][:, 0] == k
         order = np.argsort(-margin[mine], kind="stable")
-        right = np.cumsum(y[held][mine][order])
-        ok = np.flatnonzero(right / (np.arange(len(order)) + 1) >= precision)
+        w = weight[held][mine][order]
+        ok = np.flatnonzero(np.cumsum(y[held][mine][order] * w) / np.cumsum(w) >= precision)
         if len(ok):
             limits[k] = max(0.0, margin[mine][order][ok[-1]])
     return Model(trees, limits)
 
 
-def learn(docs: DataFrame, *, contexts: int = 1000, longest: int = 20_000) -> Model:
-    """Trees fitted with contexts from at most ``contexts`` documents, by hash of the id."""
-    some = docs.where((F.length("text") <= longest) & F.col("text").isNotNull()).select("text", doc_hash(F.col("doc_id")).alias("h"))
-    return fit([r["text"] for r in by_hash(some, "h", contexts, some.count()).collect()])
+def learn(docs: DataFrame, *, contexts: int = 1000, per_document: int = 200) -> Model:
+    """Trees fitted on at most ``contexts`` documents, by hash of the id.
+
+    A document of the sample gives all that the rules find in it, and at most ``per_document`` other
+    candidates and 20 words, from its whole text; these come to the driver, the texts don't.
+    """
+    known = docs.where(F.col("text").isNotNull())
+    sample = by_hash(known.select("doc_id", doc_hash(F.col("doc_id")).alias("h")), "h", contexts, known.count())
+    top = sample.agg(F.max("h")).first()[0]
+    some = known.select("doc_id", "text", doc_hash(F.col("doc_id")).alias("h")).where(F.col("h") <= (-1 if top is None else top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                rng = np.random.default_rng(h)
+                rows, words = examples_of(text, rng, per_document), text.split()
+                x, y, w = zip(*rows, strict=True) if rows else ((), (), ())
+                flat = np.array(x, float).ravel()
+                some_words = [words[i][:40] for i in rng.integers(0, len(words), min(20, len(words)))]
+                yield pa.record_batch([pa.array([h]), pa.array([flat]), pa.array([[bool(v) for v in y]], pa.list_(pa.bool_())), pa.array([list(w)], pa.list_(pa.float64())), pa.array([some_words], pa.list_(pa.string()))], names=["h", "x", "y", "w", "words"])
+
+    found = some.select("text", "h").mapInArrow(run, "h bigint, x array<double>, y array<boolean>, w array<double>, words array<string>").collect()
+    rows, words = [], []
+    for r in sorted(found, key=lambda r: (r["h"], r["words"], r["x"])):
+        n = len(r["y"])
+        rows += zip(np.array(r["x"], float).reshape(n, -1).tolist() if n else [], r["y"], r["w"], strict=True)
+        words += r["words"]
+    return fit(rows, words)
 
 
 def _joined(spans: list[Span]) -> str:
