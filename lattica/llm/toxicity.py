@@ -1,16 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows (``examples`` of each label, by hash of the id).
-Terms are all words of the examples, with document frequencies counted over all documents. Two
-votes of the k nearest are mixed: over all terms, by an inverted index read whole (its neighbours
-and similarities are the evidence), and over the words that toxic examples hold more often than
-chance allows, which long texts would drown: a Chernoff bound on their count, with the
-false-discovery rate held at 1 % over the words tried; examples that share their smallest
-three-word hash count once, so copies lend no weight. There the inverted index's blocks of
-examples keep the largest weight of each term: blocks are opened in the order of their bound until
-no bound can beat the k-th neighbour. Both are exact. A text that equals examples has their label.
-An isotonic fit of leave-one-out votes turns a vote into a probability. The indexes are bounded by
-the sample and go to every task.
+Examples are a bounded sample of labelled rows (``examples`` of each label, by hash of the id), each
+counted for as many labelled rows as it stands for. Terms are all words of the examples, with document
+frequencies counted over all documents. Two votes of the k nearest are mixed: over all terms (its
+neighbours and similarities are the evidence), and over the words that toxic examples hold more
+often than chance allows, which long texts would drown: a Chernoff bound on their count, with the
+false-discovery rate held at 1 % over the words tried; examples that share their smallest three-word
+hash count once there, so copies lend no weight. Both votes read an inverted index in blocks of
+examples that keeps the largest weight of each term in a block: the blocks of the greatest bounds
+are read first, then those alone whose bound reaches the k-th neighbour found. Both are exact. A
+text that equals examples has their label. An isotonic fit of leave-one-out votes turns a vote into a
+probability. The indexes are bounded by the sample and go to every task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from lattica.llm.common import by_hash, doc_hash
 from lattica.llm.textvec import Table, Words, chunks, text_bytes
 
 FOLDS = 5
-BLOCK = 64
+#: Examples of a block, and blocks that are read before any is left out.
+BLOCK, OPENED = 32, 8
 #: Share of the vote over all terms, and the cosine from which texts are copies.
 WHOLE = 0.25
 COPY = 0.9999
@@ -45,95 +46,109 @@ def _term_counts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[first], h[first], np.diff(np.r_[first, len(row)])
 
 
-class Index:
-    """Examples' unit vectors, inverted, in blocks with the largest weight of each term."""
-
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, k: int):
-        strongest = [t[np.argmax(x)] for t, x in rows]
-        order = np.lexsort((ids, strongest)) if len(rows) else np.zeros(0, int)
-        self.ids, self.toxic, self.k = ids[order], toxic[order].astype(float), k
-        self.rows = [rows[i] for i in order]
-        self.blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((terms, self.blocks), np.float32)
-        post: list[dict[int, list]] = [{} for _ in range(self.blocks)]
-        for i, (t, x) in enumerate(self.rows):
-            b = i // BLOCK
-            np.maximum.at(self.most, (t, b), x)
-            for a, v in zip(t.tolist(), x.tolist(), strict=True):
-                post[b].setdefault(a, []).append((i % BLOCK, v))
-        self.post = [{a: (np.array([i for i, _ in p]), np.array([v for _, v in p], np.float32)) for a, p in d.items()} for d in post]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, similarities) of the k nearest with similarity over 0; ties by position."""
-        bound = weights @ self.most[terms]
-        pos, sim, least = np.zeros(0, int), np.zeros(0, np.float32), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(pos) >= self.k and bound[b] < least - 1e-6:
-                break
-            score = np.zeros(BLOCK, np.float32)
-            for t, q in zip(terms.tolist(), weights.tolist(), strict=True):
-                if p := self.post[b].get(t):
-                    score[p[0]] += q * p[1]
-            at = np.flatnonzero(score)
-            at = at[b * BLOCK + at != leave]
-            pos, sim = np.r_[pos, b * BLOCK + at], np.r_[sim, score[at]]
-            keep = np.lexsort((pos, -sim))[: self.k]
-            pos, sim = pos[keep], sim[keep]
-            least = float(sim[-1]) if len(sim) else 0.0
-        return pos, sim
-
-    def vote(self, pos: np.ndarray, sim: np.ndarray) -> float:
-        return float((sim * self.toxic[pos]).sum() / sim.sum())
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Postings:
-    """Examples' unit vectors over all terms, inverted; every posting of a text's terms is read."""
+    """Examples' unit vectors, inverted, in blocks with the largest weight of each term."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.n = len(rows)
-        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
+        # examples with the same strongest term lie together, so that blocks differ in their terms
+        strongest = np.array([t[np.argmax(x)] if len(t) else -1 for t, x in rows], np.int64)
+        self.place = np.argsort(strongest, kind="stable")  # position of each stored row
+        term = np.concatenate([rows[i][0] for i in self.place]) if rows else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(rows[i][0]) for i in self.place])
         order = np.argsort(term, kind="stable")
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in rows])[order]
-        self.x = np.concatenate([x for _, x in rows])[order] if rows else np.zeros(0, np.float32)
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        self.row, term = row[order], term[order]
+        self.x = np.concatenate([rows[i][1] for i in self.place])[order] if rows else np.zeros(0, np.float32)
+        # runs of postings of one term in one block
+        block = self.row // BLOCK
+        new = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
+        self.begin, self.block = np.r_[new, len(term)], block[new]
+        self.most = np.maximum.reduceat(self.x, new) if len(new) else self.x
+        self.run = np.searchsorted(term[new], np.arange(terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, similarities) of the k nearest with similarity over 0; ties by position."""
-        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        sim = np.bincount(self.row[at], self.x[at] * np.repeat(weights, n), self.n)
+        n = self.run[terms + 1] - self.run[terms]
+        run, weight = _ranges(self.run[terms], n), np.repeat(weights, n)
+        block = self.block[run]
+        bound = np.bincount(block, self.most[run] * weight, -(-self.n // BLOCK))
+        chosen = np.zeros(len(bound), bool)
+        chosen[np.argsort(-bound, kind="stable")[:OPENED]] = True
+        pos, sim = self._read(run, weight, chosen[block], k, leave)
+        rest = ~chosen & (bound > 0)
+        if len(pos) >= k:
+            rest &= bound >= sim[-1] - 1e-6
+        if rest.any():
+            p, s = self._read(run, weight, rest[block], k, leave)
+            pos, sim = np.r_[pos, p], np.r_[sim, s]
+            keep = np.lexsort((pos, -sim))[:k]
+            pos, sim = pos[keep], sim[keep]
+        return pos, sim
+
+    def _read(self, run, weight, wanted, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
+        run, weight = run[wanted], weight[wanted]
+        n = self.begin[run + 1] - self.begin[run]
+        at = _ranges(self.begin[run], n)
+        sums = np.bincount(self.row[at], self.x[at] * np.repeat(weight, n), self.n)
+        row = np.flatnonzero(sums > 0)
+        pos, sim = self.place[row], sums[row]
         if leave >= 0:
-            sim[leave] = 0
-        pos = np.flatnonzero(sim >= np.partition(sim, -k)[-k]) if self.n > k else np.arange(self.n)
-        pos = pos[np.lexsort((pos, -sim[pos]))][:k]
-        pos = pos[sim[pos] > 0]
-        return pos, sim[pos]
+            pos, sim = pos[pos != leave], sim[pos != leave]
+        if len(sim) > k:
+            near = sim >= np.partition(sim, -k)[-k]
+            pos, sim = pos[near], sim[near]
+        keep = np.lexsort((pos, -sim))[:k]
+        return pos[keep], sim[keep]
+
+
+class Index(Postings):
+    """Postings of examples with ids and labels; ``standing``: for how many labelled rows one stands."""
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, k: int, standing: np.ndarray | None = None):
+        super().__init__(rows, terms)
+        self.ids, self.toxic, self.rows, self.k = ids, toxic.astype(float), rows, k
+        self.standing = np.ones(len(rows)) if standing is None else standing
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return super().nearest(terms, weights, self.k, leave)
+
+    def vote(self, pos: np.ndarray, weight: np.ndarray) -> float:
+        weight = weight * self.standing[pos]
+        return float((weight * self.toxic[pos]).sum() / weight.sum())
 
 
 class Model:
     """terms (word hashes), idf, both indexes, the calibration of votes, and the rate without terms."""
 
-    def __init__(self, ids, toxic, vectors, corpus_df, n_docs: int, terms: np.ndarray, telling: np.ndarray, k: int):
-        self.terms, self.ids, self.toxic, self.k = terms, ids, toxic.astype(float), k
+    def __init__(self, ids, toxic, vectors, corpus_df, n_docs: int, terms: np.ndarray, telling: np.ndarray, k: int, totals: dict[int, int] | None = None):
+        self.terms, self.ids, self.k = terms, ids, k
+        standing = np.ones(len(ids))
+        for y, n in (totals or {}).items():
+            standing[toxic == y] = n / max(1, (toxic == y).sum())
         self.idf = np.log((n_docs + 1) / (corpus_df + 1)) + 1
         self.tell = np.full(len(terms), -1)
         self.tell[telling] = np.arange(len(telling))
         self.tell_idf = self.idf[telling]
         every = [self.vector(t, c) for t, c in vectors]
         told = [self.told(t, c) for t, c in vectors]
-        self.every = Postings(every, len(terms))
+        self.every = Index(ids, toxic, every, len(terms), k, standing)
         at = np.flatnonzero([len(t) > 0 for t, _ in told])
-        self.index = Index(at, toxic[at], [told[i] for i in at], len(telling), k)
-        place = {int(i): j for j, i in enumerate(self.index.ids)}
-        rest = toxic[[len(t) == 0 for t, _ in every]]
-        self.none = float((rest.sum() + 0.5) / (len(rest) + 1)) if len(rest) else 0.5
+        self.index = Index(at, toxic[at], [told[i] for i in at], len(telling), k, standing[at])
+        place = {int(i): j for j, i in enumerate(at)}
+        bare = np.array([len(t) == 0 for t, _ in every], bool)
+        self.none = float(((toxic * standing)[bare].sum() + 0.5) / (standing[bare].sum() + 1)) if bare.any() else 0.5
         votes, seen = [], []
         for i, (x, y) in enumerate(zip(every, told, strict=True)):
             vote, pos, _ = self.vote(x, y, i, place.get(i, -1))
             if len(pos):
                 votes.append(vote)
-                seen.append(self.toxic[i])
-        self.steps = _isotonic(np.array(votes), np.array(seen))
+                seen.append(i)
+        self.steps = _isotonic(np.array(votes), toxic[seen].astype(float), standing[seen])
+        del self.every.rows, self.index.rows  # the postings hold them
 
     def vector(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * (self.idf if idf is None else idf)[terms]
@@ -146,15 +161,15 @@ class Model:
 
     def vote(self, every: tuple, told: tuple, leave: int = -1, leave_told: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """(vote, positions and similarities of the nearest over all terms)."""
-        pos, sim = self.every.nearest(*every, self.k, leave)
+        pos, sim = self.every.nearest(*every, leave)
         if not len(pos):
             return 0.0, pos, sim
         copies = sim >= COPY
         if copies.any():
-            return float(self.toxic[pos[copies]].mean()), pos, sim
-        whole, part = float((sim * sim * self.toxic[pos]).sum() / (sim * sim).sum()), 0.0
+            return self.every.vote(pos[copies], np.ones(copies.sum())), pos, sim
+        whole, part = self.every.vote(pos, sim * sim), 0.0
         if len(told[0]):
-            p, s = self.index.nearest(*told, leave=leave_told)
+            p, s = self.index.nearest(*told, leave_told)
             part = self.index.vote(p, s) if len(p) else 0.0
         return WHOLE * whole + (1 - WHOLE) * part, pos, sim
 
@@ -165,14 +180,14 @@ class Model:
         return p, self.ids[pos[:3]].tolist(), [round(float(s), 6) for s in sim[:3]]
 
 
-def _isotonic(vote: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _isotonic(vote: np.ndarray, seen: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nondecreasing fit by pooling, each pool drawn a little to one half; as points to interpolate."""
     if not len(vote):
         return np.array([0.0, 1.0]), np.array([0.05, 0.95])
     order = np.argsort(vote, kind="stable")
     pools: list[list[float]] = []
-    for v, y in zip(vote[order], seen[order], strict=True):
-        pools.append([y, 1, v])
+    for v, y, w in zip(vote[order], seen[order], weight[order], strict=True):
+        pools.append([y * w, w, v])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             b = pools.pop()
             a = pools[-1]
@@ -184,7 +199,7 @@ def _isotonic(vote: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x, np.maximum.accumulate(y)
 
 
-def informative(toxic: np.ndarray, signature: np.ndarray, words: list[np.ndarray], most: int, chance: float = 0.01) -> np.ndarray:
+def informative(toxic: np.ndarray, signature: np.ndarray, words: list[np.ndarray], most: int | None = None, chance: float = 0.01) -> np.ndarray:
     """Hashes of the words over-represented among toxic examples, the surest first."""
     if not len(words):
         return np.zeros(0, np.uint64)
@@ -205,15 +220,16 @@ def informative(toxic: np.ndarray, signature: np.ndarray, words: list[np.ndarray
     return keys[good[: passes[-1] + 1 if len(passes) else 0][:most]]
 
 
-def _sample(labels: DataFrame, examples: int) -> DataFrame:
+def _sample(labels: DataFrame, examples: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id and toxic of the sample, number of usable labelled rows by label)."""
     known = labels.where((fold(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", "toxic", doc_hash(F.col("doc_id")).alias("h"))
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = lambda y: by_hash(known.where(F.col("toxic") == y), "h", examples, total.get(y, 0))
-    return part(1).unionByName(part(0)).select("doc_id", "toxic")
+    return part(1).unionByName(part(0)).select("doc_id", "toxic"), total
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, most_terms: int = 4096, k: int = 15) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, k: int = 15) -> Model:
     """A model from at most ``examples`` rows of each label outside fold 0, and counts over all documents."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +246,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, most_term
             lists = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int64)))
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(sign.view(np.int64)), lists(h.view(np.int64)), lists(n)], names=["doc_id", "toxic", "sign", "words", "counts"])
 
-    chosen = F.broadcast(_sample(labels, examples))  # at most twice ``examples`` rows of two numbers
+    sample, totals = _sample(labels, examples)
+    chosen = F.broadcast(sample)  # at most twice ``examples`` rows of two numbers
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
     t = rows.mapInArrow(vectors, "doc_id bigint, toxic int, sign bigint, words array<bigint>, counts array<bigint>").toArrow()
     t = t.sort_by("doc_id").combine_chunks()
@@ -240,11 +257,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, most_term
     counts = [x.values.to_numpy(zero_copy_only=False) for x in t["counts"]]
     terms = np.unique(np.concatenate(words)) if len(words) else np.zeros(0, np.uint64)
     table = Table(terms)
-    telling = np.searchsorted(terms, informative(toxic, sign, words, most_terms))
+    telling = np.searchsorted(terms, informative(toxic, sign, words))
     found = [table.find(h) for h in words]
     vectors_ = [(term, c[at]) for (at, term), c in zip(found, counts, strict=True)]
     df, n = _corpus_counts(docs, terms)
-    return Model(ids, toxic, vectors_, df, n, terms, telling, k)
+    return Model(ids, toxic, vectors_, df, n, terms, telling, k, totals)
 
 
 def _corpus_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
