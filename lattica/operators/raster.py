@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 GLOBAL_AXES = ("t", "z")
 SI_METRES = {"m": 1.0, "cm": 1e-2, "mm": 1e-3, "µm": 1e-6, "um": 1e-6, "nm": 1e-9, "pm": 1e-12, "Å": 1e-10}
-#: Fixed colours of channels without one.
-PALETTE = ((0, 0, 255), (0, 255, 0), (255, 0, 255), (255, 255, 0), (0, 255, 255), (255, 0, 0))
+#: Colours of channels without one, in order, which must be these for equal pictures.
+PALETTE = ((0, 0, 255), (0, 255, 0), (255, 0, 255), (255, 255, 0), (255, 128, 0), (0, 255, 255), (255, 255, 255), (255, 0, 0))
 MAX_CHANNELS = 6
 
 
@@ -21,24 +21,34 @@ def pixels(df: DataFrame, y: str, values: str) -> DataFrame:
     return df.select(*rest, F.col(y).alias("y"), F.posexplode(values).alias("x", "value"))
 
 
-def select(df: DataFrame, axes: Sequence[str], selection: dict[str, int]) -> DataFrame:
-    """The plane of a selection; unknown axes and repeated labels are errors."""
+def check_selection(axes: Sequence[str], selection: dict[str, int]) -> None:
     if len(set(axes)) != len(axes):
         raise ValueError("axis labels must differ")
     for axis in selection:
         if axis not in axes:
             raise KeyError(f"no axis {axis!r} among {list(axes)}")
+
+
+def select(df: DataFrame, axes: Sequence[str], selection: dict[str, int]) -> DataFrame:
+    """The plane of a selection of pixels; unknown axes and repeated labels are errors. ``Store.plane`` reads only its chunks."""
+    check_selection(axes, selection)
     keep = F.lit(True)
     for axis, i in selection.items():
         keep = keep & (F.col(axis) == i)
     return df.where(keep)
 
 
-def tile(df: DataFrame, tx: int, ty: int, size: int, width: int, height: int) -> DataFrame:
-    """The pixels of one tile; edge tiles are clipped, a tile outside is an error."""
+def tile_box(tx: int, ty: int, size: int, width: int, height: int) -> dict[str, tuple[int, int]]:
+    """Half-open ranges of a tile; edge tiles are clipped, a tile outside is an error."""
     if tx < 0 or ty < 0 or tx * size >= width or ty * size >= height:
         raise IndexError(f"tile ({tx}, {ty}) lies outside {width} x {height}")
-    return df.where(F.col("x").between(tx * size, min((tx + 1) * size, width) - 1) & F.col("y").between(ty * size, min((ty + 1) * size, height) - 1))
+    return {"x": (tx * size, min((tx + 1) * size, width)), "y": (ty * size, min((ty + 1) * size, height))}
+
+
+def tile(df: DataFrame, tx: int, ty: int, size: int, width: int, height: int) -> DataFrame:
+    """The pixels of one tile of a table of pixels. ``Store.tile`` reads only its chunks."""
+    box = tile_box(tx, ty, size, width, height)
+    return df.where(F.col("x").between(box["x"][0], box["x"][1] - 1) & F.col("y").between(box["y"][0], box["y"][1] - 1))
 
 
 def stats(df: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.005, high: float = 0.995, accuracy: int | None = None) -> DataFrame:
@@ -193,3 +203,58 @@ def to_tczyx(df: DataFrame, axes: Sequence[str]) -> DataFrame:
 def is_rgb(samples: int, channels: int, dtype: str) -> bool:
     """Three interleaved or separate 8-bit channels."""
     return dtype == "uint8" and (samples == 3 or channels == 3)
+
+
+def stats_key(image: Column, z: Column, c: Column, t: Column) -> Column:
+    """What statistics of a selection are kept by: id:z:c:t."""
+    return F.concat_ws(":", image, z.cast("string"), c.cast("string"), t.cast("string"))
+
+
+class StatsCache:
+    """Statistics by image and selection: only selections that aren't held are computed, all in one scan."""
+
+    def __init__(self, by: Sequence[str], compute=stats):
+        self.by, self.compute = list(by), compute
+        self.held: dict[tuple, dict] = {}
+        self.scans = 0
+
+    def get(self, image: str, df: DataFrame, selections: Sequence[dict[str, int]]) -> list[dict | None]:
+        key = lambda s: (image, *(s[b] for b in self.by))
+        missing = [s for s in selections if key(s) not in self.held]
+        if missing:
+            self.scans += 1
+            keep = F.lit(False)
+            for s in missing:
+                mine = F.lit(True)
+                for b in self.by:
+                    mine = mine & (F.col(b) == s[b])
+                keep = keep | mine
+            for r in self.compute(df.where(keep), self.by).collect():  # one row for each selection
+                self.held[(image, *(r[b] for b in self.by))] = r.asDict()
+        return [self.held.get(key(s)) for s in selections]
+
+    def drop(self, image: str) -> None:
+        self.held = {k: v for k, v in self.held.items() if k[0] != image}
+
+
+def physical_ratio(size: Column, of_size: Column) -> Column:
+    """How much longer a pixel is than another's, for scales of one physical unit; null without either."""
+    return size / F.nullif(of_size, F.lit(0.0))
+
+
+def bounding_cube(shape: dict[str, int], sizes: dict[str, float] | None = None) -> tuple[tuple[float, float], ...]:
+    """x, y and z ranges of a raster, in physical units where pixel sizes are given; without z its depth is 1."""
+    sizes = sizes or {}
+    return tuple((0.0, shape.get(a, 1) * sizes.get(a, 1.0)) for a in "xyz")
+
+
+def channel_count(shape: Sequence[int], axes: Sequence[str] = (), declared: int | None = None) -> int:
+    """The channel axis's size, else the third axis from the end, else what is declared, else 1."""
+    if "c" in axes:
+        return shape[list(axes).index("c")]
+    return shape[-3] if len(shape) >= 3 else declared or 1
+
+
+def channels_of(df: DataFrame, channel: str) -> DataFrame:
+    """n, channels: rows and distinct channels of a table of pixels or planes."""
+    return df.agg(F.count("*").alias("n"), F.count_distinct(channel).alias("channels"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import transforms
 from lattica.model import PointColumns, TableKeys
-from lattica.operators import associations, catalog
+from lattica.operators import associations, catalog, raster
 from lattica.sources import wkb, zarr
 
 KINDS = ("images", "points", "labels", "shapes", "tables")
@@ -158,13 +158,37 @@ class Store:
         wanted = list(dict.fromkeys([*([keys.region_key] if keys.region_key else []), *columns]))
         return associations.rows_of(self.obs(table, wanted), keys.region_key, associations.accepted_regions(kind, key, keys.regions))
 
-    def raster(self, kind: str, key: str, level: int = 0) -> tuple[DataFrame, list[str]]:
-        """Pixels of a level: one column for each axis, and value."""
+    def raster(self, kind: str, key: str, level: int = 0, only: dict[str, tuple[int, int]] | None = None) -> tuple[DataFrame, list[str]]:
+        """Pixels of a level: one column for each axis, and value; of ranges by axis name only the chunks they meet are read."""
         e = self.elements[kind][key]
         axes, levels = zarr.labels_and_levels(e.attrs)
-        df = zarr.cells(self.spark, self.root, self.nodes[f"{kind}/{key}/{levels[level]}"])
+        ranges = None if only is None else {axes.index(a): r for a, r in only.items()}
+        df = zarr.cells(self.spark, self.root, self.nodes[f"{kind}/{key}/{levels[level]}"], ranges)
         return df.select(*[F.col(f"i{i}").alias(a) for i, a in enumerate(axes)], "value"), axes
 
+    def sizes(self, kind: str, key: str, level: int = 0) -> dict[str, int]:
+        axes, levels = zarr.labels_and_levels(self.elements[kind][key].attrs)
+        return dict(zip(axes, self.nodes[f"{kind}/{key}/{levels[level]}"]["shape"], strict=True))
+
+    def plane(self, kind: str, key: str, selection: dict[str, int], level: int = 0) -> DataFrame:
+        """The plane of a selection, from its own chunks."""
+        raster.check_selection(list(self.sizes(kind, key, level)), selection)
+        return self.raster(kind, key, level, {a: (i, i + 1) for a, i in selection.items()})[0]
+
+    def tile(self, kind: str, key: str, tx: int, ty: int, size: int, selection: dict[str, int] | None = None, level: int = 0) -> DataFrame:
+        """The pixels of one tile, from the chunks that it meets."""
+        sizes = self.sizes(kind, key, level)
+        raster.check_selection(list(sizes), selection or {})
+        box = raster.tile_box(tx, ty, size, sizes["x"], sizes["y"])
+        return self.raster(kind, key, level, {**{a: (i, i + 1) for a, i in (selection or {}).items()}, **box})[0]
+
+    def sub(self, prefix: str) -> Store:
+        """The store below a prefix, which nothing can leave."""
+        parts = [p for p in prefix.split("/") if p]
+        if ".." in parts:
+            raise ValueError("a prefix stays below its store")
+        return Store.open(self.spark, "/".join([self.root, *parts]))
+
     def __str__(self) -> str:
         lines = [f"Store {self.root}"]
         for k in KINDS:

@@ -1,8 +1,10 @@
 """Zarr hierarchies (formats 2 and 3) through Spark's binary file source.
 
 Metadata documents become a relation of nodes; an array's chunks are read and decoded by Arrow
-batches, one chunk a row, on any file system that Spark reads. Codecs: none, zlib, gzip, zstd and
-variable-length text; others are reported, not guessed.
+batches, one chunk a row, on any file system that Spark reads; a selection on axes reads the chunks
+that it meets alone. Codecs: none, zlib, gzip, zstd, blosc (of lz4, snappy, zlib and zstd, with byte
+and bit shuffle), transpose, crc32c and variable-length text; others can be added by
+``register_decoder``, and are reported where they are missing, not guessed.
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = "path string, kind string, attrs string, dtype string, shape array<bigint>, chunks array<bigint>, meta string"
@@ -31,6 +33,83 @@ class UnsupportedCodecError(ValueError):
     pass
 
 
+#: Decoders by the codec's id: (encoded bytes, the codec's settings) -> bytes.
+DECODERS: dict[str, Callable[[bytes, dict], bytes]] = {}
+
+
+def register_decoder(ids: str | Sequence[str], decoder: Callable[[bytes, dict], bytes]) -> None:
+    """Decode chunks of a codec by a function, which goes to the executors with the scan."""
+    for i in [ids] if isinstance(ids, str) else ids:
+        DECODERS[i] = decoder
+
+
+def _zstd(data: bytes, _: dict) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+register_decoder("zlib", lambda data, _: zlib.decompress(data))
+register_decoder("gzip", lambda data, _: gzip.decompress(data))
+register_decoder("zstd", _zstd)
+register_decoder("crc32c", lambda data, _: data[:-4])
+
+
+#: Fixed numbers of the blosc container: inner codecs, and the rule by which a block has one stream a byte.
+BLOSC_CODECS = {1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}
+BLOSC_NAMES = frozenset(("lz4", "lz4hc", "snappy", "zlib", "zstd"))
+_SPLIT_MOST, _SPLIT_LEAST = 16, 128
+
+
+def blosc(data: bytes, _: dict) -> bytes:
+    """The content of a blosc container: a header, offsets of blocks, and blocks of one or more streams."""
+    _, _, flags, width, size, block, _ = struct.unpack_from("<BBBBIII", data)
+    if flags & 2:
+        return data[16 : 16 + size]
+    inner = BLOSC_CODECS.get(flags >> 5)
+    if inner is None:
+        raise UnsupportedCodecError("no decoder for blosclz")
+
+    def stream(body: bytes, n: int) -> bytes:
+        if len(body) == n:
+            return body
+        if inner == "zlib":
+            return zlib.decompress(body)
+        return _zstd(body, {}) if inner == "zstd" else pa.Codec(inner).decompress(body, n).to_pybytes()
+
+    out = []
+    for k, (at,) in enumerate(struct.iter_unpack("<I", data[16 : 16 + 4 * -(-size // block)])):
+        n = min(block, size - k * block)
+        whole = n == block
+        parts = width if whole and not flags & 16 and width <= _SPLIT_MOST and block // width >= _SPLIT_LEAST else 1
+        piece = b""
+        for _part in range(parts):
+            (length,) = struct.unpack_from("<i", data, at)
+            piece += stream(data[at + 4 : at + 4 + length], n // parts)
+            at += 4 + length
+        if flags & 1 and width > 1:
+            piece = _unshuffled(piece, width)
+        elif flags & 4:
+            piece = _bit_unshuffled(piece, width)
+        out.append(piece)
+    return b"".join(out)
+
+
+def _unshuffled(piece: bytes, width: int) -> bytes:
+    n = len(piece) // width * width
+    return np.frombuffer(piece[:n], np.uint8).reshape(width, -1).T.tobytes() + piece[n:]
+
+
+def _bit_unshuffled(piece: bytes, width: int) -> bytes:
+    n = len(piece) // (8 * width) * 8 * width
+    rows = np.frombuffer(piece[:n], np.uint8).reshape(8 * width, -1)
+    bits = np.unpackbits(rows, axis=1, bitorder="little")
+    return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + piece[n:]
+
+
+register_decoder("blosc", blosc)
+
+
 def normal_dtype(dtype: object) -> str | None:
     """The common name of an element type; text of any form is 'string'; unknown ones are None."""
     if not isinstance(dtype, str):
@@ -123,34 +202,72 @@ def orphans(table: DataFrame) -> DataFrame:
     return table.where(F.col("path").contains("/")).withColumn("parent", parent).join(table.select(F.col("path").alias("parent")), "parent", "left_anti").select("path")
 
 
+def tree_json(found: Mapping[str, dict]) -> str:
+    """The hierarchy as nested JSON: children by name, ``_attrs``, and ``_zarray`` of arrays; what isn't data is named."""
+    root: dict = {}
+    for path, node in found.items():
+        at = root
+        for part in [p for p in path.split("/") if p]:
+            at = at.setdefault(part, {})
+        at["_attrs"] = node["attrs"]
+        if node["kind"] == "array":
+            at["_zarray"] = {k: node[k] for k in ("dtype", "shape", "chunks")}
+    return json.dumps(root, default=lambda x: f"<{'function' if callable(x) else type(x).__name__}>")
+
+
+def depth_sorted(df: DataFrame, path: str) -> DataFrame:
+    """The rows with ``depth``, the number of parts of a path, parents before their children."""
+    return df.withColumn("depth", F.size(F.split(path, "/"))).orderBy("depth", path)
+
+
+def ome_path(attrs: Column) -> Column:
+    """The first level's path, from attributes with or without the ``ome`` root of the later format."""
+    at = lambda root: F.get_json_object(attrs, f"$.{root}multiscales[0].datasets[0].path")
+    return F.coalesce(at("ome."), at(""))
+
+
 @dataclass(frozen=True)
 class _Codec:
-    steps: tuple[str, ...]
+    steps: tuple[tuple[Callable[[bytes, dict], bytes], dict], ...]
     dtype: np.dtype | None
     text: bool
-    order: str
+    order: str | tuple[int, ...]  # C, F, or a permutation of the axes
+
+    def shaped(self, values: np.ndarray, chunk: Sequence[int]) -> np.ndarray:
+        if isinstance(self.order, str):
+            return values.reshape(chunk, order=self.order)
+        return values.reshape([chunk[a] for a in self.order]).transpose(np.argsort(self.order))
+
+
+def _step(name: str, settings: dict) -> tuple[Callable[[bytes, dict], bytes], dict]:
+    known = name in DECODERS and (name != "blosc" or DECODERS[name] is not blosc or settings.get("cname") in BLOSC_NAMES)
+    if not known:
+        raise UnsupportedCodecError(f"no decoder for {name} {settings}")
+    return DECODERS[name], settings
 
 
 def _codec(meta: dict) -> _Codec:
     text, steps, order, byte = False, [], meta.get("order", "C"), "<"
     if "codecs" in meta:
         for c in meta["codecs"]:
-            name = c["name"]
+            name, settings = c["name"], c.get("configuration", {})
             if name == "vlen-utf8":
                 text = True
             elif name == "bytes":
-                byte = ">" if c.get("configuration", {}).get("endian") == "big" else "<"
+                byte = ">" if settings.get("endian") == "big" else "<"
             elif name == "transpose":
-                order = "F"
-            elif name != "crc32c":
-                steps.append(name)
+                order = settings["order"] if isinstance(settings.get("order"), str) else tuple(settings["order"])
+            else:
+                steps.append(_step(name, settings))
     else:
-        text = any(f["id"] == "vlen-utf8" for f in meta.get("filters") or ())
+        for f in meta.get("filters") or ():
+            if f["id"] == "vlen-utf8":
+                text = True
+            else:
+                steps.append(_step(f["id"], f))
         if meta.get("compressor"):
-            steps.append(meta["compressor"]["id"])
+            steps.append(_step(meta["compressor"]["id"], meta["compressor"]))
         byte = ">" if str(meta["dtype"]).startswith(">") else "<"
-    if bad := [s for s in steps if s not in ("zlib", "gzip", "zstd")]:
-        raise UnsupportedCodecError(f"no decoder for {bad}")
     name = normal_dtype(meta.get("data_type", meta.get("dtype")))
     if text or name in (None, "string"):
         fixed = str(meta.get("dtype", "")).lstrip("<>|")
@@ -159,15 +276,8 @@ def _codec(meta: dict) -> _Codec:
 
 
 def decode(data: bytes, codec: _Codec) -> np.ndarray:
-    for s in codec.steps:
-        if s == "zlib":
-            data = zlib.decompress(data)
-        elif s == "gzip":
-            data = gzip.decompress(data)
-        else:
-            import zstandard
-
-            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    for step, settings in codec.steps:
+        data = step(data, settings)
     if codec.dtype is not None:
         v = np.frombuffer(data, codec.dtype)
         return v if not codec.text else np.array([x.decode() if isinstance(x, bytes) else x for x in v], object)
@@ -179,10 +289,25 @@ def decode(data: bytes, codec: _Codec) -> np.ndarray:
     return np.array(out, object)
 
 
-def cells(spark: SparkSession, root: str, node: dict) -> DataFrame:
+def chunk_ranges(node: dict, only: Mapping[int, tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """For each axis the chunks (first, end) that a selection of half-open index ranges meets."""
+    out = []
+    for axis, (size, chunk) in enumerate(zip(node["shape"], node["chunks"], strict=True)):
+        low, high = (only or {}).get(axis, (0, size))
+        low, high = max(0, low), min(size, high)
+        out.append((low // chunk, max(low // chunk, -(-high // chunk))) if low < high else (0, 0))
+    return out
+
+
+#: Up to how many chunks a selection's files are asked for by name; more are listed.
+NAMED = 4096
+
+
+def cells(spark: SparkSession, root: str, node: dict, only: Mapping[int, tuple[int, int]] | None = None) -> DataFrame:
     """One row an element: its index on each axis (i0, i1, ...) and value (bigint, double or string).
 
-    Chunks that aren't there hold the fill value; padding beyond the shape is cut.
+    Chunks that aren't there hold the fill value; padding beyond the shape is cut. ``only`` selects
+    half-open ranges of indices by axis: chunks that it doesn't meet aren't opened.
     """
     meta, shape, chunk = node["meta"], node["shape"], node["chunks"]
     codec, n = _codec(meta), len(shape)
@@ -192,27 +317,42 @@ def cells(spark: SparkSession, root: str, node: dict) -> DataFrame:
     prefix = "c/" if "codecs" in meta else ""
     fill = meta.get("fill_value")
     base = f"{root.rstrip('/')}/{node['path']}"
-    grid = [range(-(-s // c)) for s, c in zip(shape, chunk, strict=True)]
+    grid = chunk_ranges(node, only)
+    bounds = [((only or {}).get(k, (0, shape[k]))[0], min(shape[k], (only or {}).get(k, (0, shape[k]))[1])) for k in range(n)]
+    counts = [b - a for a, b in grid]
     schema = ", ".join([*(f"i{k} bigint" for k in range(n)), f"value {'string' if text else 'bigint' if whole else 'double'}"])
-    keys = spark.range(int(np.prod([len(g) for g in grid]))) if n else spark.range(0)
+    total = int(np.prod(counts)) if n else 0
+    keys = spark.range(total)
     part = []
     for k in reversed(range(n)):
-        step = int(np.prod([len(g) for g in grid[k + 1 :]]))
-        part.insert(0, (F.floor(F.col("id") / step) % len(grid[k])).cast("string"))
+        step = int(np.prod(counts[k + 1 :]))
+        part.insert(0, (F.floor(F.col("id") / step) % max(1, counts[k]) + grid[k][0]).cast("string"))
     keys = keys.select("id", F.concat_ws(sep, *part).alias("key"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    files = files.select(F.element_at(F.split("path", re.escape(f"/{node['path']}/{prefix}")), -1).alias("key"), "content")
+    places = [base]
+    if only is not None and total <= NAMED:
+        jvm = spark._jvm
+        names = [sep.join(str(i + grid[k][0]) for k, i in enumerate(at)) for at in np.ndindex(*counts)] if total else []
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{base}/{prefix}{name}")
+        fs = path("0").getFileSystem(spark._jsc.hadoopConfiguration())
+        places = [f"{base}/{prefix}{name}" for name in names if fs.exists(path(name))]
+    if places:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places)
+        files = files.select(F.element_at(F.split("path", re.escape(f"/{node['path']}/{prefix}")), -1).alias("key"), "content")
+    else:
+        files = spark.createDataFrame([], "key string, content binary")
 
     def run(batches):
         for batch in batches:
             for i, data in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 at = []
-                for g in reversed(grid):
-                    i, r = divmod(i, len(g))
-                    at.insert(0, r)
-                block = np.full(chunk, fill, object if text else np.int64 if whole else float) if data is None else decode(data, codec).reshape(chunk, order=codec.order)
-                block = block[tuple(slice(0, min(c, s - a * c)) for a, c, s in zip(at, chunk, shape, strict=True))]
-                index = np.indices(block.shape).reshape(n, -1) + np.array([a * c for a, c in zip(at, chunk, strict=True)])[:, None]
+                for count, (first, _) in zip(reversed(counts), reversed(grid), strict=True):
+                    i, r = divmod(i, count)
+                    at.insert(0, first + r)
+                block = np.full(chunk, fill, object if text else np.int64 if whole else float) if data is None else codec.shaped(decode(data, codec), chunk)
+                low = [max(0, lo - a * c) for a, c, (lo, _) in zip(at, chunk, bounds, strict=True)]
+                high = [min(c, hi - a * c) for a, c, (_, hi) in zip(at, chunk, bounds, strict=True)]
+                block = block[tuple(map(slice, low, high))]
+                index = np.indices(block.shape).reshape(n, -1) + np.array([a * c + x for a, c, x in zip(at, chunk, low, strict=True)])[:, None]
                 v = pa.array(block.ravel().tolist(), pa.string()) if text else pa.array(block.ravel().astype(np.int64 if whole else float))
                 yield pa.record_batch([*(pa.array(x.astype(np.int64)) for x in index), v], names=[*(f"i{k}" for k in range(n)), "value"])
 
