@@ -45,6 +45,13 @@ def corner(x: float, y: float, b: Bounds) -> tuple[int, int]:
     return place(x, b.min_x, b.max_x), place(y, b.min_y, b.max_y)
 
 
+def corner_of(x: Column, y: Column, b: Bounds) -> tuple[Column, Column]:
+    """``corner`` of columns."""
+    if b.max_x <= b.min_x or b.max_y <= b.min_y:
+        return F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    return quantise(x, b.min_x, b.max_x), quantise(y, b.min_y, b.max_y)
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Closed integer spans, those that touch or overlap made one."""
     out: list[tuple[int, int]] = []

@@ -83,6 +83,11 @@ def groups_for_spans(groups: DataFrame, spans: DataFrame) -> DataFrame:
     return groups.join(F.broadcast(spans), (F.col("span_lo") <= F.col("hi")) & (F.col("span_hi") >= F.col("lo")), "left_semi")
 
 
+def spans(every: Bounds, query: Bounds, depth: int = 6) -> list[tuple[int, int]]:
+    """Merged spans of codes that cover a box, few by the depth."""
+    return [tuple(map(int, s)) for s in morton.spans_for_bounds(every, query, depth)]
+
+
 def covering_spans(spark, every: Bounds, query: Bounds, depth: int = 6) -> DataFrame:
     return spark.createDataFrame(morton.spans_for_bounds(every, query, depth), "span_lo bigint, span_hi bigint")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.numbers import finite
 from lattica.model import Bounds, PointColumns, resolve_cap
+from lattica.operators import index
 
 
 def code_predicate(code: Column | None, codes: Sequence[int] | None) -> Column:
@@ -45,16 +46,74 @@ def not_sentinel(row_index: Column, morton: Column) -> Column:
     return ~((row_index < 4) & (morton == 0))
 
 
+#: Integer types, whose rows can be cut at a threshold.
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+BUCKETS = 4096
+
+
+def in_view(df: DataFrame, c: PointColumns, every: Bounds, box: Bounds, codes: Sequence[int] | None = None, depth: int = 6) -> DataFrame:
+    """The box over a table sorted by Morton code: spans of codes as plain predicates, then the exact box.
+
+    The spans cover the box, and reach the scan's row-group and page statistics, so groups that hold
+    none of them aren't read; marker rows (code 0 in front) lie in the first. Without a Morton
+    column the whole table is filtered.
+    """
+    rows = in_bounds(df, c, box)
+    if c.morton is not None:
+        morton = F.col(c.morton)
+        spans = index.spans(every, box, depth)
+        keep = F.lit(False)
+        for low, high in spans:  # a cover has a bounded number of spans
+            keep = keep | morton.between(low, high)
+        rows = rows.where(keep | (morton == 0))
+    return filter_codes(rows, c.code, codes)
+
+
+def _cut(ids: DataFrame, n: int) -> tuple[int, int, int, int]:
+    """(id of the n-th row, rows below it, rows with it, all rows) of a column ``id`` without ordering.
+
+    Histograms of equal ranges, the crossing one again: BUCKETS rows a round come to the driver."""
+    r = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    low, high, total = r
+    if total <= n:
+        return high if high is not None else 0, total, 0, total
+    below = 0
+    while True:
+        width = (high - low) // BUCKETS + 1
+        some = ids.where(F.col("id").between(low, high)).groupBy(F.floor((F.col("id") - F.lit(low)) / width).alias("b")).agg(F.count("*").alias("n"))
+        for x in sorted(some.collect(), key=lambda x: x["b"]):
+            if below + x["n"] >= n:
+                break
+            below += x["n"]
+        if width == 1:
+            return low + x["b"], below, x["n"], total
+        low, high = low + x["b"] * width, min(high, low + (x["b"] + 1) * width - 1)
+
+
+def _first(df: DataFrame, row_id: str, n: int) -> tuple[DataFrame, int | None]:
+    """(the first n rows, the number of all where it was counted)."""
+    if dict(df.dtypes).get(row_id) not in _WHOLE:
+        return df.orderBy(row_id).limit(n), None
+    at, below, here, total = _cut(df.select(F.col(row_id).cast("bigint").alias("id")).where("id is not null"), n)
+    if total <= n:
+        return df, total
+    if below + here == n:
+        return df.where(F.col(row_id) <= at), total
+    return df.where(F.col(row_id) < at).unionByName(df.where(F.col(row_id) == at).limit(n - below)), total
+
+
 def first_rows(df: DataFrame, row_id: str, cap: float | None) -> tuple[DataFrame, int]:
+    """(the rows of the least ids up to the cap, the cap): by a threshold, so nothing is ordered or brought together."""
     n = resolve_cap(cap)
-    return df.orderBy(row_id).limit(n), n
+    return _first(df, row_id, n)[0], n
 
 
 def preload(df: DataFrame, row_id: str, cap: float | None) -> DataFrame:
     """The first rows up to the cap, with total_rows and truncated (total over the cap)."""
-    rows, n = first_rows(df, row_id, cap)
-    total = df.agg(F.count("*").alias("total_rows"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total_rows") > n)  # one row
+    n = resolve_cap(cap)
+    rows, total = _first(df, row_id, n)
+    total = df.count() if total is None else total
+    return rows.withColumn("total_rows", F.lit(total).cast("bigint")).withColumn("truncated", F.lit(total > n))
 
 
 def matching(df: DataFrame, c: PointColumns, keep: Column, cap: float | None) -> DataFrame:
@@ -62,9 +121,9 @@ def matching(df: DataFrame, c: PointColumns, keep: Column, cap: float | None) ->
     found = df.where(keep & finite(F.col(c.x)) & finite(F.col(c.y)))
     if c.z:
         found = found.withColumn(c.z, F.when(finite(F.col(c.z)), F.col(c.z)).otherwise(F.lit(0.0)))
-    rows, n = first_rows(found, c.row_id, cap)
-    count = found.agg(F.count("*").alias("matched"))
-    return rows.crossJoin(F.broadcast(count)).withColumn("truncated", F.col("matched") >= n).drop("matched")
+    n = resolve_cap(cap)
+    rows, total = _first(found, c.row_id, n)
+    return rows.withColumn("truncated", F.lit((found.count() if total is None else total) >= n))
 
 
 def geometry(df: DataFrame, c: PointColumns) -> DataFrame:
@@ -85,5 +144,37 @@ def tile_counts(df: DataFrame, c: PointColumns, origin: tuple[float, float], siz
 
 
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows, the same ones whenever the seed is, by hash of the row id."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id).limit(n)
+    """n rows, the same ones whenever the seed is: those of the least hash of seed and row id.
+
+    The hash is 60 bits of an MD5 digest; rows beyond its n-th value are cut by a threshold.
+    """
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return _first(df.withColumn("_hash", h), "_hash", n)[0].drop("_hash")
+
+
+def hide(df: DataFrame, key: str, hidden: DataFrame) -> DataFrame:
+    """The rows whose key isn't hidden."""
+    return df.join(hidden.select(key).distinct(), key, "left_anti")
+
+
+def concat_chunks(chunks: Sequence[DataFrame], code: str | None = None) -> DataFrame:
+    """All chunks as one; the code column stays only if every chunk has it."""
+    if code is not None and not all(code in c.columns for c in chunks):
+        chunks = [c.drop(code) for c in chunks]
+    out = chunks[0]
+    for c in chunks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def to_batch(df: DataFrame, c: PointColumns) -> DataFrame:
+    """Point data as a columnar batch: x, y, z (0 without one), code where there is one, all as numbers."""
+    z = F.coalesce(F.col(c.z), F.lit(0.0)) if c.z else F.lit(0.0)
+    code = [F.col(c.code).cast("int").alias("code")] if c.code else []
+    return df.select(F.col(c.row_id).alias("row_id"), F.col(c.x).cast("float").alias("x"), F.col(c.y).cast("float").alias("y"), z.cast("float").alias("z"), *code)
+
+
+def from_batch(batch: DataFrame) -> DataFrame:
+    """A columnar batch as point data: row_id, position [x, y, z], and code (-1 without one)."""
+    code = F.coalesce("code", F.lit(-1)) if "code" in batch.columns else F.lit(-1)
+    return batch.select("row_id", F.array(*[F.col(a).cast("double") for a in "xyz"]).alias("position"), code.cast("int").alias("code"))
