@@ -167,3 +167,50 @@ def hex_colour(text: Column) -> Column:
     digits = F.regexp_extract(text, r"^#?([0-9a-fA-F]{6})$", 1)
     part = lambda k: F.conv(F.substring(digits, k, 2), 16, 10).cast("int")
     return F.when(digits != "", F.array(part(1), part(3), part(5)))
+
+
+def colour_at(buffer: Column, index: Column, size: int | None = None) -> Column:
+    """The channel at a place of a colour buffer; null beyond its end, or beyond ``size`` bytes of it."""
+    value = F.get(buffer, index)
+    return value if size is None else F.when((index >= 0) & (index < size), value)
+
+
+def palette_table(spark, top: int, overrides: DataFrame | None = None, least: int = 4096) -> DataFrame:
+    """code, colour for 0 to the greatest of ``top`` and ``least`` - 1: an override's colour, else OKLab's."""
+    ids = spark.range(0, max(top + 1, least)).select(F.col("id").alias("code"))
+    own = oklab(F.col("code"))
+    if overrides is None:
+        return ids.select("code", own.alias("colour"))
+    given = overrides.select("code", F.col("colour").alias("_own"))
+    return ids.join(F.broadcast(given) if given.count() <= 100_000 else given, "code", "left").select("code", F.coalesce("_own", own).alias("colour"))
+
+
+def picked_label(value: Column, alphas: Column | None = None) -> Column:
+    """The label of a picked pixel: a finite value over 0 that its table doesn't hide; else null."""
+    seen = finite(value) & (value > 0)
+    whole = value.cast("bigint")
+    return F.when(seen if alphas is None else seen & label_visible(alphas, whole.cast("int")), whole)
+
+
+def highlight_id(value: Column, alphas: Column | None = None) -> Column:
+    """The rounded id to light up: finite, over 0 and visible; else null."""
+    whole = half_up(F.when(finite(value) & (value > 0), value)).cast("bigint")
+    return whole if alphas is None else F.when(label_visible(alphas, whole.cast("int")), whole)
+
+
+def signature(*parts: Column) -> Column:
+    """What a colouring is kept by: its parts, arrays joined, in order."""
+    return F.concat_ws(":", *parts)
+
+
+class SharedColours:
+    """Colourings by signature: equal settings give the same object, so what depends on it isn't made again."""
+
+    def __init__(self, make):
+        self.make, self.held = make, {}
+
+    def get(self, *settings):
+        key = repr(settings)
+        if key not in self.held:
+            self.held[key] = self.make(*settings)
+        return self.held[key]

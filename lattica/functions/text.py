@@ -54,3 +54,36 @@ def shorten(number: Column, length: int) -> Column:
 
 def query_value(url: Column, key: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(key))
+
+
+def content_hash(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def json_value(document: Column, key: str) -> Column:
+    """A key's own value in a JSON object; names of the language's prototype aren't keys."""
+    if key in ("__proto__", "constructor", "prototype"):
+        return F.lit(None).cast("string")
+    return F.get_json_object(document, f"$.{key}")
+
+
+def points_key(key: Column) -> Column:
+    """Whether a name, trimmed, can be the key of a point element: one part of a path, none of '.' and '..'."""
+    name = F.trim(key)
+    return (name != "") & ~F.contains(name, F.lit("/")) & ~name.isin(".", "..")
+
+
+def merged(base: dict, over: dict) -> dict:
+    """Settings with others on top: objects are merged key by key, everything else is replaced."""
+    both = lambda k: isinstance(base.get(k), dict) and isinstance(over.get(k), dict)
+    return {k: merged(base[k], over[k]) if both(k) else over.get(k, base.get(k)) for k in [*base, *(k for k in over if k not in base)]}
+
+
+def settings_for(config: dict, key: str) -> dict:
+    """The settings of one element: the config's own ``elements`` entry over its defaults."""
+    return merged({k: v for k, v in config.items() if k != "elements"}, config.get("elements", {}).get(key, {}))
+
+
+def description(**inputs: Column) -> Column:
+    """A hash of all inputs by name, to keep what was resolved from them."""
+    return F.xxhash64(F.to_json(F.struct(*[v.alias(k) for k, v in sorted(inputs.items())])))

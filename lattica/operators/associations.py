@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.session import checkpointed
+from lattica.session import checkpointed, small
 
 
 def accepted_regions(kind: str, key: str, regions: Sequence[str] = (), strict: bool = False) -> list[str]:
@@ -90,4 +90,43 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 def decode(df: DataFrame, code: str, categories: DataFrame, value: str = "category") -> DataFrame:
     """Codes to categories; a negative or unknown code is null."""
     cats = categories.select(F.col("code").alias("_code"), value)
-    return df.join(cats, F.col(code) == F.col("_code"), "left").drop("_code")
+    return df.join(small(cats), F.col(code) == F.col("_code"), "left").drop("_code")
+
+
+def masked(value: Column, mask: Column) -> Column:
+    """A nullable array's value: null where the mask is set."""
+    return F.when(~F.coalesce(mask, F.lit(False)), value)
+
+
+def last_values(rows: DataFrame, instance: str, row_order: str, value: str) -> DataFrame:
+    """id (as text), value: of each id that of its last row."""
+    return rows.groupBy(F.col(instance).cast("string").alias("id")).agg(F.max_by(value, row_order).alias("value"))
+
+
+def column_for(features: DataFrame, feature_id: str, rows: DataFrame, instance: str, row_order: str, column: str) -> DataFrame:
+    """Features with ``value``: the column of their annotation row, by id as text; null without one."""
+    found = last_values(rows, instance, row_order, column)
+    return features.join(found, F.col(feature_id).cast("string") == F.col("id"), "left").drop("id")
+
+
+def label_tooltips(labels: DataFrame, label: str, rows: DataFrame, instance: str, row_order: str, column: str) -> DataFrame:
+    """Labels with ``tooltip``: the text of their annotation row, '' without one."""
+    found = column_for(labels, label, rows, instance, row_order, column)
+    return found.withColumn("tooltip", F.coalesce(F.col("value").cast("string"), F.lit(""))).drop("value")
+
+
+def shape_tooltips(features: DataFrame, feature_id: str, rows: DataFrame, instance: str, row_index: str, aligned: bool) -> DataFrame:
+    """Features with ``row_index``: kept where they are aligned with the rows already, else by id."""
+    if aligned:
+        return features
+    return associate(features.drop("row_index"), feature_id, rows, instance, row_index)
+
+
+def in_system(elements: DataFrame, systems: str, system) -> DataFrame:
+    """The elements (with an array of systems) that are available in one."""
+    return elements.where(F.array_contains(systems, system))
+
+
+def systems_of(elements: DataFrame, system: str, order: str) -> DataFrame:
+    """Distinct systems, each with the place of its first element, in that order."""
+    return elements.groupBy(system).agg(F.min(order).alias("first")).orderBy("first")

@@ -1,7 +1,8 @@
 """Catalogues of feature names and codes, counts, and selections.
 
 A catalogue has as many rows as there are distinct features, so ranking windows without a
-partition run on that side only, after a partial aggregate.
+partition run on that side only, after a partial aggregate. Joins of rows to a catalogue count it
+first, and broadcast it if it is small.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions.numbers import finite
+from lattica.session import small
 
 MISSING = -1
 
@@ -43,14 +45,14 @@ def sorted_codes(df: DataFrame, name: str) -> DataFrame:
 
 def row_codes(df: DataFrame, catalog: DataFrame, name: str) -> DataFrame:
     """The rows with ``code``; null and unknown names have -1."""
-    names = catalog.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
+    names = small(catalog.select(F.col("code").alias("_code"), F.col("name").alias("_name")))
     return df.join(names, F.col(name) == F.col("_name"), "left").withColumn("code", F.coalesce("_code", F.lit(MISSING))).drop("_code", "_name")
 
 
 def remap(df: DataFrame, code: str, old: DataFrame, new: DataFrame) -> DataFrame:
     """Codes of one catalogue as those of another, by name; -1 where it has no such name."""
     pairs = old.select(F.col("code").alias("_old"), "name").join(new.select(F.col("code").alias("_new"), "name"), "name").select("_old", "_new")
-    return df.join(pairs, F.col(code) == F.col("_old"), "left").withColumn("new_code", F.coalesce("_new", F.lit(MISSING))).drop("_old", "_new")
+    return df.join(small(pairs), F.col(code) == F.col("_old"), "left").withColumn("new_code", F.coalesce("_new", F.lit(MISSING))).drop("_old", "_new")
 
 
 def histogram(df: DataFrame, code: str) -> DataFrame:
@@ -94,3 +96,39 @@ def covers(wanted: str, held: str):
 
 def signature(codes: str):
     return F.array_join(F.transform(F.array_sort(codes), lambda c: c.cast("string")), ",")
+
+
+def ordered(catalog: DataFrame) -> DataFrame:
+    """The catalogue by code."""
+    return catalog.orderBy("code")
+
+
+def code_space(catalog: DataFrame | None, spark=None) -> DataFrame:
+    """One row: the greatest code and one more; 0 of an empty catalogue or none."""
+    if catalog is None:
+        return spark.createDataFrame([(0,)], "size bigint")
+    return catalog.agg(F.coalesce(F.max("code") + 1, F.lit(0)).cast("bigint").alias("size"))
+
+
+def names_of(*chunks: DataFrame, name: str) -> DataFrame:
+    """Distinct names of one or more chunks, null being ''."""
+    out = None
+    for c in chunks:
+        some = c.select(F.coalesce(F.col(name), F.lit("")).alias("name")).distinct()
+        out = some if out is None else out.union(some)
+    return out.distinct() if len(chunks) > 1 else out
+
+
+def sorted_names(catalog: DataFrame) -> DataFrame:
+    """One row: codes in order, and names in order."""
+    return catalog.agg(F.array_sort(F.collect_list("code")).alias("codes"), F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def code_map(catalog: DataFrame) -> DataFrame:
+    """One row: names to codes."""
+    return catalog.agg(F.map_from_entries(F.collect_list(F.struct("name", "code"))).alias("codes"))
+
+
+def upgraded(rows: DataFrame, code: str, preview: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows coded by a preview catalogue with the codes of the full one: names the preview didn't have are -1."""
+    return remap(rows, code, preview, full).drop(code).withColumnRenamed("new_code", code)

@@ -95,3 +95,8 @@ def merge_channels(stored: Channels, defaults: Channels, layer: str, sizes: Mapp
     fill = lambda v, x: (list(v) + [x] * n)[:n]
     ids = [stored.ids[i] if i < len(stored.ids) else f"{layer}:ch:{i}" for i in range(n)]
     return Channels(fill(lists[0], WHITE), fill(lists[1], RANGE16), fill(lists[2], True), fill(rows, zero), ids)
+
+
+def label_channels(selections: Sequence[dict[str, int]], top: float) -> Channels:
+    """A label image has one channel: white, the type's whole range, shown, at its first selection."""
+    return Channels([WHITE], [(0.0, top)], [True], [dict(selections[0])] if selections else [{}])

@@ -70,3 +70,47 @@ def overlay(features: DataFrame, key: str, colours: DataFrame, hidden: DataFrame
     base = F.coalesce("_own", default)
     alpha = F.when(F.col("_hidden"), 0).when(F.col("_faded"), F.floor(F.get(base, 3) * factor + 0.5).cast("int")).otherwise(F.get(base, 3))
     return out.withColumn("colour", F.concat(F.slice(base, 1, 3), F.array(alpha.cast("int")))).drop("_own", "_hidden", "_faded")
+
+
+#: Kinds of layers that stored properties may have.
+LAYER_KINDS = ("points", "shapes", "images", "labels")
+
+
+def migrated_layers(raw: Column) -> Column:
+    """Layers of stored properties in the present form: array of id, kind; those of unknown kinds are dropped."""
+    layers = F.from_json(raw, "layers array<struct<id:string,kind:string>>")["layers"]
+    return F.filter(layers, lambda x: x["kind"].isin(*LAYER_KINDS))
+
+
+def entry_ids(stack: DataFrame, key: str = "id", host: str | None = None) -> DataFrame:
+    """The ids of a stack's entries, or of those of one host, each once in the stack's order (``ord``)."""
+    rows = stack if host is None else stack.where(F.col("host") == host)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ord").alias("ord")).orderBy("ord")
+
+
+def layer_inputs(stack: DataFrame, kind: str, numbers: dict[str, float]) -> DataFrame:
+    """Entries of a kind with their numeric properties (a map of text), defaults where they aren't finite numbers."""
+    value = lambda k, d: F.coalesce(F.nullif(F.col("props")[k].try_cast("double"), F.lit(float("nan"))), F.lit(float(d)))
+    return stack.where(F.col("kind") == kind).select("id", "ord", *[value(k, d).alias(k) for k, d in numbers.items()])
+
+
+def zoom_size(zoom: Column, reference: float, low: float, high: float) -> Column:
+    """A size that doubles with each level of zoom, held between two bounds."""
+    return F.least(F.greatest(F.pow(F.lit(2.0), zoom - reference), F.lit(low)), F.lit(high))
+
+
+class BoundsCache:
+    """World bounds by element, version and matrix: computed once, dropped with the element."""
+
+    def __init__(self):
+        self.held: dict[tuple, tuple] = {}
+
+    def get(self, element: str, version, matrix, compute):
+        key = (element, version, None if matrix is None else tuple(map(float, matrix.ravel())))
+        if key not in self.held:
+            row = compute().first()
+            self.held[key] = None if row is None or row[0] is None else tuple(row)
+        return self.held[key]
+
+    def drop(self, element: str) -> None:
+        self.held = {k: v for k, v in self.held.items() if k[0] != element}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Engine-wide settings; a cluster's own settings of these keys win.
 CONF = {
@@ -42,3 +43,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows up to which a counted table is broadcast.
+FEW = 1_000_000
+
+
+def small(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """A catalogue or the like: written once, counted, and marked for broadcast if it has at most ``rows`` rows.
+
+    Its static size follows what it was made from, so without the count a join to it would shuffle
+    the other side however few rows it has.
+    """
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df

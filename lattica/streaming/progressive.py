@@ -65,23 +65,37 @@ def matching(spark: SparkSession, df: DataFrame, keep: Column, folder: str, on_p
 def catalog(spark: SparkSession, df: DataFrame, name: str, folder: str, on_catalog: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """code, name: codes in order of the batch in which a name first came, then name.
 
-    A batch's new names are those that no earlier batch has; their codes go on from the number
-    of names before, so a code once given stays.
+    A batch's new names are those that the table of names lacks; their codes go on from the greatest
+    before, so a code once given stays.
     """
     from pyspark.sql import Window as W
 
+    schema, state = "code bigint, name string", f"{folder}/names"
+
     def each(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        schema = "code bigint, name string"
-        earlier = s.createDataFrame([], schema)
-        for i in range(n):
-            earlier = earlier.unionByName(s.read.schema(schema).parquet(f"{folder}/names/batch={i}"))
-        new = batch.select(F.coalesce(F.col(name), F.lit("")).alias("name")).distinct().join(earlier, "name", "left_anti")
-        base = earlier.count()
+        # one folder holds all names; a batch that is run again leaves out what it wrote itself
+        held = s.read.schema(f"{schema}, batch bigint").parquet(state).where(F.col("batch") < n) if n else s.createDataFrame([], f"{schema}, batch bigint")
+        new = batch.select(F.coalesce(F.col(name), F.lit("")).alias("name")).distinct().join(held.select("name"), "name", "left_anti")
+        base = held.agg(F.coalesce(F.max("code") + 1, F.lit(0))).first()[0]
         new = new.select((F.row_number().over(W.orderBy("name")) - 1 + base).cast("bigint").alias("code"), "name")
-        new.write.mode("overwrite").parquet(f"{folder}/names/batch={n}")
-        if on_catalog and (grown := s.read.parquet(f"{folder}/names/batch={n}")).take(1):
-            on_catalog(earlier.unionByName(grown.select("code", "name")))
+        new.write.mode("overwrite").parquet(f"{state}/batch={n}")
+        if on_catalog and s.read.schema(schema).parquet(f"{state}/batch={n}").take(1):
+            on_catalog(s.read.schema(schema).parquet(state))
 
     run(df, each, f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/names").select("code", "name")
+
+
+def two_phase_catalog(preview: Callable[[], DataFrame], full: Callable[[], DataFrame], shown: Callable[[DataFrame, str], None]) -> DataFrame:
+    """A catalogue in two steps: the preview is shown at once, then the full one; a failed preview is left out.
+
+    Rows that were coded by the preview are upgraded by ``catalog.upgraded``.
+    """
+    try:
+        shown(preview(), "preview")
+    except Exception:  # the preview is a convenience; the full catalogue decides
+        pass
+    found = full()
+    shown(found, "full")
+    return found

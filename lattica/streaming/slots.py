@@ -175,3 +175,55 @@ class Registry:
     def evict(self, ids: Sequence[str]) -> None:
         for i in ids:
             self._kept.pop(i, None)
+
+
+class ShapesResolver:
+    """Geometry, tooltips and fill colours of a shapes element, each in a slot of its own.
+
+    A resource is asked for again only when its key changes; a cancelled or failed request leaves
+    what was there before.
+    """
+
+    RESOURCES = ("geometry", "tooltip", "fill")
+
+    def __init__(self, spark: SparkSession | None = None):
+        self.slots = {r: Slot(spark) for r in self.RESOURCES}
+
+    def wanted(self, entry: dict) -> dict[str, Any]:
+        """The key of each resource that an entry needs now."""
+        keys = {"geometry": (entry["element"], entry.get("version"))}
+        if entry.get("tooltip"):
+            keys["tooltip"] = (entry["element"], entry["table"], tuple(entry["tooltip"]))
+        if entry.get("fill"):
+            keys["fill"] = (entry["element"], entry["table"], entry["fill"])
+        return keys
+
+    def resolve(self, entry: dict, loaders: dict[str, Callable]) -> dict[str, Resolution]:
+        for r, key in self.wanted(entry).items():
+            self.slots[r].request(key, loaders[r])
+        return self.snapshot(entry)
+
+    def snapshot(self, entry: dict) -> dict[str, Resolution]:
+        return {r: self.slots[r].now for r in self.wanted(entry)}
+
+
+class RasterResolver:
+    """Levels, channels and statistics of images, or of labels: a loader's outcome by element and version."""
+
+    def __init__(self, load: Callable[[str], Any], channels: Callable[[Any], Any], spark: SparkSession | None = None):
+        self.load, self.channels, self.spark = load, channels, spark
+        self.slots: dict[str, Slot] = {}
+
+    def resolve(self, entry: dict) -> Resolution:
+        slot = self.slots.setdefault(entry["id"], Slot(self.spark))
+
+        def work(*_):
+            levels = self.load(entry["element"])
+            return {"levels": levels, "channels": self.channels(levels)}
+
+        slot.request((entry["element"], entry.get("version")), work)
+        return slot.now
+
+    def evict(self, ids: Sequence[str]) -> None:
+        for i in ids:
+            self.slots.pop(i, None)
