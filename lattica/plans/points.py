@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import numbers, text
 from lattica.model import Bounds, PointColumns
-from lattica.operators import catalog, points, render
+from lattica.operators import associations, catalog, points, render
 from lattica.plans.registry import query
 
 EV = PointColumns("event_id", "value", "event_id", name="event_type", instance="user_id")
@@ -107,7 +107,7 @@ def catalog_chunked(t):
 
 @query("SELECT DISTINCT event_type AS name FROM events")
 def distinct_names(t):
-    return t.events.select(F.col("event_type").alias("name")).distinct()
+    return catalog.names_of(t.events, name="event_type")
 
 
 @query(f"SELECT code::BIGINT AS code, count(*)::BIGINT AS count FROM (SELECT CASE WHEN event_id % 11 = 0 THEN -1 ELSE code END AS code FROM {CODED}) GROUP BY code")
@@ -179,13 +179,13 @@ def colour_overrides_by_name(t):
 
 @query(f"SELECT string_agg(code::VARCHAR, ',' ORDER BY code) AS codes, string_agg(name, ',' ORDER BY name) AS names FROM {SORTED}")
 def sorted_lists(t):
-    c = catalog.sorted_codes(t.events, "event_type").agg(F.collect_list("code").alias("c"), F.array_sort(F.collect_list("name")).alias("n"))
-    return c.select(catalog.signature("c").alias("codes"), F.array_join("n", ",").alias("names"))
+    c = catalog.sorted_names(catalog.sorted_codes(t.events, "event_type"))
+    return c.select(catalog.signature("codes").alias("codes"), F.array_join("names", ",").alias("names"))
 
 
 @query(f"SELECT (max(code) + 1)::BIGINT AS size FROM {SORTED}")
 def code_space(t):
-    return catalog.sorted_codes(t.events, "event_type").agg(F.coalesce(F.max("code") + 1, F.lit(0)).cast("bigint").alias("size"))
+    return catalog.code_space(catalog.sorted_codes(t.events, "event_type"))
 
 
 @query("SELECT * FROM (VALUES ('0,1', true), ('1,9', false), ('', true)) v(codes, covered)")
@@ -226,7 +226,7 @@ def row_count(t):
     return t.lineitem.agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("SELECT event_id, value FROM (SELECT event_id, value, ('0x' || substr(md5('0:' || event_id), 1, 15))::BIGINT AS h FROM events) ORDER BY h LIMIT 100")
 def sample_seeded(t):
     return points.seeded_sample(t.events, "event_id", 100, 0).select("event_id", "value")
 
@@ -238,30 +238,28 @@ def first_picks(t):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click')")
 def hidden_features(t):
-    return t.events.join(t.spark.createDataFrame([("click",)], "event_type string"), "event_type", "left_anti").select("event_id", "event_type")
+    return points.hide(t.events, "event_type", t.spark.createDataFrame([("click",)], "event_type string")).select("event_id", "event_type")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM (SELECT event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_type FROM events WHERE event_id % 2 = 1) GROUP BY event_type")
 def multipart_union(t):
-    both = t.events.where("event_id % 2 = 0").unionByName(t.events.where("event_id % 2 = 1"))
+    both = points.concat_chunks([t.events.where("event_id % 2 = 0"), t.events.where("event_id % 2 = 1")])
     return both.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events""")
 def json_attr(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return t.events.select("event_id", text.json_value(F.col("props"), "k").cast("bigint").alias("k"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value FROM events")
 def nullable_decode(t):
     masked = t.events.select("event_id", F.struct("value", (F.col("event_id") % 4 == 0).alias("mask")).alias("v"))
-    return masked.select("event_id", F.when(~F.col("v.mask"), F.col("v.value")).alias("value"))
+    return masked.select("event_id", associations.masked(F.col("v.value"), F.col("v.mask")).alias("value"))
 
 
 @query("SELECT e.event_id, n.n_name AS category FROM (SELECT event_id, (user_id % 26) - 1 AS code FROM events) e LEFT JOIN nation n ON e.code = n.n_nationkey")
 def categorical_decode(t):
-    from lattica.operators import associations
-
     rows = t.events.select("event_id", ((F.col("user_id") % 26) - 1).alias("code"))
     cats = t.nation.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("category"))
     return associations.decode(rows, "code", cats).select("event_id", "category")
@@ -271,3 +269,43 @@ def categorical_decode(t):
 def coverage_percent(t):
     n = t.events.groupBy("event_type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(t.events.agg(F.count("*").alias("total"))))
     return n.select("event_type", text.percent(F.col("n"), F.col("total")).alias("share"))
+
+
+@query("SELECT event_id AS row_id, event_id::FLOAT AS x, value::FLOAT AS y, 0.0::FLOAT AS z, code::INT AS code FROM " + CODED)
+def columnar_batch(t):
+    return points.to_batch(coded(t), PointColumns("event_id", "value", "event_id", code="code"))
+
+
+@query(f"SELECT event_id AS row_id, event_id::DOUBLE AS x, (value::FLOAT)::DOUBLE AS y, code::INT AS code FROM {CODED}")
+def point_data(t):
+    """Batches and back: positions and codes on one row."""
+    back = points.from_batch(points.to_batch(coded(t), PointColumns("event_id", "value", "event_id", code="code")))
+    return back.select("row_id", F.col("position")[0].alias("x"), F.col("position")[1].alias("y"), "code")
+
+
+@query(f"SELECT (event_id % 2)::BIGINT AS chunk, count(*)::BIGINT AS n, count(code)::BIGINT AS coded FROM {CODED} GROUP BY 1")
+def chunk_concat(t):
+    rows = coded(t)
+    both = points.concat_chunks([rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")], "code")
+    return both.groupBy((F.col("event_id") % 2).alias("chunk")).agg(F.count("*").alias("n"), F.count("code").alias("coded"))
+
+
+@query(f"SELECT name || '=' || code AS entry FROM {SORTED}")
+def code_map_entries(t):
+    m = catalog.code_map(catalog.sorted_codes(t.events, "event_type"))
+    return m.select(F.explode("codes").alias("name", "code")).select(F.concat_ws("=", "name", F.col("code").cast("string")).alias("entry"))
+
+
+@query(f"SELECT e.event_id, CASE WHEN s.code < 3 THEN s.code ELSE -1 END::BIGINT AS code FROM events e JOIN {SORTED} s ON e.event_type = s.name")
+def catalog_upgrade(t):
+    """Rows coded by a preview of first-seen names get the codes of the full catalogue, here one that lacks names."""
+    preview = catalog.first_seen(t.events, "event_type", "event_id")
+    rows = catalog.row_codes(t.events, preview, "event_type")
+    full = catalog.sorted_codes(t.events, "event_type").where("code < 3")
+    return catalog.upgraded(rows, "code", preview, full).select("event_id", F.col("code").cast("bigint").alias("code"))
+
+
+@query("SELECT event_id, regexp_matches(trim(event_type || CASE WHEN event_id % 4 = 0 THEN '/x' ELSE '' END), '^[^/]+$') AS valid FROM events")
+def key_validation(t):
+    key = F.concat("event_type", F.when(F.col("event_id") % 4 == 0, "/x").otherwise(""))
+    return t.events.select("event_id", text.points_key(key).alias("valid"))

@@ -40,24 +40,40 @@ def stream_catalog(t):
 @query("SELECT count(*)::BIGINT AS rows FROM lineitem")
 def footer_rows(t):
     """Rows by the footers of all files of a data set."""
-    files = [f for f in t.lineitem.inputFiles()]
-    local = [f.removeprefix("file://") for f in files]
-    if any("://" in f for f in local):
-        return t.lineitem.agg(F.count("*").alias("rows"))
-    groups = parquet.row_groups(t.spark, local).where("column = 'l_orderkey'")
-    return groups.agg(F.sum("rows").alias("rows"))
+    found = parquet.row_groups(t.spark, parquet.parts(f"{t.folder}/lineitem.parquet", t.spark))
+    return parquet.groups(found).agg(F.sum("rows").alias("rows"))
 
 
 @query("SELECT min(l_orderkey)::BIGINT AS lo, max(l_orderkey)::BIGINT AS hi FROM lineitem")
 def footer_extent(t):
-    local = [f.removeprefix("file://") for f in t.lineitem.inputFiles()]
-    if any("://" in f for f in local):
-        return t.lineitem.agg(F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
-    groups = parquet.row_groups(t.spark, local).where("column = 'l_orderkey'")
-    return groups.agg(F.min(F.col("min").cast("bigint")).alias("lo"), F.max(F.col("max").cast("bigint")).alias("hi"))
+    found = parquet.row_groups(t.spark, parquet.parts(f"{t.folder}/lineitem.parquet", t.spark))
+    return parquet.extents(found, "l_orderkey").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 @query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS row_index FROM events")
 def parquet_row_index(t):
     df = parquet.read(t.spark, f"{t.folder}/events.parquet", ["event_id"])
     return df.select("event_id", "row_index")
+
+
+@query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 300")
+def capped_read(t):
+    """The first rows in file order, of the parts that hold them."""
+    return parquet.read_capped(t.spark, f"{t.folder}/events.parquet", 300, ["event_id", "value"]).select("event_id", "value")
+
+
+@query("SELECT count(*)::BIGINT AS n, min(event_id)::BIGINT AS first FROM events")
+def row_group_read(t):
+    """All row groups, one by one."""
+    path = f"{t.folder}/events.parquet"
+    n = parquet.groups(parquet.row_groups(t.spark, parquet.parts(path, t.spark))).count()
+    rows = None
+    for g in range(n):
+        some = parquet.read_row_group(t.spark, path, g, ["event_id"])
+        rows = some if rows is None else rows.unionByName(some)
+    return rows.agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM events")
+def multipart_concat(t):
+    return parquet.concat(t.spark, f"{t.folder}/events.parquet").agg(F.count("*").alias("n"))

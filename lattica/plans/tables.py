@@ -96,14 +96,12 @@ def tooltip_items(t):
 
 @query("SELECT e.vec_id, coalesce(o.o_orderpriority, '') AS tooltip FROM embeddings e LEFT JOIN (SELECT o_custkey::VARCHAR AS id, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1) o ON e.vec_id::VARCHAR = o.id")
 def label_tooltips(t):
-    rows = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("p"))
-    return t.embeddings.join(rows, F.col("vec_id").cast("string") == F.col("id"), "left").select("vec_id", F.coalesce("p", F.lit("")).alias("tooltip"))
+    return associations.label_tooltips(t.embeddings, "vec_id", t.orders, "o_custkey", "o_orderkey", "o_orderpriority").select("vec_id", "tooltip")
 
 
 @query(f"SELECT c.feature_id, m.o_totalprice AS value FROM {CIRCLES} c LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, row_index) AS o_totalprice FROM {RANKED} GROUP BY 1) m ON c.feature_id = m.o_custkey")
 def column_for_features(t):
-    rows = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_totalprice", "o_orderkey").alias("value"))
-    return circles(t).join(rows, F.col("feature_id") == F.col("id"), "left").select("feature_id", "value")
+    return associations.column_for(circles(t), "feature_id", t.orders, "o_custkey", "o_orderkey", "o_totalprice").select("feature_id", "value")
 
 
 @query("SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
@@ -137,15 +135,13 @@ def morton_codes(t):
 
 @query(f"""WITH m AS (SELECT * FROM {MORTON}), e AS (SELECT unnest([arg_min(event_id, (event_id, event_id)), arg_max(event_id, (event_id, -event_id)), arg_min(event_id, (value, event_id)), arg_max(event_id, (value, -event_id))]) AS id, unnest([0, 1, 2, 3]) AS p FROM m),
 f AS (SELECT id, min(p) AS p FROM e GROUP BY id), s AS (SELECT m.event_id, f.p, CASE WHEN f.p IS NULL THEN m.morton ELSE 0 END AS code FROM m LEFT JOIN f ON m.event_id = f.id)
-SELECT event_id, code::BIGINT AS morton, (row_number() OVER (ORDER BY p NULLS LAST, code, event_id) - 1)::BIGINT AS place FROM s ORDER BY p NULLS LAST, code, event_id LIMIT 100""")
+SELECT event_id, code::BIGINT AS morton, (row_number() OVER (ORDER BY p NULLS LAST, code, event_id) - 1)::BIGINT AS place FROM s""")
 def morton_sort_first_rows(t):
-    top = index.sort_points(t.events, EV).select("event_id", "morton").limit(100)
-    from pyspark.sql import Window
-
-    marks = index.extremes(t.events, EV).withColumnRenamed("row_id", "event_id")
-    placed = top.join(F.broadcast(marks), "event_id", "left")  # four rows at most
-    order = Window.orderBy(F.col("place").asc_nulls_last(), "morton", "event_id")
-    return placed.select("event_id", "morton", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
+    """The place of every row in the sorted order, markers in front."""
+    rows = index.sort_points(t.events, EV).select("event_id", "morton")
+    marks = F.broadcast(index.extremes(t.events, EV).withColumnRenamed("row_id", "event_id").withColumnRenamed("place", "mark"))  # four rows at most
+    keyed = rows.join(marks, "event_id", "left").withColumn("_key", F.struct(F.coalesce("mark", F.lit(9)).alias("p"), "morton", "event_id"))
+    return associations.numbered(keyed, "_key", "place").select("event_id", "morton", F.col("place").cast("bigint").alias("place"))
 
 
 @query("SELECT event_id, value FROM events WHERE event_id BETWEEN 200 AND 420 AND value BETWEEN 3 AND 50")
@@ -200,12 +196,10 @@ def morton_verify(t):
     return index.verify(numbered, EV, "row_index")
 
 
-@query("SELECT event_id, corner_x, corner_y FROM (SELECT event_id, qx::BIGINT AS corner_x, qy::BIGINT AS corner_y FROM " + QUANTISED + ") WHERE event_id = 500")
+@query("SELECT event_id, corner_x, corner_y FROM (SELECT event_id, qx::BIGINT AS corner_x, qy::BIGINT AS corner_y FROM " + QUANTISED + ")")
 def query_corner(t):
-    b = index.extent(t.events, EV)
-    r = t.events.where("event_id = 500").first()
-    x, y = morton.corner(r["event_id"], r["value"], b)
-    return t.spark.createDataFrame([(r["event_id"], x, y)], "event_id bigint, corner_x bigint, corner_y bigint")
+    x, y = morton.corner_of(F.col("event_id").cast("double"), F.col("value"), index.extent(t.events, EV))
+    return t.events.select("event_id", x.alias("corner_x"), y.alias("corner_y"))
 
 
 @query("SELECT 5.0::DOUBLE AS min_x, 2.0::DOUBLE AS min_y, 8.0::DOUBLE AS max_x, 6.0::DOUBLE AS max_y")
@@ -215,14 +209,11 @@ def tile_intersect(t):
 
 
 def _layout(t, name):
-    from pyspark.sql import Window
-
-    rows = morton_events(t)
-    keys = index.sort_keys(t.events, EV, name)
-    return rows.where("event_id < 200").select("event_id", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint").alias("place"), F.lit(name).alias("layout"))
+    rows = morton_events(t).withColumn("_key", F.struct(*index.sort_keys(t.events, EV, name)))
+    return associations.numbered(rows, "_key", "place").select("event_id", F.col("place").cast("bigint").alias("place"), F.lit(name).alias("layout"))
 
 
-@query(" UNION ALL ".join(f"SELECT event_id, (row_number() OVER (ORDER BY {k}event_id) - 1)::BIGINT AS place, '{n}' AS layout FROM {MORTON} WHERE event_id < 200" for n, k in (("canonical", ""), ("morton", "morton, "), ("morton_then_feature", "morton, event_type, "), ("feature_then_morton", "event_type, morton, "))))
+@query(" UNION ALL ".join(f"SELECT event_id, (row_number() OVER (ORDER BY {k}event_id) - 1)::BIGINT AS place, '{n}' AS layout FROM {MORTON}" for n, k in (("canonical", ""), ("morton", "morton, "), ("morton_then_feature", "morton, event_type, "), ("feature_then_morton", "event_type, morton, "))))
 def permutation_orders(t):
     out = None
     for n in index.LAYOUTS:
@@ -324,3 +315,39 @@ def finite_extent(t):
 @query("SELECT min(event_id)::DOUBLE AS min_x, min(value) AS min_y, max(event_id)::DOUBLE AS max_x, max(value) AS max_y FROM events")
 def columnar_bounds(t):
     return shapes.point_bounds(t.events, "event_id", "value")
+
+
+@query("SELECT event_id, value, event_type FROM events WHERE event_id BETWEEN 200 AND 420 AND value BETWEEN 3 AND 50 AND event_type IN ('click', 'view')")
+def view_by_row_groups(t):
+    """A view of a table written in Morton order: the codes' spans choose the row groups that are read."""
+    from lattica.operators import points
+    from lattica.plans.streams import folder
+    from lattica.sources import write
+
+    place = folder(t)
+    write.write_points(t.events, EV, place, row_group_bytes=1 << 16)
+    sorted_ = PointColumns("event_id", "value", "event_id", name="event_type", morton="morton")
+    rows = points.in_view(t.spark.read.parquet(place), sorted_, index.extent(t.events, EV), Bounds(200, 3, 420, 50))
+    return points.filter_names(rows, "event_type", ["click", "view"]).select("event_id", "value", "event_type")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS layout, count(*)::BIGINT AS n, (count(*) FILTER (event_type IN ('click', 'view')))::BIGINT AS coded FROM events WHERE event_id BETWEEN 100 AND 700 AND value BETWEEN 5 AND 60" for n in index.LAYOUTS))
+def points_index_layouts(t):
+    """The benchmark's count in a box over the four physical layouts, each read back from its files."""
+    from lattica.operators import points
+    from lattica.plans.streams import folder
+    from lattica.sources import write
+
+    place, every, out = folder(t), index.extent(t.events, EV), None
+    write.write_layouts(t.events, EV, place)
+    for name in index.LAYOUTS:
+        c = PointColumns("event_id", "value", "event_id", name="event_type", morton="morton" if name.startswith("morton") else None)
+        rows = points.in_view(t.spark.read.parquet(f"{place}/{name}"), c, every, Bounds(100, 5, 700, 60))
+        one = rows.agg(F.count("*").alias("n"), F.count_if(F.col("event_type").isin("click", "view")).alias("coded")).withColumn("layout", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT c.feature_id, coalesce(m.row_index, -1)::BIGINT AS row_index FROM " + CIRCLES + " c LEFT JOIN (SELECT o_custkey::VARCHAR AS id, max(row_index) AS row_index FROM " + RANKED + " GROUP BY 1) m ON c.feature_id::VARCHAR = m.id")
+def shape_tooltip_rows(t):
+    return associations.shape_tooltips(circles(t), "feature_id", annotation(t), "o_custkey", "row_index", False).select("feature_id", F.col("row_index").cast("bigint").alias("row_index"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.functions import colours, numbers, text
+from lattica.functions import colours, text
 from lattica.operators import associations, catalog, raster, render
 from lattica.plans.registry import query
 
@@ -52,11 +52,11 @@ def colour_missing(t):
     return out.select("c_custkey", F.get("colour", 0).cast("bigint").alias("r"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'continuous' ELSE 'categorical' END AS mode FROM customer WHERE c_custkey BETWEEN 1 AND 4""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'continuous' ELSE 'categorical' END AS mode FROM customer""")
 def colour_mode(t):
     modes = {1: colours.mode("string"), 2: colours.mode("numeric"), 3: colours.mode(None, None, False), 4: colours.mode(None, None, True)}
     table = F.create_map(*[x for k, v in modes.items() for x in (F.lit(k), F.lit(v))])
-    return t.customer.where("c_custkey between 1 and 4").select("c_custkey", table[F.col("c_custkey").cast("int")].alias("mode"))
+    return t.customer.select("c_custkey", table[(F.pmod(F.col("c_custkey") - 1, F.lit(4)) + 1).cast("int")].alias("mode"))
 
 
 @query("""SELECT value, (row_number() OVER (ORDER BY try_cast(value AS DOUBLE) IS NULL, try_cast(value AS DOUBLE), value) - 1)::BIGINT AS index FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_brand END AS value FROM part)""")
@@ -67,7 +67,7 @@ def category_order(t):
 
 @query(f"SELECT name, code::BIGINT AS code FROM {SORTED}")
 def catalog_order(t):
-    return catalog.sorted_codes(t.events, "event_type").select("name", F.col("code").cast("bigint").alias("code"))
+    return catalog.ordered(catalog.sorted_codes(t.events, "event_type")).select("name", F.col("code").cast("bigint").alias("code"))
 
 
 @query("""WITH h AS (SELECT c - 1 AS code, 2 * pi() * (((c - 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE) AS hue FROM range(0, 41) r(c)), ab AS (SELECT code, 0.32 * cos(hue) AS a, 0.32 * sin(hue) AS b FROM h),
@@ -118,7 +118,7 @@ def hex_colours(t):
 @query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 255 END::BIGINT AS v FROM events")
 def colour_at(t):
     at = (F.col("event_id") % 10).cast("int")
-    return t.events.select("event_id", F.get(F.array(F.lit(255)), at).cast("bigint").alias("v"))
+    return t.events.select("event_id", colours.colour_at(F.array(F.lit(255), F.lit(7)), at, 1).cast("bigint").alias("v"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 5 = 0 THEN floor((CASE WHEN p_partkey % 2 = 0 THEN 200 ELSE 180 END) * 0.25 + 0.5) WHEN p_partkey % 2 = 0 THEN 200 ELSE 180 END::BIGINT AS a FROM part""")
@@ -132,7 +132,7 @@ def feature_state_overlay(t):
 @query("SELECT CASE WHEN v > 0 AND isfinite(v) THEN floor(v + 0.5) END::BIGINT AS id, k FROM (VALUES (1, 4.4::DOUBLE), (2, -1.0), (3, 'inf'::DOUBLE), (4, 0.0)) t(k, v)")
 def highlight_ids(t):
     rows = t.spark.createDataFrame([(1, 4.4), (2, -1.0), (3, float("inf")), (4, 0.0)], "k int, v double")
-    return rows.select("k", F.when((F.col("v") > 0) & numbers.finite(F.col("v")), numbers.half_up(F.col("v"))).cast("bigint").alias("id"))
+    return rows.select("k", colours.highlight_id(F.col("v")).alias("id"))
 
 
 # states and orders
@@ -200,7 +200,9 @@ def path_parse(t):
 
 @query("SELECT url, len(string_split(url, '/'))::BIGINT AS depth FROM pages")
 def path_depth_order(t):
-    return t.pages.select("url", text.depth(F.col("url")).cast("bigint").alias("depth"))
+    from lattica.sources import zarr
+
+    return zarr.depth_sorted(t.pages.select("url"), "url").select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query("SELECT * FROM (VALUES ('tables/cells/obs/x'), ('table/cells/X'), ('points/a'), ('images/b/0')) v(path)")
@@ -242,19 +244,19 @@ def url_parameters(t):
 
 @query("SELECT c_custkey, sha256(c_name) AS hash FROM customer")
 def content_hash(t):
-    return t.customer.select("c_custkey", F.sha2("c_name", 256).alias("hash"))
+    return t.customer.select("c_custkey", text.content_hash(F.col("c_name")).alias("hash"))
 
 
 @query(f"SELECT name || '=' || code AS entry FROM {SORTED}")
 def code_maps(t):
-    m = catalog.sorted_codes(t.events, "event_type").agg(F.map_from_entries(F.collect_list(F.struct("name", "code"))).alias("m"))
-    return m.select(F.explode("m").alias("name", "code")).select(F.concat_ws("=", "name", F.col("code").cast("string")).alias("entry"))
+    m = catalog.code_map(catalog.sorted_codes(t.events, "event_type"))
+    return m.select(F.explode("codes").alias("name", "code")).select(F.concat_ws("=", "name", F.col("code").cast("string")).alias("entry"))
 
 
 @query("SELECT string_agg(event_type, '|' ORDER BY event_type) || ':200' AS signature FROM (SELECT DISTINCT event_type FROM events)")
 def signatures(t):
     c = t.events.agg(F.array_sort(F.collect_set("event_type")).alias("c"))
-    return c.select(F.concat_ws(":", F.array_join("c", "|"), F.lit("200")).alias("signature"))
+    return c.select(colours.signature(F.array_join("c", "|"), F.lit("200")).alias("signature"))
 
 
 # rasters
@@ -307,8 +309,8 @@ def axis_clamp(t):
 
 @query("SELECT vec_id, CASE WHEN label > 0 AND label <> 3 THEN label END::BIGINT AS label FROM embeddings")
 def label_pick(t):
-    keep = (F.col("label") > 0) & (F.col("label") != 3)
-    return t.embeddings.select("vec_id", F.when(keep, F.col("label")).cast("bigint").alias("label"))
+    alphas = F.array(*[F.lit(0 if i == 3 else 255) for i in range(4)])
+    return t.embeddings.select("vec_id", colours.picked_label(F.col("label"), alphas).alias("label"))
 
 
 @query("SELECT p_partkey, y0::INT AS y0, x0::INT AS x0, least(16, 40 - y0)::INT AS h, least(16, p_size - x0)::INT AS w FROM part, range(0, 40, 16) a(y0), range(0, 64, 16) b(x0) WHERE x0 <= greatest(p_size - 1, 0)")
@@ -344,7 +346,7 @@ def si_units(t):
 @query("SELECT label, 'img:' || (label % 2) || ':' || label || ':0' AS key FROM (SELECT DISTINCT label FROM embeddings)")
 def stats_identity(t):
     rows = t.embeddings.select("label").distinct()
-    return rows.select("label", F.concat_ws(":", F.lit("img"), (F.col("label") % 2).cast("string"), F.col("label").cast("string"), F.lit("0")).alias("key"))
+    return rows.select("label", raster.stats_key(F.lit("img"), F.col("label") % 2, F.col("label"), F.lit(0)).alias("key"))
 
 
 @query("SELECT * FROM (VALUES (1, 2::BIGINT), (2, 0::BIGINT), (3, NULL)) v(id, channel)")
@@ -355,7 +357,7 @@ def default_channel(t):
 
 @query("SELECT p_partkey, least(greatest(power(2.0::DOUBLE, (p_size % 9) - 4), 0.25), 4.0)::DOUBLE AS size FROM part")
 def size_scale(t):
-    return t.part.select("p_partkey", numbers.clamp(F.pow(F.lit(2.0), (F.col("p_size") % 9) - 4), 0.25, 4.0).alias("size"))
+    return t.part.select("p_partkey", render.zoom_size(F.col("p_size") % 9, 4, 0.25, 4.0).alias("size"))
 
 
 @query("SELECT event_id, floor((event_id - 10) / 2.0)::BIGINT AS px, floor((value + 5) / 3.0)::BIGINT AS py FROM events WHERE abs((value + 5) / 3.0 - round((value + 5) / 3.0)) > 1e-9")
@@ -370,18 +372,20 @@ def pixel_pick(t):
 
 @query("SELECT p_partkey, (p_size * 0.5)::DOUBLE AS width, (p_size * 0.5 / 0.25)::DOUBLE AS ratio FROM part")
 def physical_scale(t):
-    return t.part.select("p_partkey", (F.col("p_size") * F.lit(0.5)).alias("width"), (F.col("p_size") * F.lit(0.5) / F.lit(0.25)).alias("ratio"))
+    width = F.col("p_size") * F.lit(0.5)
+    return t.part.select("p_partkey", width.alias("width"), raster.physical_ratio(width, F.lit(0.25)).alias("ratio"))
 
 
-@query("SELECT l_partkey AS col, l_orderkey AS row, l_linenumber AS value, (SELECT count(*) FROM lineitem m WHERE m.l_partkey < l.l_partkey AND m.l_linenumber <> 0 AND m.l_orderkey <= 50)::BIGINT AS indptr FROM lineitem l WHERE l_linenumber <> 0 AND l_orderkey <= 50")
+@query("""SELECT l_partkey AS col, l_orderkey AS row, l_linenumber AS value, indptr FROM lineitem JOIN (SELECT l_partkey, (sum(count(*)) OVER (ORDER BY l_partkey) - count(*))::BIGINT AS indptr FROM lineitem WHERE l_linenumber <> 0 GROUP BY l_partkey) USING (l_partkey) WHERE l_linenumber <> 0""")
 def csc_order(t):
-    entries, pointer = raster.csc(t.lineitem.where("l_orderkey <= 50").select(F.col("l_partkey").alias("col"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("value")), "row", "col", "value")
+    entries, pointer = raster.csc(t.lineitem.select(F.col("l_partkey").alias("col"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("value")), "row", "col", "value")
     return entries.join(pointer, "col").select("col", "row", "value", F.col("indptr").cast("bigint").alias("indptr"))
 
 
 @query(f"SELECT label, 0::BIGINT AS t, label::BIGINT AS c, 0::BIGINT AS z, y, x::INT AS x FROM {PIXELS}")
 def axis_reorder(t):
-    return pixels(t).select("label", F.lit(0).cast("bigint").alias("t"), F.col("label").cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("z"), "y", "x")
+    rows = raster.to_tczyx(pixels(t).withColumn("c", F.col("label")), ["c", "y", "x"])
+    return rows.select(F.col("c").cast("int").alias("label"), "t", "c", "z", "y", F.col("x").cast("int").alias("x"))
 
 
 @query("SELECT * FROM (VALUES ('t', 0::BIGINT), ('c', 2::BIGINT)) v(axis, pos)")
@@ -415,16 +419,15 @@ def coordinate_path(t):
 @query("SELECT 'ome' AS source, 's0' AS path UNION ALL SELECT 'plain', '0'")
 def ome_normalise(t):
     rows = t.spark.createDataFrame([("ome", '{"ome":{"multiscales":[{"datasets":[{"path":"s0"}]}]}}'), ("plain", '{"multiscales":[{"datasets":[{"path":"0"}]}]}')], "source string, attrs string")
-    at = lambda root: F.get_json_object("attrs", f"$.{root}multiscales[0].datasets[0].path")
-    return rows.select("source", F.coalesce(at("ome."), at("")).alias("path"))
+    from lattica.sources import zarr
+
+    return rows.select("source", zarr.ome_path(F.col("attrs")).alias("path"))
 
 
 @query("SELECT * FROM (VALUES (1, 'a'), (1, 'c')) v(version, layer)")
 def props_migration(t):
     rows = t.spark.createDataFrame([('{"layers":[{"id":"a","kind":"points"},{"id":"b","kind":"unknown"},{"id":"c","kind":"shapes"}]}',)], "raw string")
-    layers = F.from_json("raw", "layers array<struct<id:string,kind:string>>")["layers"]
-    known = F.filter(layers, lambda x: x["kind"].isin("points", "shapes", "images", "labels"))
-    return rows.select(F.explode(known).alias("l")).select(F.lit(1).alias("version"), F.col("l.id").alias("layer"))
+    return rows.select(F.explode(render.migrated_layers(F.col("raw"))).alias("l")).select(F.lit(1).alias("version"), F.col("l.id").alias("layer"))
 
 
 @query("SELECT * FROM (VALUES ('c_acctbal', 'numeric'), ('c_custkey', 'numeric'), ('c_mktsegment', 'string'), ('c_name', 'string'), ('c_nationkey', 'numeric')) v(name, kind)")
@@ -453,14 +456,46 @@ def string_columns_last(t):
 @query("SELECT n_regionkey AS system, n_name AS element FROM nation WHERE n_regionkey = 2")
 def elements_in_system(t):
     rows = t.nation.groupBy("n_name").agg(F.collect_set("n_regionkey").alias("systems"))
-    return rows.select("n_name", F.explode("systems").alias("system")).where("system = 2").select("system", F.col("n_name").alias("element"))
+    return associations.in_system(rows, "systems", 2).select(F.lit(2).alias("system"), F.col("n_name").alias("element"))
 
 
 @query("SELECT event_type, min(event_id)::BIGINT AS first FROM events GROUP BY event_type")
 def ordered_distinct_systems(t):
-    return t.events.groupBy("event_type").agg(F.min("event_id").alias("first"))
+    return associations.systems_of(t.events, "event_type", "event_id")
 
 
 @query("SELECT (count(*) + 0)::BIGINT AS n, count(DISTINCT label)::BIGINT AS channels FROM embeddings")
 def channel_count(t):
-    return t.embeddings.agg(F.count("*").alias("n"), F.count_distinct("label").alias("channels"))
+    return raster.channels_of(t.embeddings, "label")
+
+
+@query("SELECT n_regionkey AS id, min(n_nationkey)::BIGINT AS ord FROM nation GROUP BY n_regionkey")
+def stack_entry_ids(t):
+    stack = t.nation.select(F.col("n_regionkey").alias("id"), F.col("n_nationkey").cast("bigint").alias("ord"))
+    return render.entry_ids(stack)
+
+
+@query("SELECT n_nationkey AS id, n_nationkey::BIGINT AS ord, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::DOUBLE ELSE 0.5 END AS opacity FROM nation WHERE n_regionkey = 1")
+def layer_inputs(t):
+    value = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("thick")
+    stack = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("bigint").alias("ord"), F.col("n_regionkey").alias("kind"), F.create_map(F.lit("opacity"), value).alias("props"))
+    return render.layer_inputs(stack, 1, {"opacity": 0.5})
+
+
+@query("SELECT i::BIGINT AS code, CASE WHEN i = 7 THEN 1 END::BIGINT AS own FROM range(0, 4096) r(i)")
+def palette_overrides(t):
+    own = t.spark.createDataFrame([(7, [1, 2, 3])], "code bigint, colour array<int>")
+    table = colours.palette_table(t.spark, 40, own)
+    return table.select("code", F.when(F.get("colour", 2) == 3, F.when(F.get("colour", 1) == 2, F.get("colour", 0))).cast("bigint").alias("own"))
+
+
+@query("SELECT 'x' AS axis, 0.0::DOUBLE AS lo, 50.0::DOUBLE AS hi UNION ALL SELECT 'y', 0.0, 20.0 UNION ALL SELECT 'z', 0.0, 1.0")
+def bounding_cube(t):
+    cube = raster.bounding_cube({"x": 100, "y": 40}, {"x": 0.5, "y": 0.5})
+    return t.spark.createDataFrame([(a, *r) for a, r in zip("xyz", cube, strict=True)], "axis string, lo double, hi double")
+
+
+@query("SELECT count(DISTINCT (c_nationkey, c_mktsegment))::BIGINT AS n FROM customer")
+def input_descriptions(t):
+    rows = t.customer.select(text.description(nation=F.col("c_nationkey"), segment=F.col("c_mktsegment")).alias("key"))
+    return rows.agg(F.count_distinct("key").alias("n"))
