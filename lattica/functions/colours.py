@@ -96,6 +96,15 @@ def palette(index: Column, colours: Sequence[Sequence[int]] | None) -> Column:
     return F.get(F.array(*[F.array(*map(F.lit, c)) for c in colours]), F.pmod(index, F.lit(len(colours))).cast("int"))
 
 
+def palette_by_value(value: Column, given: dict[str, Sequence[int]], fallback: Sequence[int] = MISSING_FILL) -> Column:
+    """The colour that a value is given by name, else the fallback."""
+    rest = F.array(*map(F.lit, fallback))
+    if not given:
+        return rest
+    table = F.create_map(*[x for k, c in given.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
+    return F.coalesce(table[value], rest)
+
+
 def categories(df: DataFrame, value: str) -> DataFrame:
     """value, index: distinct values, numbers by size before text by code point."""
     n = number(F.col(value), True)

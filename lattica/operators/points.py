@@ -8,13 +8,15 @@ are dropped and a non-finite z is 0; order is that of the row id.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.numbers import finite
 from lattica.model import Bounds, PointColumns, resolve_cap
-from lattica.operators import index
+from lattica.operators import catalog, index
+from lattica.session import checkpointed
 
 
 def code_predicate(code: Column | None, codes: Sequence[int] | None) -> Column:
@@ -126,16 +128,28 @@ def matching(df: DataFrame, c: PointColumns, keep: Column, cap: float | None) ->
     return rows.withColumn("truncated", F.lit((found.count() if total is None else total) >= n))
 
 
-def geometry(df: DataFrame, c: PointColumns) -> DataFrame:
-    """row_id and the axes as 32-bit floats; z where there is one."""
+def _code(c: PointColumns, codes: bool) -> list[Column]:
+    return [F.coalesce(F.col(c.code).cast("int"), F.lit(catalog.MISSING)).alias("code")] if codes and c.code else []
+
+
+def geometry(df: DataFrame, c: PointColumns, codes: bool = False) -> DataFrame:
+    """row_id and the axes as 32-bit floats; z where there is one, and the code if it is wanted and there is one."""
     axes = [F.col(a).cast("float").alias(n) for n, a in (("x", c.x), ("y", c.y), ("z", c.z)) if a]
-    return df.select(F.col(c.row_id).alias("row_id"), *axes)
+    return df.select(F.col(c.row_id).alias("row_id"), *axes, *_code(c, codes))
 
 
-def positions(df: DataFrame, c: PointColumns) -> DataFrame:
-    """row_id and [x, y, z], z being 0 in two dimensions."""
+def positions(df: DataFrame, c: PointColumns, codes: bool = False) -> DataFrame:
+    """row_id and [x, y, z], z being 0 in two dimensions; the code if it is wanted and there is one."""
     z = F.coalesce(F.col(c.z), F.lit(0.0)) if c.z else F.lit(0.0)
-    return df.select(F.col(c.row_id).alias("row_id"), F.array(F.col(c.x).cast("double"), F.col(c.y).cast("double"), z.cast("double")).alias("position"))
+    return df.select(F.col(c.row_id).alias("row_id"), F.array(F.col(c.x).cast("double"), F.col(c.y).cast("double"), z.cast("double")).alias("position"), *_code(c, codes))
+
+
+def decoded(df: DataFrame, c: PointColumns) -> tuple[DataFrame, DataFrame]:
+    """(row_id, axes and code of each row; the catalogue of names): by the code column, else in order of first sight."""
+    if c.code:
+        return geometry(df, c, codes=True), catalog.by_code(df, c.code, c.name, c.row_id)
+    found = checkpointed(catalog.first_seen(df, c.name, c.row_id))
+    return geometry(catalog.row_codes(df, found, c.name), replace(c, code="code"), codes=True), found
 
 
 def tile_counts(df: DataFrame, c: PointColumns, origin: tuple[float, float], size: float) -> DataFrame:
@@ -143,6 +157,16 @@ def tile_counts(df: DataFrame, c: PointColumns, origin: tuple[float, float], siz
     return df.where(finite(F.col(c.x)) & finite(F.col(c.y))).groupBy(tile(c.x, origin[0]).alias("tile_x"), tile(c.y, origin[1]).alias("tile_y")).agg(F.count("*").alias("n"))
 
 
+def tiled(df: DataFrame, c: PointColumns, view: Bounds, size: float, codes: Sequence[int] | None = None) -> DataFrame:
+    """The points of each tile of a view, with tile_x and tile_y: tiles begin at 0, and those that the view meets are whole."""
+    low_x, low_y = (int(v // size) for v in (view.min_x, view.min_y))
+    high_x, high_y = (int(v // size) for v in (view.max_x, view.max_y))
+    box = Bounds(low_x * size, low_y * size, (high_x + 1) * size, (high_y + 1) * size)
+    tile = lambda a: F.floor(F.col(a) / F.lit(size)).cast("bigint")
+    rows = filter_codes(in_bounds(df, c, box), c.code, codes).withColumn("tile_x", tile(c.x)).withColumn("tile_y", tile(c.y))
+    return rows.where(F.col("tile_x").between(low_x, high_x) & F.col("tile_y").between(low_y, high_y))
+
+
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int = 0) -> DataFrame:
     """n rows, the same ones whenever the seed is: those of the least hash of seed and row id.
 

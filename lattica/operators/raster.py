@@ -38,6 +38,26 @@ def select(df: DataFrame, axes: Sequence[str], selection: dict[str, int]) -> Dat
     return df.where(keep)
 
 
+def indexer(axes: Sequence[str], selection: dict[str, int]) -> list[int | slice]:
+    """What to take of each axis: the selection's index, or everything."""
+    check_selection(axes, selection)
+    return [selection.get(a, slice(None)) for a in axes]
+
+
+def checked_chunks(axes: Sequence[str], chunks: Sequence[int]) -> tuple[int, ...]:
+    """A chunk shape: as long as the axes, positive, and one along every axis that isn't in space."""
+    if len(chunks) != len(axes) or min(chunks) < 1:
+        raise ValueError(f"chunks {list(chunks)} don't fit the axes {list(axes)}")
+    if any(c != 1 for a, c in zip(axes, chunks, strict=True) if a not in ("x", "y", "z")):
+        raise ValueError("chunks hold one index of an axis that isn't in space")
+    return tuple(chunks)
+
+
+def auto_chunks(shape: Sequence[int], axes: Sequence[str], side: int = 512) -> tuple[int, ...]:
+    """A tile of a plane: up to ``side`` along x and y, one along the others."""
+    return tuple(min(n, side) if a in ("x", "y") else 1 for a, n in zip(axes, shape, strict=True))
+
+
 def tile_box(tx: int, ty: int, size: int, width: int, height: int) -> dict[str, tuple[int, int]]:
     """Half-open ranges of a tile; edge tiles are clipped, a tile outside is an error."""
     if tx < 0 or ty < 0 or tx * size >= width or ty * size >= height:

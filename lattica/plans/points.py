@@ -309,3 +309,18 @@ def catalog_upgrade(t):
 def key_validation(t):
     key = F.concat("event_type", F.when(F.col("event_id") % 4 == 0, "/x").otherwise(""))
     return t.events.select("event_id", text.points_key(key).alias("valid"))
+
+
+@query(f"SELECT event_id AS row_id, event_id::FLOAT AS x, value::FLOAT AS y, code::INT AS code FROM {CODED}")
+def geometry_with_codes(t):
+    return points.decoded(coded(t), PointColumns("event_id", "value", "event_id", name="event_type", code="code"))[0]
+
+
+@query("SELECT event_id AS row_id, (dense_rank() OVER (ORDER BY first) - 1)::INT AS code FROM (SELECT event_id, min(event_id) OVER (PARTITION BY event_type) AS first FROM events)")
+def geometry_with_first_seen_codes(t):
+    return points.decoded(t.events, EV)[0].select("row_id", "code")
+
+
+@query("SELECT floor(event_id / 64.0)::BIGINT AS tile_x, floor(value / 64.0)::BIGINT AS tile_y, event_id FROM events WHERE event_id / 64.0 >= 1 AND event_id / 64.0 < 11 AND value / 64.0 >= 0 AND value / 64.0 < 1")
+def tiled_view(t):
+    return points.tiled(t.events, EV, Bounds(100, 5, 700, 60), 64.0).select("tile_x", "tile_y", "event_id")

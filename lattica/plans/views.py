@@ -499,3 +499,9 @@ def bounding_cube(t):
 def input_descriptions(t):
     rows = t.customer.select(text.description(nation=F.col("c_nationkey"), segment=F.col("c_mktsegment")).alias("key"))
     return rows.agg(F.count_distinct("key").alias("n"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 4 ELSE 128 END::BIGINT AS r FROM customer")
+def palette_by_value(t):
+    given = {"BUILDING": [1, 2, 3, 255], "MACHINERY": [4, 5, 6, 255]}
+    return t.customer.select("c_custkey", F.get(colours.palette_by_value(F.col("c_mktsegment"), given), 0).cast("bigint").alias("r"))

@@ -149,6 +149,27 @@ class Store:
             out = out.join(zarr.column(self.spark, self.root, self.nodes, f"{base}/{c}").withColumnRenamed("value", c), "row_index", "left")
         return out
 
+    def var(self, key: str, alias_column: str | None = None) -> DataFrame:
+        """row_index, id of a table's variables, and ``label`` where a column of aliases is given."""
+        base = f"tables/{key}/var"
+        out = zarr.index(self.spark, self.root, self.nodes, base)
+        return out if alias_column is None else zarr.alias(out, zarr.column(self.spark, self.root, self.nodes, f"{base}/{alias_column}"))
+
+    def obsm(self, key: str, name: str, dims: Sequence[int]) -> DataFrame:
+        """row_index and the chosen columns of a matrix, from the chunks that hold them."""
+        node = self.nodes[f"tables/{key}/obsm/{name}"]
+        rows = zarr.numeric(self.spark, self.root, self.nodes, node["path"], {1: (min(dims), max(dims) + 1)})
+        return rows.groupBy(F.col("i0").alias("row_index")).agg(*[F.max(F.when(F.col("i1") == d, F.col("value"))).alias(f"dim_{d}") for d in dims])
+
+    def matrix(self, key: str, name: str = "X") -> DataFrame:
+        """row, col, value of a table's dense matrix."""
+        rows = zarr.numeric(self.spark, self.root, self.nodes, f"tables/{key}/{name}")
+        return rows.select(F.col("i0").alias("row"), F.col("i1").alias("col"), "value")
+
+    def level_sizes(self, kind: str, key: str) -> list[dict[str, int]]:
+        _, levels = zarr.labels_and_levels(self.elements[kind][key].attrs)
+        return [self.sizes(kind, key, i) for i in range(len(levels))]
+
     def tables_for(self, kind: str, key: str) -> list[str]:
         names = {key, f"{kind}/{key}"}
         return [t for t in self.elements.get("tables", {}) if names & set(self.table_keys(t).regions)]

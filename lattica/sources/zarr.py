@@ -393,6 +393,21 @@ def _decoded(spark, root, found, codes: DataFrame, categories: str) -> DataFrame
     return codes.join(cats, F.col("value") == F.col("code"), "left").select("row_index", F.col("category").alias("value"))
 
 
+def numeric(spark: SparkSession, root: str, found: dict[str, dict], path: str, only: Mapping[int, tuple[int, int]] | None = None) -> DataFrame:
+    """The elements of a numeric array; another array, or none, is an error."""
+    node = found.get(path)
+    if node is None or node["kind"] != "array":
+        raise KeyError(f"there is no array {path!r}")
+    if node["dtype"] not in NUMBERS:
+        raise ValueError(f"{path!r} is not numeric: {node['dtype']}")
+    return cells(spark, root, node, only)
+
+
+def flat(spark: SparkSession, root: str, found: dict[str, dict], path: str) -> DataFrame:
+    """row_index, value of an array, or of a nullable group's array with masked values as null."""
+    return column(spark, root, found, path)
+
+
 def index(spark: SparkSession, root: str, found: dict[str, dict], path: str, key: str | None = None) -> DataFrame:
     """row_index, id of a data frame: the given column or its index, as text, null being ''."""
     name = key or found[path]["attrs"].get("_index", "_index")

@@ -27,6 +27,17 @@ class Resolution:
     def blocking(self) -> bool:
         return self.state == "loading" and self.value is None
 
+    def unwrap(self) -> Any:
+        """The value; of a failed resolution its error is raised, of one without a value a LookupError."""
+        if self.error is not None:
+            raise self.error
+        if self.value is None:
+            raise LookupError(f"there is no value: {self.state}")
+        return self.value
+
+    def unwrap_or(self, other: Any) -> Any:
+        return other if self.value is None or self.error is not None else self.value
+
     def map(self, f: Callable[[Any], Any]) -> Resolution:
         return self if self.value is None else Resolution(self.state, f(self.value), self.error)
 
