@@ -18,7 +18,8 @@ lost by a cut, and the sample steers only where rows go.
 That setting is op4's. The pipeline keeps one of what is alike by five-word shingles, Jaccard 0.8
 or more, which for 64 bits lies up to 17 bits apart, beyond any grid. ``alike`` therefore finds
 candidates by bands of MinHash values (a pair at 0.8 is missed by all of them once in 40,000) and
-checks each on the exact sets of shingles.
+checks each on the exact sets of shingles. In long runs of a band, what one pass of neighbours left in
+different components is compared whole, under a bound that loses no pair.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ SHINGLE = 5
 LIKE = 0.8
 BANDS = 20
 ROWS = 4
+#: Sets of a band that are compared whole, and bits of the bound beyond them.
 ALL_PAIRS = 24
+BITS = 1024
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -265,7 +268,11 @@ def _same(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, tie (of the text), same (digest of the set of shingles), n (its size), bands (keys of the MinHash bands)."""
+    """doc_id, tie (of the text), same (digest of the set of shingles), n (its size), bands (keys of the MinHash bands), bits.
+
+    ``bits`` has the bits that the set's hashes fall on, of BITS: what one set has there and another
+    hasn't, is in no intersection.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(5)
@@ -283,11 +290,14 @@ def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                     for k in range(b * ROWS, (b + 1) * ROWS):
                         key = mix64(key ^ np.minimum.reduceat((h ^ salt[k]) * odd[k], first))
                     keys[:, b] = key
+            bits = np.zeros((batch.num_rows, BITS), bool)
+            bits[row, (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+            bits = np.packbits(bits, axis=1)
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), pa.array(_same(row, h, batch.num_rows)), pa.array(n.astype(np.int32)), bands], names=["doc_id", "tie", "same", "n", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), pa.array(_same(row, h, batch.num_rows)), pa.array(n.astype(np.int32)), bands, pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "tie", "same", "n", "bands", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie bigint, same bigint, n int, bands array<bigint>")
+    return docs.select("doc_id", text_key(F.col("text")).alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie bigint, same bigint, n int, bands array<bigint>, bits binary")
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -302,11 +312,11 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "same bigint, set array<bigint>")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> pairs of a run whose sizes allow the likeness.
 
-    Runs of up to ALL_PAIRS give all pairs. In a longer one each row meets as many that follow it
-    in the order, which is another one in each band.
+    Runs of up to ``most`` rows give all pairs. In a longer one each row meets as many that follow it
+    in the order, which is another one in each band; ``_apart`` sees to the rest.
     """
     names = ("key", "same", "n")
     held = [np.zeros(0, np.int64)] * 3
@@ -314,43 +324,113 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, names, strict=True)]
         fresh = len(held[0])
         key, same, n = cols
-        for d in range(1, min(ALL_PAIRS, len(key))):
+        for d in range(1, min(most, len(key))):
             at = np.flatnonzero((key[d:] == key[:-d]) & (np.minimum(n[d:], n[:-d]) >= LIKE * np.maximum(n[d:], n[:-d])))
             at = at[at + d >= fresh]
             a, b = same[at], same[at + d]
             if len(at):
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-        held = [x[max(0, len(key) - ALL_PAIRS + 1) :] for x in cols]
+        held = [x[max(0, len(key) - most + 1) :] for x in cols]
+
 
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block (``outer`` ones, and all) -> pairs of different roots that may be alike.
+
+    A set's elements on bits that the other lacks aren't shared, so the bits bound the intersection from
+    above: no pair that is alike is left out.
+    """
 
-def alike(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        same, n, root = (rows[c].to_numpy() for c in ("same", "n", "root"))
+        outer = rows["outer"].to_numpy()
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(same), -1)
+        inner = np.flatnonzero(~outer)
+        for o in np.flatnonzero(outer):
+            with_o = inner[root[inner] != root[o]]
+            own = np.bitwise_count(bits[o] & ~bits[with_o]).sum(axis=1, dtype=np.int64)
+            other = np.bitwise_count(bits[with_o] & ~bits[o]).sum(axis=1, dtype=np.int64)
+            shared = np.minimum(n[o] - own, n[with_o] - other)
+            good = with_o[shared >= LIKE * (n[o] + n[with_o] - shared)]
+            if len(good):
+                yield pa.record_batch([pa.array(np.minimum(same[o], same[good])), pa.array(np.maximum(same[o], same[good]))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                if held and held[-1].column("block")[0].as_py() != block[a]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def _apart(members: DataFrame, roots: DataFrame, rows: int) -> DataFrame | None:
+    """Pairs in long runs that the first pass left unmet and that may be alike: those of different roots.
+
+    ``members``: key, same, n, bits of every row of a long run; ``roots``: node, root. In a run the rows
+    outside its largest root meet all rows of other roots, in blocks of ``rows`` by ``rows``. Where a run
+    has one root only, nothing is left to do.
+    """
+    m = members.join(roots, members["same"] == roots["node"], "left").select("key", "same", "n", "bits", F.coalesce("root", "same").alias("root"))
+    sizes = m.groupBy("key", "root").agg(F.count("*").alias("in_root"))
+    runs = sizes.groupBy("key").agg(F.max(F.struct("in_root", "root")).alias("largest"), F.sum("in_root").alias("all"), F.count("*").alias("roots"))
+    runs = runs.where("roots > 1").select("key", F.col("largest.root").alias("most"), F.ceil(F.col("all") / rows).alias("parts"), F.ceil((F.col("all") - F.col("largest.in_root")) / rows).alias("outer_parts"))
+    runs = written(runs, "near-runs")
+    if not runs.count():
+        return None
+    m = m.join(small(runs), "key")
+    part = lambda n: F.pmod(F.xxhash64("same"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    inner = m.select("key", "same", "n", "bits", "root", F.lit(False).alias("outer"), part("parts").alias("i"), all_of("outer_parts").alias("j"))
+    outer = m.where("root != most").select("key", "same", "n", "bits", "root", F.lit(True).alias("outer"), part("outer_parts").alias("j"), all_of("parts").alias("i"))
+    both = inner.unionByName(outer).withColumn("block", F.xxhash64("key", "i", "j")).select("block", "same", "n", "bits", "root", "outer")
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(_between, "a bigint, b bigint").distinct()
+
+
+def alike(docs: DataFrame, words: int = SHINGLE, *, most: int = ALL_PAIRS, rows_per_block: int = LARGE) -> DataFrame:
     """doc_id, tie, same, component_id, keep for every row: components of texts with Jaccard LIKE or more.
 
     Texts with one set of shingles (those without words too) are one component. ``keep`` says whether
     the row has the least id of its component (a null one is the greatest), and of those the least
-    ``tie``; copies with one id are all kept.
+    ``tie``; copies with one id are all kept. Runs of a band of up to ``most`` sets are compared whole,
+    longer ones in two passes, of which the second leaves no pair of different components unmet.
     """
     rows = written(sketches(docs, words), "near-docs")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    groups = written(rows.groupBy("same").agg(F.min(key).alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")), "near-groups")
-    cells = groups.select("same", "n", F.explode("bands").alias("key")).withColumn("turn", F.xxhash64("key", "same"))
-    # a key with many rows is dealt in parts, other parts in each band
-    hot = cells.where(F.pmod(F.xxhash64("same"), F.lit(SAMPLE)) == 0).groupBy("key").count().where(F.col("count") * SAMPLE >= LARGE)
-    hot = written(hot.select("key", F.ceil(F.col("count") * SAMPLE / (LARGE // 2)).alias("parts")), "near-hot")
-    if hot.count():
+    groups = written(rows.groupBy("same").agg(F.min(key).alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "near-groups")
+    cells = groups.select("same", "n", F.explode("bands").alias("key"))
+    long = written(cells.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > most), "near-long")
+    members = long.count() > 0
+    cells = cells.withColumn("turn", F.xxhash64("key", "same"))
+    if members:
+        members = groups.select("same", "n", "bits", F.explode("bands").alias("key")).join(small(long.select("key")), "key", "left_semi")
+        # a key with many rows is dealt in parts, other parts in each band
+        hot = long.where(F.col("rows") > LARGE).select("key", F.ceil(F.col("rows") / (LARGE // 2)).alias("parts"))
         cells = cells.join(small(hot), "key", "left").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod("turn", "parts"))))
     cells = cells.select("key", "same", "n", "turn").repartition("key").sortWithinPartitions("key", "turn")
-    pairs = written(cells.mapInArrow(_neighbours, "a bigint, b bigint").distinct(), "near-pairs")
+    links = written(_alike_of(docs, groups, cells.mapInArrow(lambda b: _neighbours(b, most), "a bigint, b bigint").distinct(), words), "near-links")
+    roots = written(components(links), "near-roots")
+    if members and (more := _apart(members, roots, rows_per_block)) is not None:
+        roots = written(components(links.unionByName(_alike_of(docs, groups, more, words))), "near-roots")
+    whole = groups.join(roots, groups["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root"), F.col("root").isNotNull().alias("linked"))
+    least = whole.where("linked").groupBy("root").agg(F.min("first").alias("least"))
+    whole = whole.join(least, "root", "left").select("same", F.coalesce("least", "first").alias("chosen"))
+    return rows.select("doc_id", "tie", "same").join(whole, "same").select("doc_id", "tie", "same", F.col("chosen.doc_id").alias("component_id"), (key == F.col("chosen")).alias("keep"))
+
+
+def _alike_of(docs: DataFrame, groups: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b: ``same`` of two groups) that are alike by their exact sets, from one text of each group."""
+    pairs = written(pairs, "near-pairs")
     nodes = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
     wanted = written(groups.join(small(nodes), "same", "left_semi").select("first.doc_id", "first.tie"), "near-wanted")
     sets = written(shingle_sets(without(docs, wanted, keep=True), words).dropDuplicates(["same"]), "near-sets")
     both = pairs.join(sets.select(F.col("same").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("same").alias("b"), F.col("set").alias("sb")), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("m"))
-    roots = written(components(shared.where(F.col("m") >= LIKE * (F.col("n") - F.col("m"))).select("a", "b")), "near-roots")
-    whole = groups.join(roots, groups["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root"), F.col("root").isNotNull().alias("linked"))
-    least = whole.where("linked").groupBy("root").agg(F.min("first").alias("least"))
-    whole = whole.join(least, "root", "left").select("same", F.coalesce("least", "first").alias("chosen"))
-    return rows.select("doc_id", "tie", "same").join(whole, "same").select("doc_id", "tie", "same", F.col("chosen.doc_id").alias("component_id"), (key == F.col("chosen")).alias("keep"))
+    return shared.where(F.col("m") >= LIKE * (F.col("n") - F.col("m"))).select("a", "b")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
