@@ -89,6 +89,14 @@ def by_hash(df: DataFrame, h: str, n: int, total: int) -> DataFrame:
     return df.where(F.col(h) <= int(share * ((1 << 60) - 1))).orderBy(*dict.fromkeys([h, *df.columns])).limit(n)
 
 
+def tie_of(text) -> object:
+    """A bigint by which rows of one id are ordered: by their text's hash, equal texts by where they lie.
+
+    So a group of equal rows can be cut anywhere by ranges of it."""
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftleft(F.shiftright(F.xxhash64(text), 24), 24).bitwiseOR(place)
+
+
 def keyed(column, *more: str) -> tuple:
     """(key of rows that are equal in id, text and ``more``; what ``hashed`` makes the hash of).
 

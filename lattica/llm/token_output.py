@@ -17,7 +17,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import tie_of, written
 from lattica.llm.textvec import chunks, mix64
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
@@ -244,17 +244,33 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             at += int(offsets[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges of id and tie, so that rows that share an id, or are equal, needn't be in one task
+    dealt = docs.select("doc_id", "text", tie_of(F.col("text")).alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return dealt.withColumn("shard", F.spark_partition_id()).mapInArrow(run, f"doc_id {kind}, shard int, start bigint, n_tokens bigint, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, *, end_id: int = 2, name: str = "tokens") -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, *, end_id: int = 2, path: str | None = None) -> DataFrame:
     """The token table of ``docs`` as it is read back: doc_id, shard, start, n_tokens, ids.
 
-    Null text is empty and gives the end id alone; texts of any length are one row; rows of one
-    id follow each other by text; an empty table gives an empty one; other columns are not read.
+    Without a ``path`` the files go with the application. Null text is empty and gives the end id
+    alone; texts of any length are one row; rows of one id follow each other by a hash of their text;
+    an empty table gives an empty one; other columns are not read.
     """
-    return written(tokenized(docs, vocabulary, end_id), name, **OPTIONS)
+    tokens = tokenized(docs, vocabulary, end_id)
+    if path is None:
+        return written(tokens, "tokens", **OPTIONS)
+    tokens.write.mode("overwrite").options(**{k: str(v) for k, v in OPTIONS.items()}).parquet(path)
+    return docs.sparkSession.read.schema(tokens.schema).parquet(path)
+
+
+def tokens_of(tokens: DataFrame, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id, ids of some documents: their row groups and pages alone are read, by the statistics of doc_id."""
+    return tokens.where(F.col("doc_id").isin(list(doc_ids))).select("doc_id", "ids")
+
+
+def metadata(tokens: DataFrame) -> DataFrame:
+    """doc_id, shard, start, n_tokens: no page of ids is read."""
+    return tokens.select("doc_id", "shard", "start", "n_tokens")
 
 
 def positions(tokens: DataFrame) -> DataFrame:
