@@ -13,6 +13,7 @@ A fingerprint is 16 bits of each sample, as hexadecimal digits.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import tie_of
 from lattica.llm.textvec import Words, chunks, mix64, text_bytes
 
 SAMPLES = 128
@@ -121,34 +123,57 @@ NO_ID = -(1 << 63)
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _whole(quantile: float) -> int:
+    """A quantile as a bigint; beyond 2^53 quantiles are near an id, which is enough for a limit."""
+    return min(max(int(quantile), NO_ID), (1 << 63) - 1)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """bucket, guest, doc_id, text: ranges of ids, each followed by the first of the next range.
+    """bucket, guest, doc_id, tie, text: ranges of ids, each followed by the first of the next range.
 
-    The rows of a bucket that aren't guests, then the guests, each by descending id, are the
+    The rows of a bucket that aren't guests, then the guests, each by descending id and tie, are the
     documents of a range and the one after it (after the last range, the first document). Range
-    limits are quantiles of the ids; one text, that of a range's first id, is in two ranges.
-    Texts are shuffled once.
+    limits are quantiles of the ids; an id with more rows than a range is ranges of its own, by tie.
+    One row, a range's first, is in two ranges. Texts are shuffled once.
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    limits = np.unique(np.array(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts), np.int64))
-    bucket_of = F.pandas_udf(lambda x: pd.Series(np.searchsorted(limits, x.to_numpy(), "right").astype(np.int32)), "int")
-    firsts = docs.select("doc_id", bucket_of("doc_id").alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()  # a row for each range
+    docs = docs.withColumn("tie", tie_of(F.col("text")))
+    quantiles = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
+    # an id that is several quantiles has more rows than a range: it stands between limits of its own
+    cuts = {_whole(q): n + 1 for q, n in Counter(quantiles).items() if n > 1}
+    around = [i + d for i in cuts for d in (0, 1) if i + d < 1 << 63]
+    limits = np.unique(np.array([*map(_whole, quantiles), *around], np.int64))
+    width = max([1, *cuts.values()])
+
+    def bucket(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        x, t = ids.to_numpy(), ties.to_numpy()
+        out = np.searchsorted(limits, x, "right").astype(np.int64) * width
+        for i, n in cuts.items():
+            mine = x == i
+            place = (t[mine].astype(np.float64) / 2.0**64 + 0.5) * n
+            out[mine] += np.clip(place.astype(np.int64), 0, n - 1)
+        return pd.Series(out.astype(np.int32))
+
+    bucket_of = F.pandas_udf(bucket, "int")
+    top = F.max(F.struct("doc_id", "tie")).alias("first")
+    firsts = docs.select("doc_id", "tie", bucket_of("doc_id", "tie").alias("bucket")).groupBy("bucket").agg(top).collect()  # a row for each range
     order = sorted(firsts, key=lambda x: -x["bucket"])
-    before = {x["first"]: order[i - 1]["bucket"] for i, x in enumerate(order)}
-    ids = np.array(sorted(before), np.int64)
-    hosts = np.array([before[i] for i in ids.tolist()], np.int32)
+    before = {(x["first"]["doc_id"], x["first"]["tie"]): order[i - 1]["bucket"] for i, x in enumerate(order)}
+    ids = np.unique(np.array([i for i, _ in before], np.int64))
 
-    def host(x: pd.Series) -> pd.Series:
-        v = x.to_numpy()
-        at = np.minimum(np.searchsorted(ids, v), max(0, len(ids) - 1))
-        return pd.Series(np.where(ids[at] == v, hosts[at], -1) if len(ids) else np.full(len(v), -1)).astype("int32")
+    def host(ids_: pd.Series, ties: pd.Series) -> pd.Series:
+        x, t = ids_.to_numpy(), ties.to_numpy()
+        out = np.full(len(x), -1, np.int32)
+        for k in np.flatnonzero(np.isin(x, ids)).tolist():
+            out[k] = before.get((int(x[k]), int(t[k])), -1)
+        return pd.Series(out)
 
-    placed = docs.select("doc_id", "text", bucket_of("doc_id").alias("bucket"), F.pandas_udf(host, "int")("doc_id").alias("host"))
+    placed = docs.select("doc_id", "tie", "text", bucket_of("doc_id", "tie").alias("bucket"), F.pandas_udf(host, "int")("doc_id", "tie").alias("host"))
     at = F.array(F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest")))
-    rows = placed.select("doc_id", "text", F.inline(F.slice(at, 1, F.when(F.col("host") >= 0, 2).otherwise(1))))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
+    rows = placed.select("doc_id", "tie", "text", F.inline(F.slice(at, 1, F.when(F.col("host") >= 0, 2).otherwise(1))))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), F.desc("tie"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -156,7 +181,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has the first half of the document (the longer half) and as many code points
     from the next document, by descending id, as are replaced. Null text is empty; rows of one id
-    follow each other by text; a single document is next to itself; a null id comes last, as the
+    follow each other by a hash of their text; a single document is next to itself; a null id comes last, as the
     least bigint (which a real id can't be); an empty table gives no rows; other columns are not read.
     """
 
