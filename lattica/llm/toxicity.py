@@ -28,6 +28,8 @@ from lattica.llm.textvec import Table, Words, chunks, text_bytes
 FOLDS = 5
 #: Examples of a block, and blocks that are read before any is left out.
 BLOCK, OPENED = 32, 8
+#: Share and number of the examples from which a term's list is a row of a matrix, and steps of similarities.
+COMMON, LEAST, GRAIN = 1 / 128, 64, 1e-7
 #: Share of the vote over all terms, and the cosine from which texts are copies.
 WHOLE = 0.25
 COPY = 0.9999
@@ -51,7 +53,11 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Postings:
-    """Examples' unit vectors, inverted, in blocks with the largest weight of each term."""
+    """Examples' unit vectors, inverted, in blocks with the largest weight of each term.
+
+    The lists of terms that many examples hold are spread out as rows of a matrix, which a product
+    with a text's weights reads whole; blocks are bounded over the other terms.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.n = len(rows)
@@ -69,35 +75,61 @@ class Postings:
         self.begin, self.block = np.r_[new, len(term)], block[new]
         self.most = np.maximum.reduceat(self.x, new) if len(new) else self.x
         self.run = np.searchsorted(term[new], np.arange(terms + 1))
+        self._spread()
+
+    def _spread(self) -> None:
+        low, high = self.begin[self.run[:-1]], self.begin[self.run[1:]]
+        common = np.flatnonzero(high - low >= max(LEAST, self.n * COMMON))
+        self.slot = np.full(len(low), -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.n), np.float32)
+        for i, t in enumerate(common.tolist()):
+            self.common[i, self.row[low[t] : high[t]]] = self.x[low[t] : high[t]]
+        self.blocks = np.arange(0, self.n, BLOCK)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("common", "slot", "blocks")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._spread()
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, similarities) of the k nearest with similarity over 0; ties by position."""
+        if not self.n or not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        slot = self.slot[terms]
+        often = slot >= 0
+        base = weights[often].astype(np.float32) @ self.common[slot[often]]
+        terms, weights = terms[~often], weights[~often]
         n = self.run[terms + 1] - self.run[terms]
         run, weight = _ranges(self.run[terms], n), np.repeat(weights, n)
         block = self.block[run]
-        bound = np.bincount(block, self.most[run] * weight, -(-self.n // BLOCK))
+        bound = np.maximum.reduceat(base, self.blocks) + np.bincount(block, self.most[run] * weight, len(self.blocks))
         chosen = np.zeros(len(bound), bool)
         chosen[np.argsort(-bound, kind="stable")[:OPENED]] = True
-        pos, sim = self._read(run, weight, chosen[block], k, leave)
+        pos, sim = self._read(run, weight, chosen[block], chosen, base, k, leave)
         rest = ~chosen & (bound > 0)
         if len(pos) >= k:
-            rest &= bound >= sim[-1] - 1e-6
+            rest &= bound >= sim[-1] - 2 * GRAIN
         if rest.any():
-            p, s = self._read(run, weight, rest[block], k, leave)
+            p, s = self._read(run, weight, rest[block], rest, base, k, leave)
             pos, sim = np.r_[pos, p], np.r_[sim, s]
             keep = np.lexsort((pos, -sim))[:k]
             pos, sim = pos[keep], sim[keep]
         return pos, sim
 
-    def _read(self, run, weight, wanted, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
+    def _read(self, run, weight, wanted, blocks, base, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of some blocks; similarities to GRAIN, so that equal examples tie."""
         run, weight = run[wanted], weight[wanted]
         n = self.begin[run + 1] - self.begin[run]
         at = _ranges(self.begin[run], n)
-        sums = np.bincount(self.row[at], self.x[at] * np.repeat(weight, n), self.n)
-        row = np.flatnonzero(sums > 0)
-        pos, sim = self.place[row], sums[row]
-        if leave >= 0:
-            pos, sim = pos[pos != leave], sim[pos != leave]
+        sums = np.bincount(self.row[at], self.x[at] * np.repeat(weight, n), self.n) + base
+        row = np.flatnonzero(np.repeat(blocks, BLOCK)[: self.n])
+        sim = np.round(sums[row] / GRAIN) * GRAIN
+        pos = self.place[row]
+        ok = (sim > 0) & (pos != leave)
+        pos, sim = pos[ok], sim[ok]
         if len(sim) > k:
             near = sim >= np.partition(sim, -k)[-k]
             pos, sim = pos[near], sim[near]

@@ -1,5 +1,6 @@
 """The block-max index with and without blocks left out, weights of the sample, labels in any size."""
 
+import pickle
 import random
 
 import numpy as np
@@ -61,3 +62,32 @@ def test_a_smaller_sample_gives_like_scores(spark):
         scores.append((r[toxic]["score"].mean(), r[~toxic]["score"].mean()))
         assert r[toxic]["predicted"].mean() > 0.9 and r[~toxic]["predicted"].mean() < 0.03
     assert abs(scores[0][1] - scores[1][1]) < 0.05
+
+
+@pytest.mark.parametrize("common, least, block, opened", [(1 / 128, 4, 8, 2), (2, 64, 8, 1), (0, 1, 16, 3)])
+def test_lists_as_matrix_rows_are_the_same(monkeypatch, common, least, block, opened):
+    """Some, none or all lists spread out, also after the way to a worker."""
+    for k, v in (("COMMON", common), ("LEAST", least), ("BLOCK", block), ("OPENED", opened)):
+        monkeypatch.setattr(toxicity, k, v)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(400):
+        t = np.unique(np.r_[rng.choice(60, rng.integers(1, 9)), 60 + rng.integers(0, 300, 4)])
+        x = rng.random(len(t)) + 0.1
+        rows.append((t, (x / np.linalg.norm(x)).astype(np.float32)))
+    index = pickle.loads(pickle.dumps(toxicity.Postings(rows, 360)))
+    assert (len(index.common) > 0) == (common < 1) and len(index.common) <= 360
+    dense = np.zeros((400, 360))
+    for i, (t, x) in enumerate(rows):
+        dense[i, t] = x
+    for i in range(0, 400, 3):
+        sims = dense @ dense[i]
+        sims[i] = 0
+        pos, sim = index.nearest(*rows[i], 9, i)
+        best = np.sort(sims)[::-1][:9]
+        assert np.allclose(sim, best[best > 0], atol=1e-6) and np.allclose(sims[pos], sim, atol=1e-6)
+
+
+def test_an_index_without_examples():
+    pos, sim = toxicity.Postings([], 5).nearest(np.array([1]), np.array([1.0]), 3)
+    assert not len(pos) and not len(sim)
