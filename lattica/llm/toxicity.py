@@ -29,7 +29,7 @@ FOLDS = 5
 #: Examples of a block, and blocks that are read before any is left out.
 BLOCK, OPENED = 32, 8
 #: Share and number of the examples from which a term's list is a row of a matrix, and steps of similarities.
-COMMON, LEAST, GRAIN = 1 / 128, 64, 1e-7
+COMMON, LEAST, GRAIN = 1 / 64, 64, 1e-7
 #: Share of the vote over all terms, and the cosine from which texts are copies.
 WHOLE = 0.25
 COPY = 0.9999
@@ -59,23 +59,36 @@ class Postings:
     with a text's weights reads whole; blocks are bounded over the other terms.
     """
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, spread: bool = True):
         self.n = len(rows)
         # examples with the same strongest term lie together, so that blocks differ in their terms
         strongest = np.array([t[np.argmax(x)] if len(t) else -1 for t, x in rows], np.int64)
         self.place = np.argsort(strongest, kind="stable")  # position of each stored row
-        term = np.concatenate([rows[i][0] for i in self.place]) if rows else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(rows[i][0]) for i in self.place])
+        term = np.concatenate([rows[i][0] for i in self.place]).astype(np.int32) if rows else np.zeros(0, np.int32)
         order = np.argsort(term, kind="stable")
-        self.row, term = row[order], term[order]
+        term = term[order]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(rows[i][0]) for i in self.place])[order]
         self.x = np.concatenate([rows[i][1] for i in self.place])[order] if rows else np.zeros(0, np.float32)
+        del order
         # runs of postings of one term in one block
         block = self.row // BLOCK
         new = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
-        self.begin, self.block = np.r_[new, len(term)], block[new]
+        self.begin, self.block = np.r_[new, len(term)].astype(np.int32), block[new]
         self.most = np.maximum.reduceat(self.x, new) if len(new) else self.x
         self.run = np.searchsorted(term[new], np.arange(terms + 1))
-        self._spread()
+        if spread:
+            self._spread()
+
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The examples' vectors, by position."""
+        term = np.repeat(np.arange(len(self.run) - 1), np.diff(self.begin[self.run]))
+        order = np.argsort(self.row, kind="stable")
+        cut = np.searchsorted(self.row[order], np.arange(self.n + 1))
+        out: list = [None] * self.n
+        for r, at in enumerate(self.place.tolist()):
+            mine = order[cut[r] : cut[r + 1]]
+            out[at] = term[mine], self.x[mine]
+        return out
 
     def _spread(self) -> None:
         low, high = self.begin[self.run[:-1]], self.begin[self.run[1:]]
@@ -88,7 +101,7 @@ class Postings:
         self.blocks = np.arange(0, self.n, BLOCK)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("common", "slot", "blocks")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("common", "slot", "blocks", "rows")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -140,8 +153,8 @@ class Postings:
 class Index(Postings):
     """Postings of examples with ids and labels; ``standing``: for how many labelled rows one stands."""
 
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, k: int, standing: np.ndarray | None = None):
-        super().__init__(rows, terms)
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, k: int, standing: np.ndarray | None = None, spread: bool = True):
+        super().__init__(rows, terms, spread)
         self.ids, self.toxic, self.rows, self.k = ids, toxic.astype(float), rows, k
         self.standing = np.ones(len(rows)) if standing is None else standing
 
@@ -167,20 +180,25 @@ class Model:
         self.tell_idf = self.idf[telling]
         every = [self.vector(t, c) for t, c in vectors]
         told = [self.told(t, c) for t, c in vectors]
-        self.every = Index(ids, toxic, every, len(terms), k, standing)
-        at = np.flatnonzero([len(t) > 0 for t, _ in told])
-        self.index = Index(at, toxic[at], [told[i] for i in at], len(telling), k, standing[at])
-        place = {int(i): j for j, i in enumerate(at)}
+        # the driver builds the lists; what is spread out for reading is so in the workers alone
+        self.every = Index(ids, toxic, every, len(terms), k, standing, spread=False)
+        self.at = np.flatnonzero([len(t) > 0 for t, _ in told])
+        self.index = Index(self.at, toxic[self.at], [told[i] for i in self.at], len(telling), k, standing[self.at], spread=False)
         bare = np.array([len(t) == 0 for t, _ in every], bool)
         self.none = float(((toxic * standing)[bare].sum() + 0.5) / (standing[bare].sum() + 1)) if bare.any() else 0.5
-        votes, seen = [], []
-        for i, (x, y) in enumerate(zip(every, told, strict=True)):
-            vote, pos, _ = self.vote(x, y, i, place.get(i, -1))
-            if len(pos):
-                votes.append(vote)
-                seen.append(i)
-        self.steps = _isotonic(np.array(votes), toxic[seen].astype(float), standing[seen])
         del self.every.rows, self.index.rows  # the postings hold them
+        self.steps = _isotonic(np.zeros(0), np.zeros(0), np.zeros(0))
+
+    def votes(self, low: int, high: int) -> list[tuple[int, float]]:
+        """(position, vote) of the examples from ``low`` to ``high``, each left out of its own vote; those with neighbours."""
+        every, told = self.every.vectors(), self.index.vectors()
+        place = {int(i): j for j, i in enumerate(self.at)}
+        none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        found = ((i, self.vote(every[i], told[place[i]] if i in place else none, i, place.get(i, -1))) for i in range(low, high))
+        return [(i, vote) for i, (vote, pos, _) in found if len(pos)]
+
+    def calibrate(self, at: np.ndarray, votes: np.ndarray) -> None:
+        self.steps = _isotonic(votes, self.every.toxic[at], self.every.standing[at])
 
     def vector(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * (self.idf if idf is None else idf)[terms]
@@ -275,25 +293,47 @@ def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, k: int =
             first = np.full(batch.num_rows, ~np.uint64(0))
             np.minimum.at(first, w.row[at], grams)
             sign = np.where(first == ~np.uint64(0), sign, first)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(sign.view(np.int64)), lists(h.view(np.int64)), lists(n)], names=["doc_id", "toxic", "sign", "words", "counts"])
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(kind)))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(sign.view(np.int64)), lists(h.view(np.int64), np.int64), lists(n, np.int32)], names=["doc_id", "toxic", "sign", "words", "counts"])
 
     sample, totals = _sample(labels, examples)
     chosen = F.broadcast(sample)  # at most twice ``examples`` rows of two numbers
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    t = rows.mapInArrow(vectors, "doc_id bigint, toxic int, sign bigint, words array<bigint>, counts array<bigint>").toArrow()
-    t = t.sort_by("doc_id").combine_chunks()
-    ids, toxic = t["doc_id"].to_numpy(), t["toxic"].to_numpy()
-    sign = t["sign"].to_numpy().view(np.uint64)
-    words = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in t["words"]]
-    counts = [x.values.to_numpy(zero_copy_only=False) for x in t["counts"]]
-    terms = np.unique(np.concatenate(words)) if len(words) else np.zeros(0, np.uint64)
-    table = Table(terms)
-    telling = np.searchsorted(terms, informative(toxic, sign, words))
-    found = [table.find(h) for h in words]
-    vectors_ = [(term, c[at]) for (at, term), c in zip(found, counts, strict=True)]
+    t = rows.mapInArrow(vectors, "doc_id bigint, toxic int, sign bigint, words array<bigint>, counts array<int>").toArrow()
+    ids, toxic, sign = t["doc_id"].to_numpy(), t["toxic"].to_numpy(), t["sign"].to_numpy().view(np.uint64)
+    values = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in t["words"].chunks if len(c)]
+    terms = np.unique(np.concatenate([np.unique(v[o[0] : o[-1]]) for v, o in values])) if values else np.zeros(0, np.uint64)
+    counts = [c.values.to_numpy()[a:b] for c in t["counts"].chunks for a, b in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
+    words = (v[a:b] for v, o in values for a, b in zip(o[:-1], o[1:], strict=True))
+    vectors_ = [(np.searchsorted(terms, h).astype(np.int32), c.copy()) for h, c in zip(words, counts, strict=True)]
+    del t, values, counts, words  # the driver holds the sample once
+    pa.default_memory_pool().release_unused()
+    order = np.argsort(ids, kind="stable")
+    ids, toxic, sign, vectors_ = ids[order], toxic[order], sign[order], [vectors_[i] for i in order]
+    telling = informative(toxic, sign, [v for v, _ in vectors_])
     df, n = _corpus_counts(docs, terms)
-    return Model(ids, toxic, vectors_, df, n, terms, telling, k, totals)
+    model = Model(ids, toxic, vectors_, df, n, terms, telling, k, totals)
+    del vectors_
+    if len(ids):
+        at, votes = _votes(docs.sparkSession, model, len(ids))
+        model.calibrate(at, votes)
+    return model
+
+
+def _votes(spark, model: Model, n: int, at_once: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Leave-one-out votes of the examples, made on the executors: (positions, votes), at most one for each example."""
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column("id").to_numpy()
+            found = held.value.votes(int(i[0]), int(i[-1]) + 1) if len(i) else []
+            at, votes = zip(*found, strict=True) if found else ((), ())
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(votes, pa.float64())], names=["at", "vote"])
+
+    t = spark.range(0, n, 1, -(-n // at_once)).mapInArrow(run, "at bigint, vote double").toArrow().sort_by("at")
+    held.unpersist()
+    return t["at"].to_numpy(), t["vote"].to_numpy()
 
 
 def _corpus_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
