@@ -15,6 +15,7 @@ probability. The indexes are bounded by the sample and go to every task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -317,9 +318,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, examples: int = 4000, k: int =
     if len(ids):
         at, votes = _votes(docs.sparkSession, model, len(ids))
         model.calibrate(at, votes)
+    _give_back()
     return model
 
 
+def _give_back() -> None:
+    """Return what the sample took to the system, where the C library can: many small arrays leave its heap in pieces."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _votes(spark, model: Model, n: int, at_once: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Leave-one-out votes of the examples, made on the executors: (positions, votes), at most one for each example."""
     held = spark.sparkContext.broadcast(model)
