@@ -92,8 +92,12 @@ def spans_for_bounds(every: Bounds, query: Bounds, depth: int = AXIS_BITS) -> li
 
 
 def merge_intervals(df: DataFrame, low: str = "lo", high: str = "hi", by: tuple[str, ...] = ()) -> DataFrame:
-    """Gaps and islands: intervals of each ``by`` that touch or overlap become one."""
-    order = W.partitionBy(*by).orderBy(low, high)
+    """Gaps and islands: intervals of each ``by`` that touch or overlap become one.
+
+    A null bound comes last and opens no island but the first. Both windows read one sort, so that
+    equal intervals keep their order from the first to the second.
+    """
+    order = W.partitionBy(*by).orderBy(F.asc_nulls_last(low), F.asc_nulls_last(high))
     reach = F.max(high).over(order.rowsBetween(W.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col(low) > reach + 1), 1).otherwise(0)
     island = F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))

@@ -183,3 +183,18 @@ def test_descriptions_differ_by_any_input(spark):
 def test_stored_layers_of_unknown_kinds_are_dropped(spark, raw, left):
     r = spark.createDataFrame([(raw,)], "raw string").select(render.migrated_layers(F.col("raw")).alias("l")).first()["l"]
     assert (None if r is None else [x["id"] for x in r]) == left
+
+
+def test_islands_with_null_bounds_equal_sql(spark, tmp_path):
+    """A null bound comes last, as in the query's SQL, and makes no island of its own beside others."""
+    import duckdb
+
+    from lattica.plans import all as plans
+
+    rows = [(1, 10, 2), (1, None, 1), (1, 10, None), (1, 30, None), (1, 30, 5), (51, 36, 1), (2, None, 1), (None, 4, 1), (None, None, None), (3, 7, None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.sql(plans.SQL["merge_intervals"]).fetchall()
+    got = [(r["k"], r["lo"], r["hi"]) for r in plans.QUERIES["merge_intervals"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
