@@ -1,6 +1,6 @@
 """A training corpus from ``documents``: stages that each write their rows for the next.
 
-toxicity rejects, SimHash keeps one document of a group, decontamination drops documents that
+toxicity rejects, SimHash (op4's fingerprints, grid join and components) keeps one document of a group, decontamination drops documents that
 hold a benchmark passage, mixing takes documents as often as their source's target asks, and
 sharding gives each row its shard and slot. Models and statistics come from a stage's own input.
 """
@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, simhash.near)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

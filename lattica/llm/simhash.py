@@ -15,16 +15,16 @@ fingerprints shows to be large are first cut by exact runs of bits: of ``reach +
 differing bits of a pair can touch ``reach``, so one agrees and the pair meets there: nothing is
 lost by a cut, and the sample steers only where rows go.
 
-That setting is op4's. The pipeline keeps one of what is alike by five-word shingles, Jaccard 0.8
-or more, which for 64 bits lies up to 17 bits apart, beyond any grid. ``alike`` therefore finds
-candidates by bands of MinHash values (a pair at 0.8 is missed by all of them once in 40,000) and
-checks each on the exact sets of shingles. In long runs of a band, what one pass of neighbours left in
+The pipeline keeps one document of each of these components (``near``). Texts alike by five-word shingles,
+Jaccard 0.8 or more, lie up to 17 of 64 bits apart, beyond any grid; who wants those takes ``alike``, an
+operator of its own: candidates by bands of MinHash values (a pair at 0.8 is missed by all of them once
+in 40,000), each checked on the exact sets of shingles. In long runs of a band, what one pass of neighbours left in
 different components is compared whole, under a bound that loses no pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,7 +52,7 @@ BITS = 1024
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as bigint). Null text has no words: fingerprint zero."""
+    """doc_id, tie (of the text), fp (the 64 bits as bigint). Null text has no words: fingerprint zero."""
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +69,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                     begin.append(at)
                     hashes += [digest(joined[a : b - 1], 42) for a, b in zip(begin, begin[n:], strict=False)]
                 ends.append(len(hashes))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(_majority(np.array(hashes, np.uint64), np.array(ends)).view(np.int64))], names=["doc_id", "fp"])
+            fps = _majority(np.array(hashes, np.uint64), np.array(ends)).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), pa.array(fps)], names=["doc_id", "tie", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", text_key(F.col("text")).alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie bigint, fp bigint")
 
 
 def _majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -230,16 +231,33 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, reach: int = REACH) -> D
     other columns are not read.
     """
     fps = written(fingerprints(docs, words), "simhash-docs")
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    found = _classes(fps, F.col("doc_id"), reach).withColumnRenamed("chosen", "component_id")
+    return fps.join(found, "fp", "left").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _classes(fps: DataFrame, key: Column, reach: int) -> DataFrame:
+    """fp, chosen (the least ``key`` of the component) of each fingerprint that is not of one row alone."""
+    groups = fps.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n"))
     groups = written(groups, "simhash-groups")
     roots = written(components(links(groups.select("fp"), reach)), "simhash-roots")
     whole = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = whole.where("linked").groupBy("root").agg(F.min("first").alias("least"))
     # only what is not alone needs to be joined to the documents
-    found = whole.where("linked or n > 1").join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(found, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return whole.where("linked or n > 1").join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("chosen"))
+
+
+def _row_key() -> Column:
+    """Orders the rows of a component: by id, a null one last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+
+
+def near(docs: DataFrame, words: int = 3, reach: int = REACH) -> DataFrame:
+    """doc_id, tie, keep for every row of ``docs``: ``keep`` as in ``alike``, components as in ``near_duplicates``."""
+    fps = written(fingerprints(docs, words), "simhash-docs")
+    found = fps.join(_classes(fps, _row_key(), reach), "fp", "left")
+    return found.select("doc_id", "tie", (F.col("chosen").isNull() | (_row_key() == F.col("chosen"))).alias("keep"))
 
 
 def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -400,7 +418,7 @@ def alike(docs: DataFrame, words: int = SHINGLE, *, most: int = ALL_PAIRS, rows_
     longer ones in two passes, of which the second leaves no pair of different components unmet.
     """
     rows = written(sketches(docs, words), "near-docs")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    key = _row_key()
     groups = written(rows.groupBy("same").agg(F.min(key).alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "near-groups")
     cells = groups.select("same", "n", F.explode("bands").alias("key"))
     long = written(cells.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > most), "near-long")
@@ -433,13 +451,13 @@ def _alike_of(docs: DataFrame, groups: DataFrame, pairs: DataFrame, words: int)
     return shared.where(F.col("m") >= LIKE * (F.col("n") - F.col("m"))).select("a", "b")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``alike``, with its columns: of the rows with its id and text one.
+def one_of_each(docs: DataFrame, components_of: Callable[[DataFrame], DataFrame] = alike) -> DataFrame:
+    """One document of each component of ``alike`` (or ``near``), with its columns: of the rows with its id and text one.
 
     Different texts that share an id, or have none, are documents of their own. Of rows that are
     equal in id and text and differ in other columns the least row stays.
     """
-    found = written(alike(docs).select("doc_id", "tie", "keep"), "near-rows")
+    found = written(components_of(docs).select("doc_id", "tie", "keep"), "near-rows")
     kept = without(docs, found.where("not keep"))
     twice = found.where("keep").groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tie")
     twice = written(twice, "near-twice")

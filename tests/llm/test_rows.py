@@ -150,3 +150,21 @@ def test_any_number_of_blocks_gives_the_same_components(spark, monkeypatch, bloc
     root = {f: f for f in fps} | {r["node"]: r["root"] for r in found}
     near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
     assert near and all(root[a] == root[b] for a, b in near) and len(set(root.values())) == len(base)
+
+
+def test_the_pipeline_keeps_one_of_each_simhash_component(spark):
+    """Components of the stage are op4's, also where ids are shared or missing; no text beyond 3 bits goes."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(400)}" for _ in range(300)]
+    near = [*long[:-1], "other"]
+    far = [w if rng.random() < 0.5 else f"f{rng.randrange(400)}" for w in long]
+    texts = [" ".join(w) for w in (long, near, far)]
+    rows = [(5, texts[0]), (None, texts[1]), (3, texts[0]), (3, texts[2]), (None, "one of none"), (None, "another of none"), (3, texts[2]), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fps = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert (fps[0] ^ fps[1]).bit_count() <= 3 < (fps[0] ^ fps[2]).bit_count()
+    out = corpus_pipeline.simhash_stage(spark, df, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out if r["text"]) == sorted([("3", texts[0]), ("3", texts[2]), ("None", "one of none"), ("None", "another of none")])
+    assert [r["doc_id"] for r in out if not r["text"]] == [8]
