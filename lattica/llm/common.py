@@ -105,9 +105,10 @@ def keyed(column, *more: str) -> tuple:
     return F.xxhash64(column("doc_id"), name, *map(column, more)), name
 
 
-def equal_keys(rows: DataFrame) -> DataFrame | None:
-    """The keys that more than one of ``rows`` (a written table) has, if there are any."""
-    equal = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "equal-keys")
+def equal_keys(rows: DataFrame, where: object = None) -> DataFrame | None:
+    """The keys that more than one of ``rows`` (a written table) has, if there are any; of those where ``where`` (an aggregate) holds."""
+    found = rows.groupBy("key").agg(F.count("*").alias("n"), (F.lit(True) if where is None else where).alias("holds"))
+    equal = written(found.where("n > 1 and holds").select("key"), "equal-keys")
     return small(equal) if equal.count() else None
 
 

@@ -136,15 +136,23 @@ def kd_tree(rows: DataFrame, shards: int, *, keep: float = 0.05, slack: float =
     return root
 
 
-def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(written table of doc_id, size, text_crc32, id_key and the dimensions; keys of more than one row)."""
+def _prepared(docs: DataFrame, shards: int | None = None, *, slack: float = 0.002, most: int = 1000) -> tuple[DataFrame, DataFrame | None]:
+    """(written table of doc_id, size, text_crc32, id_key and the dimensions; keys of rows that are numbered).
+
+    Rows that are equal in id and text get an id_key each. With ``shards`` those of up to ``most`` rows and
+    ``slack`` of a shard's bytes, by which a cut may miss its goal anyway, share one: they stay together.
+    """
     text = F.coalesce("text", F.lit(""))
     key, name = keyed(F.col)
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"), name.alias("name"), *[c.alias(k) for k, c in _keys(text).items()]
     )
     rows = written(rows, "shard-rows")
-    several = equal_keys(rows)
+    if shards is None:
+        several = equal_keys(rows)
+    else:
+        room = (rows.agg(F.sum("size")).first()[0] or 0) / shards * slack
+        several = equal_keys(rows, (F.count("*") > most) | (F.sum("size") > room))
     return written(hashed(rows, several).withColumnRenamed("h", "id_key").drop("key", "name"), "shard-keys"), several
 
 
@@ -177,8 +185,11 @@ def shard(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 50_000) ->
 
 
 def sharded_rows(docs: DataFrame, shards: int = 24, *, rows_per_task: int = 10_000) -> DataFrame:
-    """The rows of ``docs`` with shard and slot; columns of these names are replaced."""
-    sized, several = _prepared(docs)
+    """The rows of ``docs`` with shard and slot; columns of these names are replaced.
+
+    Only equal rows that must be told apart are written with their texts, to be numbered.
+    """
+    sized, several = _prepared(docs, shards)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("shard", "slot")])
     text = F.coalesce(F.col("row")["text"], F.lit(""))
     key, name = keyed(lambda c: F.col("row")[c])

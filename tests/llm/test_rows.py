@@ -168,3 +168,22 @@ def test_the_pipeline_keeps_one_of_each_simhash_component(spark):
     out = corpus_pipeline.simhash_stage(spark, df, "").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in out if r["text"]) == sorted([("3", texts[0]), ("3", texts[2]), ("None", "one of none"), ("None", "another of none")])
     assert [r["doc_id"] for r in out if not r["text"]] == [8]
+
+
+def test_few_copies_are_sharded_without_a_table_of_their_texts(spark, monkeypatch):
+    from lattica.llm import common
+
+    names = []
+    monkeypatch.setattr(common, "written", lambda df, name, written=common.written, **o: (names.append(name), written(df, name, **o))[1])
+    df = spark.range(24_000).selectExpr("id div 2 as doc_id", "concat('text ', id div 2, repeat(' w', cast(id div 2 as int) % 50)) as text").union(spark.range(2400).selectExpr("null", "'same text again'"))
+    rows = sharding.sharded_rows(df).collect()
+    size = collections.Counter()
+    for r in rows:
+        size[r["shard"]] += len(r["text"]) + 8
+    assert max(size.values()) < 1.03 * min(size.values()) and len(size) == 24
+    count = collections.Counter(r["shard"] for r in rows)
+    assert {(r["shard"], r["slot"]) for r in rows} == {(s, i) for s, n in count.items() for i in range(n)} and len(rows) == 26_400
+    assert "equal-rows" in names  # the 2,400 are numbered
+    names.clear()
+    sharding.sharded_rows(df.where("doc_id is not null"), 4).collect()
+    assert names and "equal-rows" not in names
