@@ -30,7 +30,9 @@ FOLDS = 5
 #: Examples of a block, and blocks that are read before any is left out.
 BLOCK, OPENED = 32, 8
 #: Share and number of the examples from which a term's list is a row of a matrix, and steps of similarities.
-COMMON, LEAST, GRAIN = 1 / 64, 64, 1e-7
+COMMON, LEAST, GRAIN = 1 / 32, 64, 1e-7
+#: Rows of the matrix that are taken at once.
+PART = 16
 #: Share of the vote over all terms, and the cosine from which texts are copies.
 WHOLE = 0.25
 COPY = 0.9999
@@ -100,9 +102,10 @@ class Postings:
         for i, t in enumerate(common.tolist()):
             self.common[i, self.row[low[t] : high[t]]] = self.x[low[t] : high[t]]
         self.blocks = np.arange(0, self.n, BLOCK)
+        self.part = np.zeros((min(PART, len(common)), self.n), np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("common", "slot", "blocks", "rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("common", "slot", "blocks", "part", "rows")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -114,7 +117,7 @@ class Postings:
             return np.zeros(0, np.int64), np.zeros(0)
         slot = self.slot[terms]
         often = slot >= 0
-        base = weights[often].astype(np.float32) @ self.common[slot[often]]
+        base = self._product(slot[often], weights[often].astype(np.float32))
         terms, weights = terms[~often], weights[~often]
         n = self.run[terms + 1] - self.run[terms]
         run, weight = _ranges(self.run[terms], n), np.repeat(weights, n)
@@ -122,24 +125,38 @@ class Postings:
         bound = np.maximum.reduceat(base, self.blocks) + np.bincount(block, self.most[run] * weight, len(self.blocks))
         chosen = np.zeros(len(bound), bool)
         chosen[np.argsort(-bound, kind="stable")[:OPENED]] = True
-        pos, sim = self._read(run, weight, chosen[block], chosen, base, k, leave)
+        pos, sim = self._read(run, weight, chosen[block], chosen, base, k, leave, GRAIN / 2)
         rest = ~chosen & (bound > 0)
+        least = GRAIN / 2
         if len(pos) >= k:
+            least = sim[-1] - GRAIN
             rest &= bound >= sim[-1] - 2 * GRAIN
         if rest.any():
-            p, s = self._read(run, weight, rest[block], rest, base, k, leave)
+            p, s = self._read(run, weight, rest[block], rest, base, k, leave, least)
             pos, sim = np.r_[pos, p], np.r_[sim, s]
             keep = np.lexsort((pos, -sim))[:k]
             pos, sim = pos[keep], sim[keep]
         return pos, sim
 
-    def _read(self, run, weight, wanted, blocks, base, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest of some blocks; similarities to GRAIN, so that equal examples tie."""
+    def _product(self, slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weights times these rows of the matrix, some rows at a time in memory that is used again."""
+        base = np.zeros(self.n, np.float32)
+        for a in range(0, len(slots), PART):
+            n = min(PART, len(slots) - a)
+            rows = np.take(self.common, slots[a : a + n], axis=0, out=self.part[:n], mode="clip")  # other modes copy
+            base += weights[a : a + n] @ rows
+        return base
+
+    def _read(self, run, weight, wanted, blocks, base, k: int, leave: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of some blocks from ``least`` on; similarities to GRAIN, so that equal examples tie."""
+        wanted = np.flatnonzero(wanted)
         run, weight = run[wanted], weight[wanted]
-        n = self.begin[run + 1] - self.begin[run]
-        at = _ranges(self.begin[run], n)
+        begin = self.begin[run]
+        n = self.begin[run + 1] - begin
+        at = _ranges(begin, n)
         sums = np.bincount(self.row[at], self.x[at] * np.repeat(weight, n), self.n) + base
-        row = np.flatnonzero(np.repeat(blocks, BLOCK)[: self.n])
+        row = np.flatnonzero(sums >= least)
+        row = row[blocks[row // BLOCK]]
         sim = np.round(sums[row] / GRAIN) * GRAIN
         pos = self.place[row]
         ok = (sim > 0) & (pos != leave)

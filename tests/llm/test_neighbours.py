@@ -91,3 +91,16 @@ def test_lists_as_matrix_rows_are_the_same(monkeypatch, common, least, block, op
 def test_an_index_without_examples():
     pos, sim = toxicity.Postings([], 5).nearest(np.array([1]), np.array([1.0]), 3)
     assert not len(pos) and not len(sim)
+
+
+@pytest.mark.parametrize("part", [1, 3, 64])
+def test_products_take_a_few_rows_of_the_matrix_at_once(monkeypatch, part):
+    """However many of a text's terms are common, no more than PART rows are copied."""
+    monkeypatch.setattr(toxicity, "PART", part)
+    monkeypatch.setattr(toxicity, "LEAST", 1)
+    rng = np.random.default_rng(6)
+    index = toxicity.Postings(rows_of(rng, 300, 60, 3), 60)
+    slots, weights = np.arange(len(index.common)), rng.random(len(index.common)).astype(np.float32)
+    assert len(slots) > 10 and len(index.part) == min(part, len(slots))
+    assert np.allclose(index._product(slots, weights), weights @ index.common, atol=1e-5)
+    assert not index._product(slots[:0], weights[:0]).any()
